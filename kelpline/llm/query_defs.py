@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpline.llm.mixing import documents_by_position, mix_sources
+from kelpline.llm.sharding import shard_by_bytes
 from kelpline.llm.url_filter import judge_urls
 from kelpline.session import table
 
@@ -45,3 +47,13 @@ def query(name: str, sql: str | None = None):
 )
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op1_sharding")
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_by_position(mix_sources(table(spark, sf_dir, "documents")))
