@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpline.llm.bpe import encode_decode
 from kelpline.llm.mixing import documents_by_position, mix_sources
 from kelpline.llm.sharding import shard_by_bytes
 from kelpline.llm.url_filter import judge_urls
@@ -57,3 +59,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mixing")
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_by_position(mix_sources(table(spark, sf_dir, "documents")))
+
+
+@query("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return encode_decode(table(spark, sf_dir, "documents"), file.read(), digests=True)
