@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kelpline.llm.bpe import encode_decode
+from kelpline.llm.langid import identify, learn, remainder
 from kelpline.llm.mixing import documents_by_position, mix_sources
+from kelpline.llm.secrets import find_secrets
 from kelpline.llm.sharding import shard_by_bytes
 from kelpline.llm.url_filter import judge_urls
 from kelpline.session import table
@@ -65,3 +68,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         return encode_decode(table(spark, sf_dir, "documents"), file.read(), digests=True)
+
+
+@query("op9_langid")
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, remainder(F.col("doc_id"), 3) != 1)
+    held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return identify(docs, model).select("doc_id", held, "lang_pred", "score", "rejected")
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
