@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm import toxicity
 from kelpline.llm.bpe import encode_decode
+from kelpline.llm.embedding_dedup import near_duplicates
 from kelpline.llm.langid import identify, learn, remainder
 from kelpline.llm.mixing import documents_by_position, mix_sources
 from kelpline.llm.secrets import find_secrets
@@ -118,3 +119,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
