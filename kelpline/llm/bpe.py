@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.textcore import SPACE, parts, span_hashes
 
-BLOCK_BYTES = 32 << 20  # text in a block, but for one longer text
+BLOCK_BYTES = 16 << 20  # text in a block, but for one longer text
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -78,11 +78,12 @@ class _Block:
     def __init__(self, name: str, ids: list, pieces: list):
         self.name, self.ids = name, ids
         self.data = np.concatenate([p[0] for p in pieces])
-        shifts = np.cumsum([0, *(len(p[0]) for p in pieces)])
-        offsets = np.concatenate([[0], *(p[1][1:] + s for p, s in zip(pieces, shifts))]).astype(np.int64)
-        self.starts, self.bounds = unit_starts(self.data, offsets)
+        shifts = np.cumsum([0, *(len(p[0]) for p in pieces)]).tolist()
+        self.starts = np.concatenate([p[1] + s for p, s in zip(pieces, shifts)])
         self.ends = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
-        self.hashes = span_hashes(self.data, self.starts, self.ends)
+        places = np.cumsum([0, *(len(p[1]) for p in pieces)]).tolist()
+        self.bounds = np.concatenate([[0], *(p[2][1:] + s for p, s in zip(pieces, places))])
+        self.hashes = np.concatenate([p[3] for p in pieces])
         self.keys, first, inverse, counts = np.unique(self.hashes, return_index=True, return_inverse=True, return_counts=True)
         if len(self.keys) and not np.array_equal((self.ends - self.starts)[first][inverse], self.ends - self.starts):
             raise ValueError("two words of different length share a 64-bit hash")
@@ -119,7 +120,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Block]:
                 yield _Block(f"{part}:{made}", ids, pieces)
                 ids, pieces, size, made = [], [], 0, made + 1
             ids += doc_ids[first:end]
-            pieces.append((data.copy(), offsets))
+            starts, bounds = unit_starts(data, offsets)
+            ends = np.append(starts[1:], len(data))[: len(starts)]
+            pieces.append((data.copy(), starts, bounds, span_hashes(data, starts, ends)))
             size += len(data)
     if ids:
         yield _Block(f"{part}:{made}", ids, pieces)
