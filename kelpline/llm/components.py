@@ -11,21 +11,19 @@ from kelpline.session import cut
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every end of *edges*: the least node that it reaches.
 
-    Each round takes the least label among the neighbours and then the label's own label twice, so labels
+    Each round takes the least label among the neighbours and then the label's own label, so labels
     travel many edges in a round. Every table that is joined is stored first, which lets adaptive execution
     split the part of a node with very many edges. Null ends are ignored; loops and repeats do no harm.
     """
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     both = cut(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
+    total = None
     while True:
         told = both.join(labels, both["u"] == labels["node"]).select(F.col("v").alias("node"), "label")
         spread = cut(told.union(labels).groupBy("node").agg(F.min("label").alias("label")))
-        for _ in range(2):
-            further = spread.select(F.col("node").alias("at"), F.col("label").alias("next"))
-            spread = cut(spread.join(further, spread["label"] == further["at"]).select("node", F.col("next").alias("label")))
-        before = labels.select(F.col("node").alias("old_node"), F.col("label").alias("old_label"))
-        changed = spread.join(before, (spread["node"] == before["old_node"]) & (spread["label"] != before["old_label"]), "left_semi")
-        labels = spread
-        if changed.isEmpty():
+        further = spread.select(F.col("node").alias("at"), F.col("label").alias("next"))
+        labels = cut(spread.join(further, spread["label"] == further["at"]).select("node", F.col("next").alias("label")))
+        before, total = total, labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if total == before:  # labels only ever fall
             return labels.select("node", F.col("label").alias("component"))

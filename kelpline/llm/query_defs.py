@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kelpline.llm import toxicity
 from kelpline.llm.bpe import encode_decode
 from kelpline.llm.embedding_dedup import near_duplicates
+from kelpline.llm.jaccard_join import similar_documents
 from kelpline.llm.langid import identify, learn, remainder
 from kelpline.llm.mixing import documents_by_position, mix_sources
 from kelpline.llm.secrets import find_secrets
@@ -124,3 +125,8 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_embedding_dedup")
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
