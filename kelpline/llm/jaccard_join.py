@@ -266,6 +266,6 @@ def _components(grouped: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of *docs* whose id is the least of its component, one row for each; rows without an id stay."""
+    """The rows of *docs* whose id is the least of its component, one row for each id; rows without an id stay."""
     kept = similar_documents(docs, key=key, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("kept_id")).distinct()
-    return docs.join(kept, docs[key] == kept["kept_id"], "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    return docs.join(kept, docs[key] == kept["kept_id"], "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))

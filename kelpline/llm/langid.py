@@ -140,7 +140,14 @@ def learn(docs: DataFrame, learnable: Column, fit_per_language: int = 400, key:
 
 def identify(docs: DataFrame, model: Classifier | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang_pred, score, rejected, *keep) of every row; the model is small: fixed DIMENSIONS, CLUSTERS per language."""
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"), F.col(text).rlike(r"\p{L}").alias("lettered"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
+    others = [c for c in keep if c not in (key, text)]
+    rows = docs.select(
+        F.col(key).alias("id"),
+        F.col(text).cast("string").alias("text"),
+        F.col(text).rlike(r"\p{L}").alias("lettered"),
+        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(others)],
+    )
+    dropped = ["lettered"] if text in keep else ["lettered", "text"]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,9 +157,10 @@ def identify(docs: DataFrame, model: Classifier | None, key: str = "doc_id", tex
                 if lettered[row]:
                     answers[row] = model.predict(found, counts)
             columns = [pa.array([a[i] for a in answers], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            rest = batch.drop_columns(["text", "lettered"])
+            rest = batch.drop_columns(dropped)
             yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*rest.schema.names, "lang_pred", "score", "rejected"])
 
-    schema = rows.drop("text", "lettered").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
+    schema = rows.drop(*dropped).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(True)}).schema
     made = rows.mapInArrow(predicted, schema)
-    return made.select(F.col("id").alias(key), "lang_pred", "score", "rejected", *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    names = {key: "id", text: "text", **{c: f"kept_{i}" for i, c in enumerate(others)}}
+    return made.select(F.col("id").alias(key), "lang_pred", "score", "rejected", *[F.col(names[c]).alias(c) for c in keep if c != key])

@@ -71,9 +71,8 @@ def mix_sources(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(key, size, source_size, target, taken, passes, positions, *keep) of every row.
+    """(key, place, size, source_size, target, taken, passes, positions) of every row; ``place`` digests id and text.
 
     ``passes`` counts the passes that take any of the document, ``positions`` has the training position of
     each. Sources are configuration (each has a weight), so their totals, one row each, go to the driver.
@@ -83,7 +82,6 @@ def mix_sources(
         F.col(source).alias("origin"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(key), F.col(text)).alias("place"),
-        *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)],
     )
     placed = with_offsets(sized, ["origin", "place", "id"])
     totals = placed.groupBy("origin").agg(F.sum("size").alias("size"), F.min("start").alias("start")).collect()
@@ -105,21 +103,32 @@ def mix_sources(
     at = lambda k: F.element_at(F.array(*[inverse_demand(p, share(k)) for p in schedules]), F.col("kind") + 1)
     return rows.select(
         F.col("id").alias(key),
+        "place",
         "size",
         "source_size",
         "target",
         F.aggregate(passes, F.lit(0).cast("long"), lambda acc, k: acc + got(k)).alias("taken"),
         F.size(used).alias("passes"),
         F.transform(used, at).alias("positions"),
-        *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
 
-def training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per pass of a document, range-sorted by its position in training."""
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = mixed.select("*", F.posexplode("positions").alias("pass", "position")).drop("positions")
-    return rows.repartitionByRange(parts, "position", key).sortWithinPartitions("position", key, "pass")
+def training_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of *docs*, whole, once per pass, range-sorted by training position.
+
+    The mix is computed on ids and sizes; the documents meet it once, by id, digest and turn among equal rows.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = mix_sources(docs, whole=True, key=key, text=text, **options).where(F.col("passes") > 0)
+    equal = Window.partitionBy("_mix_key", "_mix_place")
+    slim = mixed.select(F.col(key).alias("_mix_key"), F.col("place").alias("_mix_place"), "positions")
+    slim = slim.withColumn("_mix_turn", F.row_number().over(equal.orderBy(F.element_at("positions", 1))))
+    slim = slim.select(*[F.col(c).alias(f"{c}_2") for c in ("_mix_key", "_mix_place", "_mix_turn")], F.col("positions").alias("_mix_positions"))
+    rows = docs.withColumns({"_mix_key": F.col(key), "_mix_place": F.xxhash64(F.col(key), F.col(text))})
+    rows = rows.withColumn("_mix_turn", F.row_number().over(equal.orderBy("_mix_place")))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in ("_mix_key", "_mix_place", "_mix_turn")]
+    passes = rows.join(slim, same).select("*", F.explode("_mix_positions").alias("_mix_position"))
+    return passes.repartitionByRange(parts, "_mix_position", "_mix_place").sortWithinPartitions("_mix_position", "_mix_place").select(*docs.columns)
 
 
 def documents_by_position(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
