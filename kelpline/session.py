@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +19,41 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="kelpline-checkpoint-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
+class Scratch:
+    """Tables of a job in the shared folder. Storing a table cuts its lineage: a lost executor costs no more than
+    a read, and the planner sees its true size (a checkpoint would hand on the product of its inputs' estimates)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/kelpline-{uuid.uuid4().hex}"
+        self.count = 0
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        self.files = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """*df*, stored and read again."""
+        self.count += 1
+        place = f"{self.folder}/{self.count}"
+        df.write.parquet(place)
+        return self.spark.read.schema(df.schema).parquet(place)
+
+    def drop(self) -> None:
+        """Removes the tables; nothing may still read them."""
+        self.files.delete(self.path, True)
+
+    def drop_at_exit(self) -> None:
+        """Removes the tables when the application ends, for results that read them lazily."""
+        self.files.mkdirs(self.path)
+        self.files.deleteOnExit(self.path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """*df* with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """*df*, stored in the shared folder until the application ends, and read again."""
+    scratch = Scratch(df.sparkSession)
+    scratch.drop_at_exit()
+    return scratch.cut(df)

@@ -5,6 +5,7 @@ Patterns and marks that parsed results depend on are fixed values.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,8 +163,6 @@ def _paged(docs: DataFrame, separators: tuple[str, ...]) -> DataFrame:
 
 
 def _chunked(rows: DataFrame, column: str, separators: tuple[str, ...], short_as_is: bool) -> DataFrame:
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunking.split_recursively(t, separators=separators) if not short_as_is or len(t) >= chunking.SIZE else [t])
