@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.session import cut
+from kelpline.session import Scratch
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every end of *edges*: the least node that it reaches.
+def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every end of *edges*: the least node that it reaches. Tables are kept in *scratch*.
 
     Each round takes the least label among the neighbours and then the label's own label, so labels
     travel many edges in a round. Every table that is joined is stored first, which lets adaptive execution
     split the part of a node with very many edges. Null ends are ignored; loops and repeats do no harm.
     """
+    cut = scratch.cut
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
     both = cut(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.components import connected
-from kelpline.session import cut
+from kelpline.session import Scratch, cut
 
 TREES = 6
 SPILL = 0.03  # of a unit projection, on each side of the cut
@@ -126,8 +126,9 @@ def _project(batches):
         yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("node"), batch.column("id"), pa.array(at)], ["tree", "node", "id", "at"])
 
 
-def _cells(classes: DataFrame, trees: int, cell: int) -> DataFrame:
+def _cells(classes: DataFrame, trees: int, cell: int, scratch: Scratch) -> DataFrame:
     """(tree, node, id, cell_rows): cells of at most *cell* rows, or that no longer shrink."""
+    cut = scratch.cut
     every = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
     state = classes.select(every, F.concat_ws(":", "label", F.size("v")).alias("node"), "id")
     sizes = state.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
@@ -166,8 +167,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES,
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     taken = rows.where(F.coalesce(fine, F.lit(False)))
     grouped = taken.groupBy("label", "v").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(grouped.select(F.col("class").alias("id"), "label", "v", "copies"))
-    cells = _cells(classes, trees, cell).join(classes.select("id", "v"), "id")
+    scratch = Scratch(vectors.sparkSession)
+    classes = scratch.cut(grouped.select(F.col("class").alias("id"), "label", "v", "copies"))
+    cells = _cells(classes, trees, cell, scratch).join(classes.select("id", "v"), "id")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own_block = F.when(F.col("n") <= cell, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
     b = F.col("own_block")
@@ -176,14 +178,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES,
     )
     dealt = cells.withColumn("own_block", own_block).withColumn("pair", F.explode(pairs)).select("tree", "node", "pair.first", "pair.second", "id", "v", "own_block")
     edges = dealt.groupBy("tree", "node", "first", "second").applyInArrow(lambda key, rows: _compare_cell(key, rows, least), "a long, b long")
-    linked = cut(connected(edges))
-    counted = count_links(classes.join(linked, classes["id"] == linked["node"]).select("component", "id", "v", "copies", "label"), least, block)
+    linked = connected(edges, scratch)
+    counted = count_links(classes.join(linked, classes["id"] == linked["node"]).select("component", "id", "v", "copies", "label"), least, scratch, block)
     known = classes.join(counted, "id", "left").join(linked, classes["id"] == linked["node"], "left").select(
         F.col("label").alias("class_label"), F.col("v").alias("class_v"), classes["id"].alias("class_id"),
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", classes["id"]).alias("component_id"),
     )
-    known = cut(known)
+    known = cut(known)  # all that the result reads
+    scratch.drop()
     found = taken.join(known, (taken["label"] == known["class_label"]) & (taken["v"] == known["class_v"])).select(F.col("id").alias(key), "n_links", "component_id")
     apart = rows.where(~F.coalesce(fine, F.lit(False))).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return found.union(apart).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
@@ -203,11 +206,11 @@ def _count_pair(rows: pa.Table, least: float) -> pa.Table:
     return pa.table([pa.array(ids), pa.array(made)], schema=COUNTS)
 
 
-def count_links(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def count_links(members: DataFrame, least: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(id, others): linked vectors of other classes in the same component, counted by pairs of blocks of its rows."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    dealt = members.join(cut(sizes), "component").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = members.join(scratch.cut(sizes), "component").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     every = F.sequence(F.lit(0), blocks - 1)
     roles = F.flatten(F.transform(every, lambda o: F.array(
         F.struct(F.col("own").alias("first"), o.alias("second"), F.lit(True).alias("asks")),

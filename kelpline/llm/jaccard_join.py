@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.components import connected
 from kelpline.llm.textcore import mix, shingle_sets
-from kelpline.session import cut
+from kelpline.session import Scratch, cut
 
 NUM, DEN = 80, 100
 HOT = 1 << 19  # shingles of the order that are sent to all tasks: 8 MB at most
@@ -67,7 +67,7 @@ def _list(arrays: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def common_shingles(texts: DataFrame, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, counts) of those in at least HOT_LEAST hash-ordered prefixes, the commonest if there are too many."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +77,7 @@ def common_shingles(texts: DataFrame, k: int, num: int, den: int) -> tuple[np.nd
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["shingle"])
 
     counts = texts.mapInArrow(prefixes, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
-    counts = cut(counts)
+    counts = scratch.cut(counts)
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()  # 64 at most
     least, total = HOT_LEAST, 0
     for step in sorted(steps, key=lambda r: -r.step):
@@ -155,7 +155,7 @@ def _in_bloom(words: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
     return found
 
 
-def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
     """The (a, b) of *pairs* whose whole sets link. Each pair is checked beside its pivot *a*'s set."""
     if pairs.isEmpty():
         return pairs.select("a", "b")
@@ -170,7 +170,7 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Da
 
     sets = texts.select("id", "text", *_bloom_hashes("id")).mapInArrow(fetched, "id long, own binary")
     # A pivot's partners are dealt over salts of about 64, its own set going to each.
-    salts = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("salts")))
+    salts = scratch.cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("salts")))
     salted = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.explode(F.array("a", "b")).alias("id"))
     dealt = salted.distinct().join(sets, "id").select("a", "salt", "id", "own")
 
@@ -193,31 +193,34 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DE
     """(key, n_shingles, component_id) of every row; links join Jaccard similarities of num/den and more."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = rows.where(F.col("id").isNotNull())
-    described = cut(describe(texts, *common_shingles(texts, k, num, den), k, num, den))
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.cut
+    described = keep(describe(texts, *common_shingles(texts, scratch, k, num, den), k, num, den))
     # Classes of equal sets, then groups of classes of equal prefix and size.
-    classes = cut(described.groupBy("n", "digest").agg(F.min("id").alias("class"), F.min("head").alias("head"), F.min("signature").alias("signature")))
-    member = cut(described.select("id", "n", "digest").join(classes.select("n", "digest", "class"), ["n", "digest"]).select("id", "n", "class"))
-    groups = cut(classes.groupBy("n", "head").agg(F.min("class").alias("group"), F.count(F.lit(1)).alias("classes")))
-    grouped = cut(classes.join(groups, ["n", "head"]).select("class", "n", "signature", "group", "classes"))
-    postings = cut(_postings(described, grouped))
-    links = cut(verify(texts, _filtered(_tied(postings), grouped, num, den), k, num, den))
-    parts = _components(grouped, links)
+    classes = keep(described.groupBy("n", "digest").agg(F.min("id").alias("class"), F.min("head").alias("head"), F.min("signature").alias("signature")))
+    member = keep(described.select("id", "n", "digest").join(classes.select("n", "digest", "class"), ["n", "digest"]).select("id", "n", "class"))
+    groups = keep(classes.groupBy("n", "head").agg(F.min("class").alias("group"), F.count(F.lit(1)).alias("classes")))
+    grouped = keep(classes.join(groups, ["n", "head"]).select("class", "n", "signature", "group", "classes"))
+    postings = keep(_postings(described, grouped, scratch))
+    links = keep(verify(texts, _filtered(_tied(postings, scratch), grouped, scratch, num, den), scratch, k, num, den))
+    parts = _components(grouped, links, scratch)
     for step in range(ROUNDS):
-        placed = cut(postings.join(parts, "class"))
+        placed = keep(postings.join(parts, "class"))
         mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
-        left = cut(placed.join(cut(mixed.select("list")), "list"))
+        left = keep(placed.join(keep(mixed.select("list")), "list"))
         if left.isEmpty():
             break
         pairs = _all_apart(left) if step == ROUNDS - 1 else _partners(left, step)
-        more = verify(texts, _filtered(pairs, grouped, num, den), k, num, den)
-        links = cut(links.union(more))
-        parts = _components(grouped, links)
-    done = member.join(parts, "class").groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+        more = verify(texts, _filtered(pairs, grouped, scratch, num, den), scratch, k, num, den)
+        links = keep(links.union(more))
+        parts = _components(grouped, links, scratch)
+    done = cut(member.join(parts, "class").groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component")))  # all that the result reads
+    scratch.drop()
     out = rows.select("id").join(done.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
     return out.select(F.col("id").alias(key), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _postings(described: DataFrame, grouped: DataFrame) -> DataFrame:
+def _postings(described: DataFrame, grouped: DataFrame, scratch: Scratch) -> DataFrame:
     """(list, class): the classes whose groups hold a shingle in their prefix, for shingles of two groups and more.
 
     Only one document of a group brings its prefix; the group's classes are put in afterwards. A group of
@@ -226,15 +229,15 @@ def _postings(described: DataFrame, grouped: DataFrame) -> DataFrame:
     leaders = grouped.where(F.col("class") == F.col("group")).select(F.col("group").alias("id"))
     lists = described.join(leaders, "id", "left_semi").dropDuplicates(["id"]).select(F.explode("prefix").alias("list"), F.col("id").alias("group"))
     met = lists.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("list"))).where(F.col("groups") > 1).select("list", "group")
-    shared = cut(met).join(grouped.select("group", "class"), "group").select("list", "class")
+    shared = scratch.cut(met).join(grouped.select("group", "class"), "group").select("list", "class")
     own = grouped.where(F.col("classes") > 1).select(F.xxhash64("group", F.lit("group")).alias("list"), "class")
     return shared.union(own)
 
 
-def _tied(postings: DataFrame) -> DataFrame:
+def _tied(postings: DataFrame, scratch: Scratch) -> DataFrame:
     """Each class of a list with the list's pivot, the one first by a hash: lists of one group of copies share few pivots."""
     pivots = postings.groupBy("list").agg(F.min(F.struct(F.xxhash64("class").alias("luck"), "class")).alias("pivot"))
-    return postings.join(cut(pivots), "list").select(F.col("pivot.class").alias("a"), F.col("class").alias("b"))
+    return postings.join(scratch.cut(pivots), "list").select(F.col("pivot.class").alias("a"), F.col("class").alias("b"))
 
 
 def _partners(left: DataFrame, step: int) -> DataFrame:
@@ -251,18 +254,18 @@ def _all_apart(left: DataFrame) -> DataFrame:
     return left.join(other, "list").where((F.col("class") < F.col("b")) & (F.col("component") != F.col("d"))).select(F.col("class").alias("a"), "b")
 
 
-def _filtered(pairs: DataFrame, grouped: DataFrame, num: int, den: int) -> DataFrame:
+def _filtered(pairs: DataFrame, grouped: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Distinct pairs of classes, a < b, that sizes and signatures allow."""
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     one = grouped.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
     two = grouped.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
     near = ordered.join(one, "a").join(two, "b").where((den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a")))
-    return cut(near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_possible(num, den), "a long, b long"))
+    return scratch.cut(near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_possible(num, den), "a long, b long"))
 
 
-def _components(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected(links).select("node", F.col("component").alias("least"))
-    return cut(grouped.select("class").join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("least", "class").alias("component")))
+def _components(grouped: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    found = connected(links, scratch).select("node", F.col("component").alias("least"))
+    return scratch.cut(grouped.select("class").join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("least", "class").alias("component")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
