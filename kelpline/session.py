@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: their Python need not have it installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(tempfile.mkdtemp(prefix="kelpline-package-"), "kelpline.zip")
+    with zipfile.ZipFile(place, "w") as file:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    file.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(place)
+    _shipped.add(application)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table *name* of a data folder; only Spark's readers touch the path."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
