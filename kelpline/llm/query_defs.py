@@ -110,7 +110,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
         SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
-               CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+               CAST(coalesce(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
         FROM v q JOIN v d ON d.vec_id <> q.vec_id
         WHERE q.vec_id % 50 = 0),
     ranked AS (

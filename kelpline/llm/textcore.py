@@ -90,7 +90,7 @@ def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray
         hashes = span_hashes(data, starts, ends)
         total = len(hashes)
         rolled = np.zeros(max(total - k + 1, 0), np.uint64)
-        for j in range(k):
+        for j in range(k if total >= k else 0):
             rolled += hashes[j : total - k + 1 + j] * POSITION[j]
         rolled = mix(rolled + np.uint64(k))
         for row in range(first, end):

@@ -1,0 +1,208 @@
+"""Edge cases of sharding, mixing, URL filters, secrets, language ID and toxicity on small tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from kelpline.llm import langid, mixing, secrets, sharding, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, size string, start string"
+
+
+def documents(spark, n=60):
+    words = ["alpha", "beta", "gamma", "delta", "être", "über"]
+    rows = [(i, " ".join(words[(i * j) % 6] for j in range(1, 3 + i % 40)), "en", None if i % 7 == 0 else f"s{i % 4}", "clash", "clash") for i in range(n)]
+    rows += [(n, None, None, None, "", ""), (n + 1, "", "en", "s1", "", ""), (n + 2, "w " * 30_000, "en", "s2", "", ""), (None, "alpha", "en", "s0", "", "")]
+    rows += [rows[5], rows[5]] + [(n + 10 + i, "same text", "en", "s9", "", "") for i in range(20)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_sharding(spark):
+    docs = documents(spark)
+    got = sharding.shard_by_bytes(docs, shards=4).collect()
+    assert len(got) == docs.count()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in got:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "bytes", None)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sharding_balance_and_groups(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 3} " * (1 + i // 3 % 9)) for i in range(3000)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() / sizes.min() < 1.05
+    assert (got.groupby("text_crc32").shard.nunique() == 1).all()
+    hot = spark.createDataFrame([(i, "one text") for i in range(800)], "doc_id long, text string")
+    assert set(sharding.shard_by_bytes(hot).toPandas().groupby("shard").size()) == {100}
+    assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
+
+
+def test_mixing(spark):
+    docs = documents(spark)
+    got = mixing.mix_sources(docs).join(docs.select(F.col("doc_id").alias("d"), "source").distinct(), F.col("doc_id").eqNullSafe(F.col("d"))).toPandas()
+    sizes = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect() if r.doc_id is not None}
+    assert all(sizes[int(r.doc_id)] == r["size"] for _, r in got.dropna(subset=["doc_id"]).iterrows())
+    assert (got.taken <= 3 * got["size"]).all()
+    totals = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), own=("source_size", "first"))
+    assert (abs(totals.taken - totals.target) <= 1).all() and (totals.target <= 3 * totals.own + 1e-6).all()
+    assert abs(totals.target.sum() - totals.own.sum()) < 1e-6
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_water_fill():
+    assert mixing.water_fill([10, 10, 80], [1, 2, 3], 3) == pytest.approx([17.5, 30.0, 52.5])
+    assert mixing.water_fill([0, 0], [1, 2], 3) == [0.0, 0.0]
+    assert mixing.water_fill([5], [2], 3) == [5.0]
+
+
+def test_schedule_inverse(spark):
+    points = ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75))
+    shares = spark.createDataFrame([(i / 20,) for i in range(21)], "s double")
+    got = [r.t for r in shares.select("s", mixing.inverse_demand(points, F.col("s")).alias("t")).orderBy("s").collect()]
+    area = lambda t: np.trapezoid(np.interp(np.linspace(0, t, 2001), *zip(*points)), np.linspace(0, t, 2001))
+    assert got[0] == 0 and got[-1] == pytest.approx(1) and got == sorted(got)
+    assert [area(t) / area(1) for t in got] == pytest.approx([i / 20 for i in range(21)], abs=1e-4)
+
+
+def test_training_rows_repeat_whole_documents(spark):
+    docs = documents(spark)
+    rows = mixing.training_rows(docs)
+    assert rows.columns == docs.columns
+    mixed = mixing.mix_sources(docs, whole=True).agg(F.sum("passes")).first()[0]
+    assert rows.count() == mixed
+    assert rows.where(F.col("text") == "w " * 30_000).count() + rows.where(F.length("text") < 60_000).count() == mixed
+
+
+def test_urls(spark):
+    urls = ["http://a.com", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/", "x://b.net/es/1", "x://b.net/pt/", None, "no scheme", "http://net/fr/", "http://com/", "http://xcom/", "http://a.com/#/", "HTTP://b.NET/fr/\n", "ftp://u@www.example.com:80/en/"]
+    pages = spark.createDataFrame([(i, u, "html", 0) for i, u in enumerate(urls)] + [(1, urls[1], "other", 1)], "page_id long, url string, html string, copies int")
+    got = url_filter.judge_urls(pages).collect()
+    assert len(got) == len(urls) + 1 and sum(r.page_id == 1 for r in got) == 2
+
+    def plain(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else None
+        if rest is None:
+            return "", "", None, "allow"
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        return host, path, best and best[1], best[2] if best else "allow"
+
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == plain(urls[r.page_id])
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+SECRET_TEXTS = [
+    None, "", "token=abcdef and Token : 'xyz_12345'", "password=short", "secret=token:abcdef", "AKIA" + "A1" * 8, "AKIA123", "é " + "0123456789abcdef" * 2,
+    "x" * 100_000 + " api_key=ABCDEF1 " + "apikey: \"q.w-e/r+t\"", "ſecret=abcdefg", "id ghp_1aB3dE5gH7jK9mN1pQ3sT5vW7yZ0123abcd end",
+    "card 4412473014894482 mail2.example.com plain words thtionhatheerthionnndere",
+]
+
+
+def brute_spans(text):
+    text = text or ""
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    rules = (("assign", assign, lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
+    return sorted((m.start(), i, m.end()) for i, (_, p, ok) in enumerate(rules) for m in p.finditer(text) if ok(m))
+
+
+def test_secrets(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(SECRET_TEXTS)] + [(2, SECRET_TEXTS[2], "y")], "doc_id long, text string, spans string")
+    got = secrets.find_secrets(docs).collect()
+    assert len(got) == len(SECRET_TEXTS) + 1
+    for r in got:
+        base = brute_spans(SECRET_TEXTS[r.doc_id])
+        line = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+    added = {r.doc_id for r in got if "format:" in r.spans}
+    assert added == {10}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[0] is None and masked[11] == SECRET_TEXTS[11] and masked[10] == "id [SECRET] end" and masked[2] == "[SECRET] and [SECRET]'"
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_automata_accept_their_formats():
+    good, bad = secrets.infer()
+    held = secrets.labelled(seed=99, each=60)
+    wrong = 0
+    for name, words in held.items():
+        for word in words:
+            better = max(a.score(word) for a in good) > max(a.score(word) for a in bad) + secrets.MARGIN
+            wrong += better != (not name.startswith("not:"))
+    assert wrong / sum(map(len, held.values())) < 0.05
+
+
+def language_docs(spark, n=240):
+    rng = np.random.default_rng(1)
+    kinds = {"xx": ["kalo", "mira", "tesu", "lupa"], "yy": ["straß", "grün", "bergt", "holz"], "zz": ["quio", "pluma", "rojo", "verde"]}
+    rows = []
+    for i in range(n):
+        lang = list(kinds)[i % 3]
+        rows.append((i, " ".join(rng.choice(kinds[lang], 30)), lang, None))
+    return rows + [(n, None, "xx", ""), (n + 1, "", None, ""), (n + 2, "123 -- !", "yy", ""), (n + 3, "kalo mira " * 20_000, None, ""), (None, "kalo mira kalo", "xx", "")]
+
+
+def test_langid_held_out(spark):
+    docs = spark.createDataFrame(language_docs(spark), "doc_id long, text string, lang string, score string")
+    model = langid.learn(docs, langid.remainder(F.col("doc_id"), 3) != 1)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    truth = {r.doc_id: r["lang"] for r in docs.collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i].lang_pred == truth[i] for i in held]) > 0.98
+    assert [got[i].lang_pred for i in (240, 241, 242, 243)] == ["und", "und", "und", "xx"] and got[240].rejected and not got[243].rejected
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = langid.identify(docs, model, keep=tuple(docs.columns))
+    assert kept.count() == docs.count() and set(docs.columns) <= set(kept.columns) | {"score"}
+    nothing = langid.identify(docs, langid.learn(docs.limit(0), F.lit(True))).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_toxicity_held_out(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = int(rng.random() < 0.25)
+        text = list(rng.choice(words, 40))
+        if toxic:
+            for _ in range(3):
+                text[int(rng.integers(40))] = str(rng.choice(["zork", "blarg", "snit"]))
+        rows.append((i, " ".join(text), i))
+        labels.append((i, toxic if i % 50 else None))
+    rows += [(900, None, 1), (901, "", 2), (902, "w1 " * 50_000, 3), (None, "zork", 4)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.learn(docs, known, langid.remainder(F.col("id"), 4) != 2)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+    held = [(got[i], t) for i, t in labels if t is not None and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(s >= 0.3) == t for s, t in held]) > 0.97
+    none = toxicity.learn(docs, known.limit(0), F.lit(True))
+    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+def test_isotonic_rises():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=500)
+    centres, levels = toxicity.isotonic(x, (rng.random(500) < 1 / (1 + np.exp(-2 * x))).astype(float))
+    assert (np.diff(centres) > 0).all() and (np.diff(levels) > 0).all()
+
+
+def test_features_follow_rows():
+    texts = pa.array(["you zork!", None, "ZORK z0rk zo*rk aaargh", "", "x " * 600_000, "zork"])
+    lexicon = toxicity._hash_words(["zork"])
+    whole = toxicity.features(texts, lexicon, np.ones(1))
+    alone = np.concatenate([toxicity.features(texts.slice(i, 1), lexicon, np.ones(1)) for i in range(len(texts))])
+    assert np.array_equal(whole, alone)
+    assert whole[0, 0] == 0.5 and whole[0, 5] == 0.5 and whole[2, 11] > 0 and whole[2, 12] > 0 and whole[2, 13] > 0
