@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,11 @@ def append_csv(rows: DataFrame, path: str, enabled: bool = True) -> None:
         rows.write.mode("append").option("header", True).csv(path)
 
 
-def event_line(rows: DataFrame, event: str) -> DataFrame:
-    """(value): the JSON line of each row, text columns without empty values."""
+def event_line(rows: DataFrame, event: str, at: Column | None = None) -> DataFrame:
+    """(value): the JSON line of each row, text columns without empty values; *at* is the event's time, if given."""
+    stamp = [] if at is None else [F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts")]
     kept = [F.when(F.col(c) != "", F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
-    return rows.select(F.to_json(F.struct(F.lit(event).alias("event"), F.lit("INFO").alias("severity"), *kept)).alias("value"))
+    return rows.select(F.to_json(F.struct(F.lit(event).alias("event"), F.lit("INFO").alias("severity"), *stamp, *kept)).alias("value"))
 
 
 def load_or_build(spark: SparkSession, path: str, fingerprint: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -40,3 +41,21 @@ def load_or_build(spark: SparkSession, path: str, fingerprint: str, build: Calla
 def append_summary(old: DataFrame | None, new: DataFrame) -> DataFrame:
     """Old and new summary rows; columns that one lacks are null."""
     return new if old is None else old.unionByName(new, allowMissingColumns=True)
+
+
+def write_metric(rows: DataFrame, path: str) -> None:
+    """A metric's rows as CSV with a header."""
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_results(summary: DataFrame, rows: DataFrame, path: str) -> None:
+    """Results and their summary as JSON; called again with more rows, it replaces what it wrote."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    summary.write.mode("overwrite").json(f"{path}/summary")
+
+
+def record_corrections(rows: DataFrame, relevant: Column, path: str, depts: tuple[str, ...] = ("ope", "ge", "lc", "oaa", "osa")) -> None:
+    """Appends (dept, topic, text) records that the gate lets through; an unknown department becomes the first."""
+    code = F.lower(F.coalesce("dept", F.lit("")))
+    kept = rows.where(F.coalesce(relevant, F.lit(False)))
+    kept.withColumn("dept", F.when(code.isin(*depts), code).otherwise(F.lit(depts[0]))).write.mode("append").parquet(path)
