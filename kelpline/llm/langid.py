@@ -3,7 +3,7 @@
 A text is the vector of its byte bigrams and trigrams (lower case, anything but letters as one space) hashed
 to DIMENSIONS, weighted by log(1 + count) times inverse document frequency and brought to length one. Each
 language has up to CLUSTERS centroids from spherical k-means. The language of the centroid with the largest
-cosine wins; a text whose cosine is far below those of the centroid's own training texts is rejected.
+cosine wins; a text whose cosine is far below those of the language's training texts is rejected.
 
 The classifier is fitted on a sample of labelled texts bounded by ``fit_per_language`` rows of each language,
 chosen by a hash of the id.
@@ -60,7 +60,7 @@ class Classifier:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # DIMENSIONS x centroids
     idf: np.ndarray
-    least: np.ndarray  # cosine of each centroid below which a text is rejected
+    least: np.ndarray  # cosine at each centroid below which a text is rejected
 
     def weigh(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = np.log1p(counts) * self.idf[found]
@@ -86,7 +86,7 @@ def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], slack: float = 0.4) -> Classifier | None:
-    """*samples*: (language, n-grams, counts). ``slack``: part of a cluster's least training cosine that is still accepted."""
+    """*samples*: (language, n-grams, counts). ``slack``: part of the least training cosine of the language that is still accepted."""
     if not samples:
         return None
     samples = sorted(samples, key=lambda s: (s[0], len(s[1]), s[1].tolist(), s[2].tolist()))
@@ -107,7 +107,9 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], slack: float = 0.4) -
             if (near == c).any():
                 model.languages.append(language)
                 centroids.append(made[c])
-                least.append(slack * float(cosines[near == c, c].min()))
+        # One bound per language: a cluster of a few odd texts lies so close to them that its own would reject good ones.
+        shared = [cosines[near == c, c].min() for c in range(len(made)) if (near == c).sum() > 1] or [1.0]
+        least += [slack * float(min(shared))] * (len(model.languages) - len(least))
     model.centroids, model.least = np.array(centroids, np.float32).T.copy(), np.array(least)
     return model
 
