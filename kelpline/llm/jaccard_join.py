@@ -8,10 +8,11 @@ one keeps the lists of a shingle short.
 1. Count the shingles of hash-ordered prefixes over all documents; the commonest ones, at most HOT, form the order.
 2. Give each document its set's digest, its prefix and a bit signature. Equal sets become one class; classes of
    equal prefix and size become one group, and only groups enter the lists of prefix shingles.
-3. Rounds of cheap links: in each list the groups are tied to one pivot (then to a few chance partners in other
-   components), candidates are expanded to classes, filtered by size and signature, verified on whole sets, and joined.
-4. What is still apart: all pairs of groups of a list in different components are expanded, filtered and verified.
-   Pairs already in one component need no verification, so large groups of copies cost rows in proportion.
+3. Cheap links: groups are expanded to their classes, and each class is verified against one pivot of its lists.
+4. What is still apart: in each list the classes of different components are compared by size and signature in
+   place. First each class outside the list's largest component brings only its nearest such partner; then all
+   partners that can still link are brought and verified on whole sets. Pairs already in one component need no
+   verification, so large groups of copies cost rows in proportion. Long lists are dealt out in pairs of blocks.
 
 Signatures bound the overlap from above (each bit is the parity of the shingles that hash to it), so the filter
 loses no link. Verification fetches whole sets for candidate classes only, chosen by a Bloom filter of fixed size.
@@ -39,8 +40,7 @@ HOT = 1 << 19  # shingles of the order that are sent to all tasks: 8 MB at most
 HOT_LEAST = 4  # prefixes that hold a shingle before it counts as common
 BITS = 1024
 BLOOM_BITS = 1 << 24
-PARTNERS = 8
-ROUNDS = 2
+BLOCK = 4096  # classes of a list that are compared in one task
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -114,20 +114,16 @@ def describe(texts: DataFrame, hot: np.ndarray, counts: np.ndarray, k: int, num:
     return texts.mapInArrow(described, "id long, n int, digest binary, head binary, signature binary, prefix array<long>")
 
 
-def _possible(num: int, den: int):
-    """Whether signatures and sizes leave room for a link."""
+def _may_link(sig_a: np.ndarray, n_a: np.ndarray, sig_b: np.ndarray, n_b: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether sizes and signatures leave room for a link, bits apart) of aligned or broadcast pairs."""
+    apart = np.bitwise_count(sig_a ^ sig_b).sum(-1).astype(np.int64)
+    total = n_a + n_b
+    most = np.minimum((total - apart) // 2, np.minimum(n_a, n_b))
+    return den * most >= num * (total - most), apart
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("sig_a", "sig_b"))
-            apart = np.bitwise_count(a ^ b).sum(1).astype(np.int64)
-            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            most = (total - apart) // 2
-            yield batch.filter(pa.array(den * most >= num * (total - most))).select(["a", "b"])
 
-    return possible
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
 def _bloom_hashes(column: str) -> list:
@@ -202,17 +198,14 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DE
     groups = keep(classes.groupBy("n", "head").agg(F.min("class").alias("group"), F.count(F.lit(1)).alias("classes")))
     grouped = keep(classes.join(groups, ["n", "head"]).select("class", "n", "signature", "group", "classes"))
     postings = keep(_postings(described, grouped, scratch))
-    links = keep(verify(texts, _filtered(_tied(postings, scratch), grouped, scratch, num, den), scratch, k, num, den))
+    links = keep(verify(texts, _tied(postings, grouped, scratch, num, den), scratch, k, num, den))
     parts = _components(grouped, links, scratch)
-    for step in range(ROUNDS):
-        placed = keep(postings.join(parts, "class"))
-        mixed = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("low") < F.col("high"))
-        left = keep(placed.join(keep(mixed.select("list")), "list"))
+    for nearest in (True, False):
+        left = _mixed_lists(postings, parts, scratch)
         if left.isEmpty():
             break
-        pairs = _all_apart(left) if step == ROUNDS - 1 else _partners(left, step)
-        more = verify(texts, _filtered(pairs, grouped, scratch, num, den), scratch, k, num, den)
-        links = keep(links.union(more))
+        pairs = keep(_apart(left, grouped, nearest, num, den))
+        links = keep(links.union(verify(texts, pairs, scratch, k, num, den)))
         parts = _components(grouped, links, scratch)
     done = cut(member.join(parts, "class").groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component")))  # all that the result reads
     scratch.drop()
@@ -234,33 +227,99 @@ def _postings(described: DataFrame, grouped: DataFrame, scratch: Scratch) -> Dat
     return shared.union(own)
 
 
-def _tied(postings: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each class of a list with the list's pivot, the one first by a hash: lists of one group of copies share few pivots."""
-    pivots = postings.groupBy("list").agg(F.min(F.struct(F.xxhash64("class").alias("luck"), "class")).alias("pivot"))
-    return postings.join(scratch.cut(pivots), "list").select(F.col("pivot.class").alias("a"), F.col("class").alias("b"))
+def _tied(postings: DataFrame, grouped: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Each class with one pivot: the first by a hash among the first ones of its lists, if the two may link."""
+    first = lambda c: F.struct(F.xxhash64(c).alias("luck"), F.col(c).alias("class"))
+    pivots = scratch.cut(postings.groupBy("list").agg(F.min(first("class")).alias("pivot")))
+    chosen = postings.join(pivots, "list").groupBy("class").agg(F.min("pivot").alias("pivot"))
+    pairs = chosen.select(F.least("class", "pivot.class").alias("a"), F.greatest("class", "pivot.class").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    one = grouped.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
+    two = grouped.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
+    met = pairs.join(one, "a").join(two, "b").where((den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a")))
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
+                ok, _ = _may_link(_signatures(batch.column("sig_a")), sizes[0], _signatures(batch.column("sig_b")), sizes[1], num, den)
+                yield batch.filter(pa.array(ok)).select(["a", "b"])
 
-def _partners(left: DataFrame, step: int) -> DataFrame:
-    """Each class of a list with the next few of the list in a chance order that are in other components."""
-    order = Window.partitionBy("list").orderBy(F.xxhash64("class", "list", F.lit(step)), "class")
-    ahead = F.array(*[F.lead(F.struct("class", "component"), j).over(order) for j in range(1, PARTNERS + 1)])
-    met = left.select("class", "component", ahead.alias("ahead")).select("class", "component", F.explode("ahead").alias("other"))
-    return met.where(F.col("other.component") != F.col("component")).select(F.col("class").alias("a"), F.col("other.class").alias("b"))
+    return scratch.cut(met.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(possible, "a long, b long"))
 
 
-def _all_apart(left: DataFrame) -> DataFrame:
-    """All pairs of classes of a list that are in different components."""
-    other = left.select("list", F.col("class").alias("b"), F.col("component").alias("d"))
-    return left.join(other, "list").where((F.col("class") < F.col("b")) & (F.col("component") != F.col("d"))).select(F.col("class").alias("a"), "b")
+def _mixed_lists(postings: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(list, class, component, m) of the lists that hold several components; m is the list's length."""
+    placed = scratch.cut(postings.join(parts, "class"))
+    sizes = placed.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+    return scratch.cut(placed.join(scratch.cut(sizes.where(F.col("low") < F.col("high")).select("list", "m")), "list"))
 
 
-def _filtered(pairs: DataFrame, grouped: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Distinct pairs of classes, a < b, that sizes and signatures allow."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    one = grouped.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("sig_a"))
-    two = grouped.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
-    near = ordered.join(one, "a").join(two, "b").where((den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a")))
-    return scratch.cut(near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_possible(num, den), "a long, b long"))
+def _apart(left: DataFrame, grouped: DataFrame, nearest: bool, num: int, den: int) -> DataFrame:
+    """Pairs a < b of classes of a list that are in different components and may link.
+
+    Lists are compared in place, whole or in pairs of blocks. With *nearest*, each class outside the largest
+    component of a block brings its nearest partner only.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = left.join(grouped.select("class", "n", "signature"), "class").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    own = F.col("block")
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("list", F.least(own, "o").alias("i"), F.greatest(own, "o").alias("j"), "class", "component", "n", "signature")
+    order = ["list", "i", "j", "component", "class"]
+    dealt = rows.repartition("list", "i", "j").sortWithinPartitions(*order)
+
+    def compare(component: np.ndarray, cls: np.ndarray, n: np.ndarray, signature: np.ndarray) -> Iterator[tuple]:
+        marks, counts = np.unique(component, return_counts=True)
+        if len(marks) < 2:
+            return
+        rest = np.flatnonzero(component != marks[np.argmax(counts)])
+        step = max(1, (1 << 22) // (len(cls) * (BITS // 64)))
+        for start in range(0, len(rest), step):
+            some = rest[start : start + step]
+            ok, apart = _may_link(signature[some][:, None], n[some][:, None], signature[None], n[None], num, den)
+            ok &= component[some][:, None] != component[None]
+            if nearest:
+                best = np.argmin(np.where(ok, apart, 1 << 30), axis=1)
+                found = ok[np.arange(len(some)), best]
+                yield from zip(cls[some][found].tolist(), cls[best][found].tolist())
+            else:
+                x, y = np.nonzero(ok)
+                yield from zip(cls[some][x].tolist(), cls[y].tolist())
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
+
+        def close(table: pa.Table) -> pa.RecordBatch:
+            """All groups of *table* but none that may go on; what one task has brought already stays out."""
+            keys = np.stack([table.column(c).to_numpy() for c in ("list", "i", "j")])
+            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+            component, cls, n = (table.column(c).to_numpy().astype(np.int64) for c in ("component", "class", "n"))
+            signature = _signatures(table.column("signature"))
+            new = {}
+            for a, b in zip(bounds, bounds[1:]):
+                if b - a > 1:
+                    for pair in compare(component[a:b], cls[a:b], n[a:b], signature[a:b]):
+                        new[min(pair), max(pair)] = None
+            fresh = [p for p in new if p not in seen]
+            if len(seen) < 1 << 20:
+                seen.update(fresh)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            last = [table.column(c)[-1].as_py() for c in ("list", "i", "j")]
+            keys = np.stack([table.column(c).to_numpy() for c in ("list", "i", "j")])
+            going = int(np.argmax((keys == np.array(last)[:, None]).all(0)))  # the last group may go on in the next batch
+            if going:
+                yield close(table.slice(0, going))
+            held = table.slice(going).to_batches()
+        if held:
+            yield close(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
 def _components(grouped: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
