@@ -17,11 +17,18 @@ from kelpline.llm import bpe, jaccard_join, langid, mixing, secrets
 from kelpline.session import shared_dir, ship, table
 
 ORACLE_SQL = None
+BATCH_ROWS = 2000  # texts that Spark hands to Python at once: they may be long
+
+
+def _ready(spark: SparkSession) -> None:
+    """The package on the executors, and small Arrow batches for the session's stages."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the rejected ones (null, letterless, or far from every centroid) go."""
-    ship(spark)
+    _ready(spark)
     columns = docs.columns
     model = langid.learn(docs, F.lit(True))
     return langid.identify(docs, model, keep=tuple(columns)).where(~F.col("rejected")).select(*columns)
@@ -29,13 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 and more over five-word shingles: the least id."""
-    ship(spark)
+    _ready(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked; ``n_chars`` follows the new text."""
-    ship(spark)
+    _ready(spark)
     columns = docs.columns
     masked = secrets.redact(docs)
     if "n_chars" in columns:
@@ -45,13 +52,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per pass of a document, in order of training; documents are taken whole."""
-    ship(spark)
+    _ready(spark)
     return mixing.training_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids and the text decoded from them."""
-    ship(spark)
+    _ready(spark)
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         coded = bpe.encode_decode(docs, file.read())
     return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "utf-8").alias("text"))
