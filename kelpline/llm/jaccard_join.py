@@ -10,8 +10,8 @@ one keeps the lists of a shingle short.
    equal prefix and size become one group, and only groups enter the lists of prefix shingles.
 3. Cheap links: groups are expanded to their classes, and each class is verified against one pivot of its lists.
 4. What is still apart: in each list the classes of different components are compared by size and signature in
-   place. First each class outside the list's largest component brings only its nearest such partner; then all
-   partners that can still link are brought and verified on whole sets. Pairs already in one component need no
+   place. First each class of a long list outside its largest component brings only its nearest such partner; then
+   all partners that can still link are brought and verified on whole sets. Pairs already in one component need no
    verification, so large groups of copies cost rows in proportion. Long lists are dealt out in pairs of blocks.
 
 Signatures bound the overlap from above (each bit is the parity of the shingles that hash to it), so the filter
@@ -25,10 +25,11 @@ links and is its own component; empty tables give no rows; other columns play no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.llm.components import connected
@@ -41,6 +42,8 @@ HOT_LEAST = 4  # prefixes that hold a shingle before it counts as common
 BITS = 1024
 BLOOM_BITS = 1 << 24
 BLOCK = 4096  # classes of a list that are compared in one task
+BATCH_ROWS = 2000  # texts that are handed to Python at once
+SHORT = 16  # lists up to this long are compared many at a time
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
@@ -190,6 +193,27 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DE
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = rows.where(F.col("id").isNotNull())
     scratch = Scratch(docs.sparkSession)
+    with _small_batches(docs.sparkSession):
+        done = _joined(texts, scratch, k, num, den)
+    scratch.drop()
+    out = rows.select("id").join(done.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
+    return out.select(F.col("id").alias(key), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS while stored tables are made: long texts then need little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _joined(texts: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
+    """(id, n, component) of the texts with words, stored."""
     keep = scratch.cut
     described = keep(describe(texts, *common_shingles(texts, scratch, k, num, den), k, num, den))
     # Classes of equal sets, then groups of classes of equal prefix and size.
@@ -200,17 +224,16 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DE
     postings = keep(_postings(described, grouped, scratch))
     links = keep(verify(texts, _tied(postings, grouped, scratch, num, den), scratch, k, num, den))
     parts = _components(grouped, links, scratch)
+    checked = None
     for nearest in (True, False):
         left = _mixed_lists(postings, parts, scratch)
         if left.isEmpty():
             break
-        pairs = keep(_apart(left, grouped, nearest, num, den))
+        pairs = _apart(left, grouped, nearest, num, den)
+        pairs = checked = keep(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         links = keep(links.union(verify(texts, pairs, scratch, k, num, den)))
         parts = _components(grouped, links, scratch)
-    done = cut(member.join(parts, "class").groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component")))  # all that the result reads
-    scratch.drop()
-    out = rows.select("id").join(done.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
-    return out.select(F.col("id").alias(key), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return cut(member.join(parts, "class").groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component")))
 
 
 def _postings(described: DataFrame, grouped: DataFrame, scratch: Scratch) -> DataFrame:
@@ -257,8 +280,8 @@ def _mixed_lists(postings: DataFrame, parts: DataFrame, scratch: Scratch) -> Dat
 def _apart(left: DataFrame, grouped: DataFrame, nearest: bool, num: int, den: int) -> DataFrame:
     """Pairs a < b of classes of a list that are in different components and may link.
 
-    Lists are compared in place, whole or in pairs of blocks. With *nearest*, each class outside the largest
-    component of a block brings its nearest partner only.
+    Lists are compared in place, whole or in pairs of blocks. With *nearest*, each class of a long list outside
+    the largest component of its block brings its nearest partner only.
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = left.join(grouped.select("class", "n", "signature"), "class").withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
@@ -291,20 +314,29 @@ def _apart(left: DataFrame, grouped: DataFrame, nearest: bool, num: int, den: in
         seen: set[tuple[int, int]] = set()
 
         def close(table: pa.Table) -> pa.RecordBatch:
-            """All groups of *table* but none that may go on; what one task has brought already stays out."""
+            """All groups of *table*, which are whole; what one task has brought of long lists already stays out."""
             keys = np.stack([table.column(c).to_numpy() for c in ("list", "i", "j")])
-            bounds = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+            bounds = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [table.num_rows]])
             component, cls, n = (table.column(c).to_numpy().astype(np.int64) for c in ("component", "class", "n"))
             signature = _signatures(table.column("signature"))
+            length = np.diff(bounds)
+            group, short = np.repeat(np.arange(len(length)), length), np.repeat(length <= SHORT, length)
+            found = []
+            for step in range(1, min(SHORT, len(cls))):
+                at = np.flatnonzero(short[:-step] & (group[:-step] == group[step:]) & (component[:-step] != component[step:]))
+                ok, _ = _may_link(signature[at], n[at], signature[at + step], n[at + step], num, den)
+                found.append(np.stack([cls[at[ok]], cls[at[ok] + step]]))
             new = {}
-            for a, b in zip(bounds, bounds[1:]):
-                if b - a > 1:
-                    for pair in compare(component[a:b], cls[a:b], n[a:b], signature[a:b]):
-                        new[min(pair), max(pair)] = None
+            for g in np.flatnonzero(length > SHORT):
+                a, b = bounds[g], bounds[g + 1]
+                for pair in compare(component[a:b], cls[a:b], n[a:b], signature[a:b]):
+                    new[min(pair), max(pair)] = None
             fresh = [p for p in new if p not in seen]
-            if len(seen) < 1 << 20:
+            if len(seen) < 1 << 17:
                 seen.update(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in fresh], pa.int64()) for i in (0, 1)], ["a", "b"])
+            found.append(np.array(fresh, np.int64).reshape(-1, 2).T)
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
