@@ -2,9 +2,9 @@
 
 Labelled credentials of each format are built into a prefix tree; states whose continuations are statistically
 compatible (Hoeffding bound, as in the ALERGIA algorithm) are merged into a probabilistic automaton. Every
-candidate, a run of credential characters, is scored by the log-likelihood of each format's automaton over
-that of the automata learned from labelled non-credentials; those above the margin add spans of kind
-``format``. The base patterns' spans always stay.
+candidate, a run of credential characters no shorter than the shortest labelled credential, is scored by the
+log-likelihood of each format's automaton over that of the automata learned from labelled non-credentials; those
+above the margin add spans of kind ``format``. The base patterns' spans always stay.
 
 Defined cases: null texts are empty; empty texts have no span; very long texts are scanned whole; equal spans
 of two kinds are both listed, by start and then kind; repeated rows get equal answers; empty tables give none;
@@ -33,8 +33,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "format")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_DIGITS = LEAST_LETTERS = 3
+CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"  # from the length of the shortest labelled credential
 MARGIN = 0.25  # nats per character by which a format must beat the non-credentials
 
 _HEX_BYTE, _CANDIDATE_BYTE, _SIGN = (np.zeros(256, bool) for _ in range(3))
@@ -47,6 +46,7 @@ def labelled(seed: int = 5, each: int = 250) -> dict[str, list[str]]:
     """Credentials by format and, under ``not:``, strings that are none; made by rule, so no real one is stored."""
     draw = random.Random(seed)
     some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    lower, capital = string.ascii_lowercase, string.ascii_uppercase
     upper, alnum, base64 = string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     syllables = [a + b for a in "bcdfghlmnprst" for b in ("a", "e", "i", "o", "u", "an", "er", "tion", "ing")]
     word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(4, 9)))
@@ -59,6 +59,10 @@ def labelled(seed: int = 5, each: int = 250) -> dict[str, list[str]]:
         "not:grouped": lambda: "-".join(some(string.digits, 4) for _ in range(draw.randint(3, 6))),
         "not:word": word,
         "not:name": lambda: draw.choice("-_/").join([word(), word(), some(string.digits, draw.randint(1, 4))]),
+        "not:lower": lambda: some(lower, draw.randint(8, 40)),
+        "not:capitals": lambda: "_".join(some(capital, draw.randint(2, 10)) for _ in range(draw.randint(2, 5))),
+        "not:camel": lambda: "".join(some(capital, 1) + some(lower, draw.randint(2, 9)) for _ in range(draw.randint(2, 5))),
+        "not:rule": lambda: draw.choice("=-_+/") * draw.randint(8, 80),
     }
     return {name: [make() for _ in range(each)] for name, make in makers.items()}
 
@@ -71,6 +75,7 @@ class Automaton:
         self.seen: list[dict[str, int]] = [{}]
         self.ends: list[int] = [0]
         self.visits: list[int] = [0]
+        self.least = min(map(len, words), default=0)
         for word in words:
             q = 0
             self.visits[0] += 1
@@ -158,6 +163,11 @@ def infer(examples: dict[str, list[str]] | None = None) -> tuple[list[Automaton]
     return [a for n, a in made.items() if not n.startswith("not:")], [a for n, a in made.items() if n.startswith("not:")]
 
 
+def shortest(automata: tuple[list[Automaton], list[Automaton]]) -> int:
+    """The length of the shortest labelled credential."""
+    return max(1, min(a.least for a in automata[0]))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end) of the base patterns' matches."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -168,11 +178,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def format_spans(text: str, automata: tuple[list[Automaton], list[Automaton]]) -> list[tuple[int, int, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
+    for m in re.finditer(CANDIDATE % shortest(automata), text):
         word = m[0]
-        if sum(c.isdigit() for c in word) >= LEAST_DIGITS and sum(c.isalpha() for c in word) >= LEAST_LETTERS:
-            if max(a.score(word) for a in automata[0]) > max(a.score(word) for a in automata[1]) + MARGIN:
-                found.append((m.start(), 3, m.end()))
+        if max(a.score(word) for a in automata[0]) > max(a.score(word) for a in automata[1]) + MARGIN:
+            found.append((m.start(), 3, m.end()))
     return found
 
 
@@ -187,10 +196,11 @@ def _long_runs(inside: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarra
 def scan(column: pa.Array, automata: tuple[list[Automaton], list[Automaton]]) -> Iterator[tuple[str, list, list]]:
     """(text, base spans, added spans) of each row, in order. Rows that hold nothing a pattern needs are passed over."""
     texts = column
+    least = min(20, shortest(automata))  # 20 for the base patterns
     for first, end, data, offsets in parts(column):
         signs = np.flatnonzero(_SIGN[data])
         worth = np.searchsorted(signs, offsets[1:]) > np.searchsorted(signs, offsets[:-1])
-        worth |= _long_runs(_CANDIDATE_BYTE[data], offsets, 20)
+        worth |= _long_runs(_CANDIDATE_BYTE[data], offsets, least)
         for row in range(first, end):
             text = (texts[row].as_py() or "") if worth[row - first] else ""
             base = base_spans(text)
