@@ -87,19 +87,19 @@ def knn_filtered_exact(spark, sf_dir):
     return retrieval.nearest(asked, corpus, 8, keys=["dept"])
 
 
-def _hybrid(spark, sf_dir) -> DataFrame:
-    vectors = _vectors(spark, sf_dir)
-    docs = _docs(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
-    corpus = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
-    asked = _asked(spark, sf_dir)
-    by_vector = corpus.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "vector")
-    lists = [retrieval.nearest(by_vector, corpus, 24), retrieval.bm25(docs, asked, 24)]
+def _hybrid(docs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """BM25 over all of *docs* and the nearest of all *vectors*, fused by union: neither list limits the other."""
+    by_vector = vectors.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "vector")
+    lists = [retrieval.nearest(by_vector, vectors, 24), retrieval.bm25(docs, asked, 24)]
     return retrieval.fuse_best_rank(lists, 24)
 
 
 @query("hybrid_minrank", oracle.HYBRID)
 def hybrid_minrank(spark, sf_dir):
-    return _hybrid(spark, sf_dir)
+    """As its SQL states: both lists over the documents that have a vector."""
+    vectors = _vectors(spark, sf_dir)
+    docs = _docs(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
+    return _hybrid(docs, vectors.join(docs.select("doc_id"), "doc_id", "left_semi"), _asked(spark, sf_dir))
 
 
 @query("rerank_overlap", oracle.RERANK)
@@ -115,8 +115,8 @@ def retrieve_and_rerank(spark, sf_dir):
     docs, asked, models = _docs(spark, sf_dir), _asked(spark, sf_dir), Offline()
     variants = retrieval.query_variants(F.col("query"), models.rewrites(F.col("query")), models.passage(F.col("query")))
     spoken = asked.withColumn("query", F.array_join(variants, " "))
-    fused = _hybrid(spark, sf_dir).withColumnRenamed("position", "rank")
-    met = fused.join(docs.select("doc_id", "text"), "doc_id").join(spoken, "query_id")
+    fused = _hybrid(docs, _vectors(spark, sf_dir), asked).withColumnRenamed("position", "rank")
+    met = fused.join(docs.select("doc_id", "text"), "doc_id", "left").join(spoken, "query_id")
     return retrieval.rerank(met, models.relevance(F.col("query"), F.col("text")), 8).select("query_id", "position", "doc_id", "rerank_score")
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from kelpline.operators import retrieval
+from kelpline.plans import queries
 
 DOCS = [(0, "alpha beta beta"), (1, "beta gamma"), (2, "delta"), (3, "alpha alpha delta Beta"), (4, ""), (5, "gamma beta"), (6, "beta")]
 
@@ -67,3 +68,13 @@ def test_rerank_short_scores_and_failure(spark):
 def test_variants(spark):
     row = spark.range(1).select(retrieval.query_variants(F.lit("q"), F.array(*map(F.lit, ["a", "q", "b", "c", "d"])), F.lit("h")).alias("v")).first()
     assert row.v == ["q", "a", "b", "c", "d"]
+
+
+def test_retrieval_reaches_documents_without_a_vector(spark, tmp_path):
+    docs = [(1, "plain words here"), (2, "other words there"), (3, "zebra quagga okapi"), (4, "more words"), (5, "last words")]
+    spark.createDataFrame([(i, t, "src1", "en", len(t)) for i, t in docs], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(1, "zebra quagga"), (9, "okapi zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries.retrieve_and_rerank(spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.doc_id, r.rerank_score) for r in rows if r.position == 1} == {(1, 3, 1.0), (9, 3, 1.0)}
+    assert {r.doc_id for r in rows if r.query_id == 1} == {1, 2, 3, 4, 5}
