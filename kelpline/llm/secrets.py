@@ -4,7 +4,8 @@ Labelled credentials of each format are built into a prefix tree; states whose c
 compatible (Hoeffding bound, as in the ALERGIA algorithm) are merged into a probabilistic automaton. Every
 candidate, a run of credential characters no shorter than the shortest labelled credential, is scored by the
 log-likelihood of each format's automaton over that of the automata learned from labelled non-credentials; those
-above the margin add spans of kind ``format``. The base patterns' spans always stay.
+above the margin add spans of kind ``format``. The base patterns' spans always stay; of a candidate that they
+overlap, what is left on each side is a candidate of its own.
 
 Defined cases: null texts are empty; empty texts have no span; very long texts are scanned whole; equal spans
 of two kinds are both listed, by start and then kind; repeated rows get equal answers; empty tables give none;
@@ -176,12 +177,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def format_spans(text: str, automata: tuple[list[Automaton], list[Automaton]]) -> list[tuple[int, int, int]]:
-    found = []
-    for m in re.finditer(CANDIDATE % shortest(automata), text):
-        word = m[0]
-        if max(a.score(word) for a in automata[0]) > max(a.score(word) for a in automata[1]) + MARGIN:
-            found.append((m.start(), 3, m.end()))
+def left_over(start: int, end: int, taken: Sequence[tuple[int, int, int]], first: int = 0) -> Iterator[tuple[int, int]]:
+    """What the spans *taken*, in order and from number *first*, leave of start to end."""
+    for i in range(first, len(taken)):
+        s, _, e = taken[i]
+        if s >= end:
+            break
+        if e > start:
+            if s > start:
+                yield start, s
+            start = e
+    if start < end:
+        yield start, end
+
+
+def format_spans(text: str, automata: tuple[list[Automaton], list[Automaton]], taken: Sequence[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """Added spans: of each candidate, what the spans *taken* leave on each side is scored."""
+    found, least, first = [], shortest(automata), 0
+    for m in re.finditer(CANDIDATE % least, text):
+        while first < len(taken) and taken[first][2] <= m.start():
+            first += 1
+        for start, end in left_over(m.start(), m.end(), taken, first):
+            word = text[start:end]
+            if len(word) >= least and max(a.score(word) for a in automata[0]) > max(a.score(word) for a in automata[1]) + MARGIN:
+                found.append((start, 3, end))
     return found
 
 
@@ -204,9 +223,7 @@ def scan(column: pa.Array, automata: tuple[list[Automaton], list[Automaton]]) ->
         for row in range(first, end):
             text = (texts[row].as_py() or "") if worth[row - first] else ""
             base = base_spans(text)
-            taken = [(s, e) for s, _, e in base]
-            added = [x for x in format_spans(text, automata) if not any(s < x[2] and x[0] < e for s, e in taken)]
-            yield text, base, added
+            yield text, base, format_spans(text, automata, base)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:

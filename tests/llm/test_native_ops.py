@@ -161,6 +161,17 @@ def test_secrets_shorter_formats(spark):
     assert {r.doc_id: r.spans for r in secrets.find_secrets(docs, examples=examples).collect()} == {1: "format:3:13", 2: ""}
 
 
+def test_secrets_beside_base_spans(spark):
+    key, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "/ghp_1aB3dE5gH7jK9mN1pQ3sT5vW7yZ0123abcd"
+    texts = [f"a /{key}{token} b", f"a {token[1:]}/{key}{token} b", f"a {key}/{key} b", f"a {token[1:]}_token={token[1:]} b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert spans[0] == "hex:3:43,format:43:83" and spans[1] == "format:2:42,hex:42:82,format:82:122" and spans[2] == "hex:2:42,hex:43:83"
+    assert spans[3] == "format:2:42,assign:42:87"
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert masked[0] == "a /[SECRET][SECRET] b" and not any("ghp_" in t or key in t for t in masked.values())
+
+
 def language_docs(spark, n=240):
     rng = np.random.default_rng(1)
     kinds = {"xx": ["kalo", "mira", "tesu", "lupa"], "yy": ["straß", "grün", "bergt", "holz"], "zz": ["quio", "pluma", "rojo", "verde"]}
