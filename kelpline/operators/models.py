@@ -23,6 +23,8 @@ class Models(Protocol):
 
     def passage(self, query: Column) -> Column: ...
 
+    def embed(self, text: Column, own: Column) -> Column: ...
+
     def relevance(self, query: Column, body: Column) -> Column: ...
 
     def route_reply(self, question: Column) -> Column: ...
@@ -31,7 +33,7 @@ class Models(Protocol):
 
 
 class Offline:
-    """Stand-ins: no rewrite, the query as its own passage, token overlap as relevance and as judgement."""
+    """Stand-ins: no rewrite, the query as its own passage, its stored vector for any text, token overlap as relevance and as judgement."""
 
     def rewrites(self, query: Column) -> Column:
         return F.array(query)
@@ -39,6 +41,9 @@ class Offline:
     def passage(self, query: Column) -> Column:
         return query
 
+    def embed(self, text: Column, own: Column) -> Column:
+        return own
+
     def relevance(self, query: Column, body: Column) -> Column:
         return overlap_score(query, body)
 

@@ -115,6 +115,10 @@ def fuse_best_rank(lists: Sequence[DataFrame], k: int) -> DataFrame:
     for number, ranked in enumerate(lists):
         own = ranked.select("query_id", "doc_id", "rank", F.lit(number).alias("list_no"))
         rows = own if rows is None else rows.unionByName(own)
+    return _fuse(rows, k)
+
+
+def _fuse(rows: DataFrame, k: int) -> DataFrame:
     best = rows.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best_rank"), F.min(F.struct("list_no", "rank")).alias("first"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("best_rank", "first", "doc_id"))
     fused = best.withColumn("position", place).where(F.col("position") <= k)
@@ -126,6 +130,17 @@ def query_variants(query: Column, rewrites: Column, passage: Column, most: int =
     return F.slice(F.array_distinct(F.concat(F.array(query), rewrites, F.array(passage))), 1, most)
 
 
+def fuse_variants(docs: DataFrame, vectors: DataFrame, variants: DataFrame, k: int, most: int = 5) -> DataFrame:
+    """The fused lists of *variants* (query_id, number below *most*, words, vector or null): the nearest of each, and BM25 of all their words."""
+    # One search for all variants: a list's id is its query's times *most*, plus the variant's number.
+    asked = variants.where(F.col("vector").isNotNull()).select((F.col("query_id") * most + F.col("number")).alias("query_id"), "vector")
+    number = F.pmod(F.col("query_id"), F.lit(most)).cast("int")
+    near = nearest(asked, vectors, k).select(F.expr(f"(query_id - pmod(query_id, {most})) div {most}").alias("query_id"), "doc_id", "rank", number.alias("list_no"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("number", "words"))), lambda v: v["words"])  # *most* at most
+    spoken = variants.groupBy("query_id").agg(F.array_join(words, " ").alias("query"))
+    return _fuse(near.unionByName(bm25(docs, spoken, k).select("query_id", "doc_id", "rank", F.lit(most).alias("list_no"))), k)
+
+
 def overlap_score(query: Column, body: Column, snippet: int = 300) -> Column:
     """The offline stand-in for a reranking model: share of the query's distinct tokens found in the snippet."""
     asked = F.array_distinct(tx.index_tokens(query))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.operators import chunking, evaluation, feedback, lookup, metadata, retrieval, state
-from kelpline.operators.models import Offline
+from kelpline.operators.models import Models, Offline
 from kelpline.plans import oracle
 from kelpline.session import table
 
@@ -110,13 +110,15 @@ def rerank_overlap(spark, sf_dir):
 
 
 @query("retrieve_and_rerank")
-def retrieve_and_rerank(spark, sf_dir):
-    """The whole pipeline: variants, both lists, fusion, reranking, final cut."""
-    docs, asked, models = _docs(spark, sf_dir), _asked(spark, sf_dir), Offline()
-    variants = retrieval.query_variants(F.col("query"), models.rewrites(F.col("query")), models.passage(F.col("query")))
-    spoken = asked.withColumn("query", F.array_join(variants, " "))
-    fused = _hybrid(docs, _vectors(spark, sf_dir), asked).withColumnRenamed("position", "rank")
-    met = fused.join(docs.select("doc_id", "text"), "doc_id", "left").join(spoken, "query_id")
+def retrieve_and_rerank(spark, sf_dir, models: Models | None = None):
+    """The whole pipeline: variants, the nearest of each, BM25 of all their words, fusion, reranking, final cut."""
+    docs, vectors, asked, models = _docs(spark, sf_dir), _vectors(spark, sf_dir), _asked(spark, sf_dir), models or Offline()
+    own = vectors.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("own"))
+    texts = retrieval.query_variants(F.col("query"), models.rewrites(F.col("query")), models.passage(F.col("query")))
+    variants = asked.join(own, "query_id", "left").select("query_id", "own", F.posexplode(texts).alias("number", "words"))
+    variants = variants.select("query_id", "number", "words", models.embed(F.col("words"), F.col("own")).alias("vector"))
+    fused = retrieval.fuse_variants(docs, vectors, variants, 24).withColumnRenamed("position", "rank")
+    met = fused.join(docs.select("doc_id", "text"), "doc_id", "left").join(asked, "query_id")
     return retrieval.rerank(met, models.relevance(F.col("query"), F.col("text")), 8).select("query_id", "position", "doc_id", "rerank_score")
 
 

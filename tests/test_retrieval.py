@@ -5,6 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from kelpline.operators import retrieval
+from kelpline.operators.models import Offline
 from kelpline.plans import queries
 
 DOCS = [(0, "alpha beta beta"), (1, "beta gamma"), (2, "delta"), (3, "alpha alpha delta Beta"), (4, ""), (5, "gamma beta"), (6, "beta")]
@@ -78,3 +79,21 @@ def test_retrieval_reaches_documents_without_a_vector(spark, tmp_path):
     rows = queries.retrieve_and_rerank(spark, str(tmp_path)).collect()
     assert {(r.query_id, r.doc_id, r.rerank_score) for r in rows if r.position == 1} == {(1, 3, 1.0), (9, 3, 1.0)}
     assert {r.doc_id for r in rows if r.query_id == 1} == {1, 2, 3, 4, 5}
+
+
+class Rewriting(Offline):
+    def rewrites(self, query):
+        return F.array(F.lit("okapi"), F.lit("far"))
+
+    def embed(self, text, own):
+        return F.when(text == "far", F.array(F.lit(100.0), F.lit(0.0))).otherwise(own)
+
+
+def test_variants_reach_both_lists(spark, tmp_path):
+    docs = [(i, f"filler number{i}") for i in range(60)] + [(60, "okapi"), (61, "distant"), (-7, "zebra")]
+    spark.createDataFrame([(i, t, "src1", "en", len(t)) for i, t in docs], "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [100.0 if i == 61 else i / 100, 0.0]) for i, _ in docs], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(-7, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {name: {r.doc_id for r in queries.retrieve_and_rerank(spark, str(tmp_path), models).collect()} for name, models in (("plain", Offline()), ("rewritten", Rewriting()))}
+    assert -7 in found["plain"] and not {60, 61} & found["plain"]
+    assert {-7, 60, 61} <= found["rewritten"]
