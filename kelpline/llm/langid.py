@@ -2,8 +2,9 @@
 
 A text is the vector of its byte bigrams and trigrams (lower case, anything but letters as one space) hashed
 to DIMENSIONS, weighted by log(1 + count) times inverse document frequency and brought to length one. Each
-language has up to CLUSTERS centroids from spherical k-means. The language of the centroid with the largest
-cosine wins; a text whose cosine is far below those of the language's training texts is rejected.
+language has up to CLUSTERS centroids from spherical k-means, none for a few odd texts. The language of the centroid with the largest
+cosine wins; a text whose cosine is far below those of the language's training texts, for its number of n-grams,
+is rejected.
 
 The classifier is fitted on a sample of labelled texts bounded by ``fit_per_language`` rows of each language,
 chosen by a hash of the id.
@@ -29,6 +30,7 @@ from kelpline.llm.textcore import parts
 DIMENSIONS = 1 << 13
 CLUSTERS = 3
 ROUNDS = 12
+LEAST_SHARE = 0.1
 UNKNOWN = "und"
 _SHIFT = np.uint32(32 - 13)
 _LETTER_OR_SPACE = np.full(256, 0x20, np.uint8)
@@ -55,12 +57,18 @@ def vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             yield row, found, counts[found]
 
 
+def share(n: np.ndarray | int, full: float) -> np.ndarray:
+    """How a text's cosine falls with its distinct n-grams, if they are fewer than *full*."""
+    return np.sqrt(np.minimum(1.0, n / full))
+
+
 @dataclass
 class Classifier:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # DIMENSIONS x centroids
     idf: np.ndarray
-    least: np.ndarray  # cosine at each centroid below which a text is rejected
+    least: np.ndarray  # cosine at each centroid below which a text of *full* n-grams is rejected
+    full: np.ndarray
 
     def weigh(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         values = np.log1p(counts) * self.idf[found]
@@ -69,19 +77,27 @@ class Classifier:
     def predict(self, found: np.ndarray, counts: np.ndarray) -> tuple[str, float, bool]:
         cosines = self.weigh(found, counts) @ self.centroids[found]
         best = int(np.argmax(cosines))
-        return self.languages[best], float(min(max(cosines[best], 0.0), 1.0)), bool(cosines[best] < self.least[best])
-
-
-def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Unit centroids of spherical k-means, started from rows far from each other."""
-    centroids = [rows.mean(0)]
-    for _ in range(1, min(k, len(rows))):
-        centroids.append(rows[int(np.argmin(np.max(rows @ np.array(centroids).T, axis=1)))])
-    centroids = np.array(centroids)
-    for _ in range(rounds):
-        near = np.argmax(rows @ centroids.T, axis=1)
-        centroids = np.array([rows[near == c].mean(0) if (near == c).any() else centroids[c] for c in range(len(centroids))])
-        centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+        return self.languages[best], float(min(max(cosines[best], 0.0), 1.0)), bool(cosines[best] < self.least[best] * share(len(found), self.full[best]))
+
+
+def cluster(rows: np.ndarray, k: int, rounds: int = ROUNDS, tries: int = 8, seed: int = 0) -> np.ndarray:
+    """Unit centroids of spherical k-means from k-means++ seeds. A cluster of less than LEAST_SHARE of an even share is seeded anew, and in the end dropped."""
+    draw = np.random.default_rng(seed)
+    k = min(k, len(rows))
+    least = LEAST_SHARE * len(rows) / k
+    centroids = rows[draw.integers(len(rows))][None]
+    for turn in range(tries):
+        while len(centroids) < k:
+            apart = np.maximum(1 - np.max(rows @ centroids.T, axis=1), 0).astype(float) + 1e-12
+            centroids = np.concatenate([centroids, rows[draw.choice(len(rows), p=apart / apart.sum())][None]])
+        for _ in range(rounds):
+            near = np.argmax(rows @ centroids.T, axis=1)
+            centroids = np.array([rows[near == c].mean(0) if (near == c).any() else centroids[c] for c in range(len(centroids))])
+            centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+        sizes = np.bincount(np.argmax(rows @ centroids.T, axis=1), minlength=k)
+        if (sizes >= least).all():
+            break
+        centroids = centroids[sizes >= least]
     return centroids
 
 
@@ -93,8 +109,8 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], slack: float = 0.4) -
     seen = np.zeros(DIMENSIONS)
     for _, found, _ in samples:
         seen[found] += 1
-    model = Classifier([], np.zeros((DIMENSIONS, 0)), np.log((1 + len(samples)) / (1 + seen)) + 1.0, np.zeros(0))
-    centroids, least = [], []
+    model = Classifier([], np.zeros((DIMENSIONS, 0)), np.log((1 + len(samples)) / (1 + seen)) + 1.0, np.zeros(0), np.zeros(0))
+    centroids, least, full = [], [], []
     for language in sorted({s[0] for s in samples}):
         own = [s for s in samples if s[0] == language]
         rows = np.zeros((len(own), DIMENSIONS), np.float32)
@@ -107,10 +123,12 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]], slack: float = 0.4) -
             if (near == c).any():
                 model.languages.append(language)
                 centroids.append(made[c])
-        # One bound per language: a cluster of a few odd texts lies so close to them that its own would reject good ones.
-        shared = [cosines[near == c, c].min() for c in range(len(made)) if (near == c).sum() > 1] or [1.0]
-        least += [slack * float(min(shared))] * (len(model.languages) - len(least))
-    model.centroids, model.least = np.array(centroids, np.float32).T.copy(), np.array(least)
+        # One bound per language, for a text of the median number of n-grams: shorter texts have smaller cosines.
+        held = np.array([len(found) for _, found, _ in own])
+        middle = max(float(np.median(held)), 1.0)
+        least += [slack * float((cosines.max(1) / np.maximum(share(held, middle), 1e-12)).min())] * (len(model.languages) - len(least))
+        full += [middle] * (len(model.languages) - len(full))
+    model.centroids, model.least, model.full = np.array(centroids, np.float32).T.copy(), np.array(least), np.array(full)
     return model
 
 

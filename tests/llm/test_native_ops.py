@@ -197,6 +197,21 @@ def test_langid_held_out(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_langid_clusters_and_short_texts():
+    rng = np.random.default_rng(4)
+    topics = [["kalo", "mira", "tesu"], ["lupa", "bono", "fide"], ["gare", "hosu", "nike"]]
+    texts = [" ".join(rng.choice(topics[i % 3], 40)) for i in range(300)] + ["zxqj", "wvkk"]
+    rows = np.zeros((len(texts), langid.DIMENSIONS), np.float32)
+    made = list(langid.vectors(pa.array(texts)))
+    for r, found, counts in made:
+        rows[r, found] = np.log1p(counts) / np.linalg.norm(np.log1p(counts))
+    near = np.argmax(rows @ langid.cluster(rows, 3).T, axis=1)
+    assert sorted(np.bincount(near[:300])) == [100, 100, 100]
+    model = langid.fit([("xx", found, counts) for _, found, counts in made[:300]])
+    judged = [model.predict(found, counts)[2] for _, found, counts in langid.vectors(pa.array(["Kalo.", "hosu", "zxqj", "qwrt plkj zxcv " * 20]))]
+    assert judged == [False, False, True, True]
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(200)]
