@@ -10,9 +10,20 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch, unless the session names a bound of its own
+
 _shipped: set[str] = set()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Makes a session ready for operators that run Python: the package on the executors, and Arrow batches bounded
+    by bytes, so that long texts need little memory. A bound that the session already has stays."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application: their Python need not have it installed."""
     application = spark.sparkContext.applicationId
@@ -32,22 +43,27 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table *name* of a data folder; only Spark's readers touch the path."""
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); one of our own only where none is set."""
+    """The folder the cluster shares (``spark.checkpoint.dir``). Where none is set: one beside the warehouse's tables,
+    which a cluster shares too, and a folder of this machine only if the whole application runs on it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="kelpline-checkpoint-")
+        master = context.master
+        if master == "local" or master.startswith("local["):
+            named = tempfile.mkdtemp(prefix="kelpline-checkpoint-")
+        else:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kelpline-checkpoint"
         context.setCheckpointDir(named)
     return named
 
 
 class Scratch:
-    """Tables of a job in the shared folder. Storing a table cuts its lineage: a lost executor costs no more than
+    """Tables of a job in the shared folder, removed at the end of a ``with`` block, also of one that fails. Storing a table cuts its lineage: a lost executor costs no more than
     a read, and the planner sees its true size (a checkpoint would hand on the product of its inputs' estimates)."""
 
     def __init__(self, spark: SparkSession):
@@ -65,6 +81,12 @@ class Scratch:
         df.write.parquet(place)
         return self.spark.read.schema(df.schema).parquet(place)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
     def drop(self) -> None:
         """Removes the tables; nothing may still read them."""
         self.files.delete(self.path, True)
