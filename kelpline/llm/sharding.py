@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from kelpline.session import cut
+from kelpline.session import cut, prepare
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,6 +36,7 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_offsets(rows: DataFrame, order: list[str]) -> DataFrame:
     """*rows* (with a long ``size``) with the bytes and rows before each in the global order of *order*."""
+    prepare(rows.sparkSession)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = StructType([*ordered.schema, StructField("start_in_part", LongType()), StructField("row_in_part", LongType())])
@@ -66,7 +67,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, snap: float = 0.02, key: st
         F.crc32(F.encode(whole, "utf-8")).alias("crc"),
         F.xxhash64(whole).alias("digest"),
     )
-    placed = with_offsets(rows, ["crc", "digest", "id"])
+    placed = with_offsets(cut(rows), ["crc", "digest", "id"])  # stored, so that texts are read once
     total = placed.agg(F.sum("size")).first()[0] or 0
     target = total / shards
     wanted = [total * k // shards for k in range(1, shards)]

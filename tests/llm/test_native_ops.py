@@ -1,6 +1,7 @@
 """Edge cases of sharding, mixing, URL filters, secrets, language ID and toxicity on small tables."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -71,13 +72,74 @@ def test_schedule_inverse(spark):
     assert [area(t) / area(1) for t in got] == pytest.approx([i / 20 for i in range(21)], abs=1e-4)
 
 
-def test_training_rows_repeat_whole_documents(spark):
+def plain_mix(rows, whole):
+    """(doc_id, place) -> (taken, positions) by laying the words of each source end to end; *rows*: (id, source, size, place)."""
+    sources = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r[2] for r in rows if r[1] == s) for s in sources]
+    targets = mixing.water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sources))], 3)
+    grid = np.linspace(0, 1, 400_001)
+    out = {}
+    for i, s in enumerate(sources):
+        rate = np.interp(grid, *zip(*mixing.SCHEDULES[i % 3]))
+        passed = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+        passed /= passed[-1]
+        begin, wanted = 0, int(round(targets[i]))
+        for doc, _, size, place in sorted((r for r in rows if r[1] == s), key=lambda r: r[3]):
+            left = [wanted - k * sizes[i] - begin for k in range(3)]
+            got = [size if 2 * x > size else 0 for x in left] if whole else [max(min(x, size), 0) for x in left]
+            at = [float(np.interp((k * sizes[i] + begin) / wanted, passed, grid)) for k in range(3) if got[k] > 0]
+            out[doc, place] = (sum(got), at)
+            begin += size
+    return out
+
+
+def test_mixing_equals_plain(spark):
+    docs = documents(spark).dropDuplicates(["doc_id", "text"])
+    source = {r.doc_id: r.source for r in docs.collect()}
+    for whole in (False, True):
+        got = mixing.mix_sources(docs, whole=whole).collect()
+        want = plain_mix([(r.doc_id, source[r.doc_id], r["size"], r.place) for r in got], whole)
+        assert len(got) == len(want)
+        for r in got:
+            taken, at = want[r.doc_id, r.place]
+            assert r.taken == taken and r.positions == pytest.approx(at, abs=1e-4)
+
+
+def test_training_rows_in_order_of_position(spark):
     docs = documents(spark)
     rows = mixing.training_rows(docs)
-    assert rows.columns == docs.columns
-    mixed = mixing.mix_sources(docs, whole=True).agg(F.sum("passes")).first()[0]
-    assert rows.count() == mixed
-    assert rows.where(F.col("text") == "w " * 30_000).count() + rows.where(F.length("text") < 60_000).count() == mixed
+    assert rows.columns == docs.columns and rows.rdd.getNumPartitions() == 4
+    mixed = mixing.mix_sources(docs, whole=True).collect()
+    order = sorted((p, r.doc_id if r.doc_id is not None else -1) for r in mixed for p in r.positions)
+    got = [r.doc_id if r.doc_id is not None else -1 for r in rows.collect()]
+    assert len(got) == len(order)
+    for _, tied in itertools.groupby(range(len(order)), key=lambda i: order[i][0]):
+        tied = list(tied)
+        assert sorted(got[i] for i in tied) == [order[i][1] for i in tied]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(text[r.doc_id] == r.text for r in rows.collect())
+    words = [sum(len((r.text or "").split()) for r in part) for part in rows.select("text").rdd.glom().collect()]
+    assert max(words) - min(words) <= 60_000  # stretches of equal demand, but for the longest text
+
+
+def test_training_rows_of_copies_and_of_nothing(spark):
+    schema = "doc_id long, text string, source string, position double, place long, mark string"
+    rows = [(None, "a b c", "s", 1.0, 2, None)] * 900 + [(None, "a b c", None, 1.0, 2, None)] * 5 + [(i, "d e", "t", None, None, "m") for i in range(50)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.training_rows(docs).collect()
+    passes = mixing.mix_sources(docs, whole=True).agg(F.sum("passes")).first()[0]
+    assert len(got) == passes and {tuple(r) for r in got} <= set(rows)
+    assert mixing.training_rows(docs.limit(0)).count() == 0
+    empty = spark.createDataFrame([(1, None, "s"), (2, "", None)], "doc_id long, text string, source string")
+    assert mixing.training_rows(empty).count() == 0
+    assert mixing.documents_by_position(mixing.mix_sources(docs.limit(0))).count() == 0
+
+
+def test_demand_inverts(spark):
+    for points in mixing.SCHEDULES:
+        times = spark.createDataFrame([(i / 20,) for i in range(21)], "t double")
+        back = times.select("t", mixing.inverse_demand(points, mixing.demand(points, F.col("t"))).alias("b")).collect()
+        assert [r.b for r in back] == pytest.approx([r.t for r in back], abs=1e-9)
 
 
 def test_urls(spark):
