@@ -87,6 +87,10 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop()
 
+    def remove(self, number: int) -> None:
+        """Removes the table that was cut as the *number*-th; nothing may still read it."""
+        self.files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{number}"), True)
+
     def drop(self) -> None:
         """Removes the tables; nothing may still read them."""
         self.files.delete(self.path, True)
