@@ -5,8 +5,8 @@ follows it up to the next ASCII white space. The scan splits texts into blocks o
 keeps its documents as numbers into its own list of distinct words, by falling count. The lists of all blocks
 meet by a hash of the word, where each distinct word is encoded once by the tokenizer library; the ids
 return to their blocks, where they take the words' positions again. Only lists of words, ids and compressed word
-numbers are shuffled, never a row per word of a text. Decoding looks each id up in the vocabulary's table of
-pieces, whose size the tokenizer fixes, and joins the pieces.
+numbers are shuffled, never a row per word of a text. Decoding joins each id to its piece in the vocabulary's table
+of pieces, by position: the tokenizer fixes its size, so every task holds it whole.
 
 Defined cases: null and empty texts have no ids and decode to the empty string; one very long text makes a
 block of its own; equal and repeated rows each get their row, null ids included; empty tables give no rows.
@@ -27,8 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.textcore import SPACE, parts, span_hashes
+from kelpline.session import prepare
 
 BLOCK_BYTES = 16 << 20  # text in a block, but for one longer text
+BUCKET_BYTES = 128 << 20  # text whose words go to one bucket, if shuffle partitions are fewer than that makes
+MOST_BUCKETS = 1 << 13  # each block has a row for each bucket
+KNOWN = 1 << 20  # words that a task keeps with their ids
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -72,41 +76,62 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.searchsorted(starts, offsets)
 
 
+class _Piece:
+    """A run of rows: its distinct words by hash, and each word of a row as a number into them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, self.bounds = unit_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        hashes = span_hashes(data, starts, ends)
+        self.keys, first, codes, self.counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.codes, self.starts, self.ends = codes.astype(np.uint32), starts[first].astype(np.int32), ends[first].astype(np.int32)
+        self.seconds = span_hashes(data, starts, ends, second=True)
+        _same(self.seconds, first, codes)
+        self.data, self.seconds = data.tobytes(), self.seconds[first]
+
+
+def _same(seconds: np.ndarray, first: np.ndarray, codes: np.ndarray) -> None:
+    if not np.array_equal(seconds[first][codes], seconds):
+        raise ValueError("two words share one 64-bit hash and not another")
+
+
 class _Block:
-    """Documents of a block and its distinct words, by falling count and then by hash."""
-
-    def __init__(self, name: str, ids: list, pieces: list):
-        self.name, self.ids = name, ids
-        self.data = np.concatenate([p[0] for p in pieces])
-        shifts = np.cumsum([0, *(len(p[0]) for p in pieces)]).tolist()
-        self.starts = np.concatenate([p[1] + s for p, s in zip(pieces, shifts)])
-        self.ends = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
-        places = np.cumsum([0, *(len(p[1]) for p in pieces)]).tolist()
-        self.bounds = np.concatenate([[0], *(p[2][1:] + s for p, s in zip(pieces, places))])
-        self.hashes = np.concatenate([p[3] for p in pieces])
-        self.keys, first, inverse, counts = np.unique(self.hashes, return_index=True, return_inverse=True, return_counts=True)
-        if len(self.keys) and not np.array_equal((self.ends - self.starts)[first][inverse], self.ends - self.starts):
-            raise ValueError("two words of different length share a 64-bit hash")
-        order = np.lexsort((self.keys, -counts))
+    """Documents of a block and its distinct words, by falling count and then by hash. Words are told apart by 128 bits."""
+
+    def __init__(self, name: str, ids: list, pieces: list[_Piece]):
+        self.name, self.ids, self.pieces = name, ids, pieces
+        keys, first, codes = np.unique(np.concatenate([p.keys for p in pieces]), return_index=True, return_inverse=True)
+        _same(np.concatenate([p.seconds for p in pieces]), first, codes)
+        counts = np.bincount(codes, np.concatenate([p.counts for p in pieces]), len(keys)).astype(np.int64)
+        order = np.lexsort((keys, -counts))
         number = np.empty(len(order), np.uint32)
         number[order] = np.arange(len(order))
-        self.codes, self.first, self.keys = number[inverse], first[order], self.keys[order]
+        cuts = np.cumsum([0, *(len(p.keys) for p in pieces)])
+        self.numbers = [number[codes[a:b]] for a, b in zip(cuts, cuts[1:])]
+        first = first[order]
+        self.piece = np.searchsorted(cuts, first, "right") - 1
+        self.place, self.keys = first - cuts[self.piece], keys[order]
         self.seal = int((self.keys * np.arange(1, len(order) + 1, dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
     def documents(self) -> Iterator[tuple]:
-        for row, doc_id in enumerate(self.ids):
-            codes = self.codes[self.bounds[row] : self.bounds[row + 1]]
-            yield self.name, self.seal, doc_id, _pack(codes)
+        ids = iter(self.ids)
+        for piece, numbers in zip(self.pieces, self.numbers):
+            for a, b in zip(piece.bounds, piece.bounds[1:]):
+                yield self.name, self.seal, next(ids), _pack(numbers[piece.codes[a:b]])
+
+    def _word(self, i: int) -> bytes:
+        piece, at = self.pieces[self.piece[i]], self.place[i]
+        return piece.data[piece.starts[at] : piece.ends[at]]
 
     def words(self, buckets: int) -> Iterator[tuple]:
         bucket = self.keys % np.uint64(buckets)
-        for b in np.unique(bucket):
-            own = np.flatnonzero(bucket == b)
-            spans = [self.data[self.starts[i] : self.ends[i]].tobytes() for i in self.first[own]]
+        order = np.argsort(bucket, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+            spans = [self._word(i) for i in own]
             lengths = np.array([len(s) for s in spans], np.uint32)
             steps = np.diff(own, prepend=-1).astype(np.uint32)
             packed = zstandard.ZstdCompressor(level=1).compress(b"".join(spans))
-            yield self.name, self.seal, int(b), _pack(steps), _pack(lengths), packed
+            yield self.name, self.seal, int(bucket[own[0]]), _pack(steps), _pack(lengths), packed
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Block]:
@@ -120,9 +145,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Block]:
                 yield _Block(f"{part}:{made}", ids, pieces)
                 ids, pieces, size, made = [], [], 0, made + 1
             ids += doc_ids[first:end]
-            starts, bounds = unit_starts(data, offsets)
-            ends = np.append(starts[1:], len(data))[: len(starts)]
-            pieces.append((data.copy(), starts, bounds, span_hashes(data, starts, ends)))
+            pieces.append(_Piece(data, offsets))
             size += len(data)
     if ids:
         yield _Block(f"{part}:{made}", ids, pieces)
@@ -188,7 +211,8 @@ def _encoder(tokenizer_json: str):
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                if row["bucket"] != bucket:  # all rows of a bucket lie together, so each word is encoded once
+                # All rows of a bucket lie together, so each word is encoded once, but for those that KNOWN puts out.
+                if row["bucket"] != bucket or len(known) > KNOWN:
                     bucket, known = row["bucket"], {}
                 joined = zstandard.ZstdDecompressor().decompress(row["spans"])
                 ends = np.cumsum(_unpack(row["lengths"]).astype(np.int64))
@@ -243,8 +267,11 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, digests: bool = False, b
     ``tokenizer_json`` is the content of a byte-level BPE file of the tokenizers library.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepare(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    estimate = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, for stored tables
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(MOST_BUCKETS, max(shuffle, estimate // BUCKET_BYTES)))
 
     def numbered(batches):
         return _in_batches((r for b in _blocks(batches, block_bytes) for r in b.documents()), DOCS)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.components import connected
-from kelpline.session import Scratch, cut
+from kelpline.session import Scratch, cut, prepare
 
 TREES = 6
 SPILL = 0.03  # of a unit projection, on each side of the cut
@@ -161,6 +161,7 @@ def _cells(classes: DataFrame, trees: int, cell: int, scratch: Scratch) -> DataF
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES, cell: int = CELL, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
+    prepare(vectors.sparkSession)
     v = F.col("v")
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull()
     fine &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)

@@ -25,16 +25,15 @@ links and is its own component; empty tables give no rows; other columns play no
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.llm.components import connected
 from kelpline.llm.textcore import mix, shingle_sets
-from kelpline.session import Scratch, cut
+from kelpline.session import Scratch, cut, prepare
 
 NUM, DEN = 80, 100
 HOT = 1 << 19  # shingles of the order that are sent to all tasks: 8 MB at most
@@ -42,7 +41,6 @@ HOT_LEAST = 4  # prefixes that hold a shingle before it counts as common
 BITS = 1024
 BLOOM_BITS = 1 << 24
 BLOCK = 4096  # classes of a list that are compared in one task
-BATCH_ROWS = 2000  # texts that are handed to Python at once
 SHORT = 16  # lists up to this long are compared many at a time
 
 
@@ -192,26 +190,13 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DE
     """(key, n_shingles, component_id) of every row; links join Jaccard similarities of num/den and more."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = rows.where(F.col("id").isNotNull())
-    scratch = Scratch(docs.sparkSession)
-    with _small_batches(docs.sparkSession):
+    prepare(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
         done = _joined(texts, scratch, k, num, den)
-    scratch.drop()
     out = rows.select("id").join(done.withColumnRenamed("id", "known"), F.col("id") == F.col("known"), "left")
     return out.select(F.col("id").alias(key), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-@contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_ROWS while stored tables are made: long texts then need little memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _joined(texts: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
     """(id, n, component) of the texts with words, stored."""
     keep = scratch.cut

@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.textcore import parts
+from kelpline.session import prepare
 
 DIMENSIONS = 1 << 13
 CLUSTERS = 3
 ROUNDS = 12
 LEAST_SHARE = 0.1
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 _SHIFT = np.uint32(32 - 13)
 _LETTER_OR_SPACE = np.full(256, 0x20, np.uint8)
@@ -138,8 +140,12 @@ def remainder(key: Column, parts_: int) -> Column:
 
 def learn(docs: DataFrame, learnable: Column, fit_per_language: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier | None:
     """Fits on at most about ``fit_per_language`` of the rows of each language for which *learnable* holds."""
+    prepare(docs.sparkSession)
     rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    counted_rows = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counted_rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    totals = {r["lang"]: r["count"] for r in counted_rows}
     chance = F.pmod(F.xxhash64(F.col("k"), F.lit("langid")), F.lit(1_000_000))
     wanted = [(F.col("lang") == F.lit(name)) & (chance < F.lit(int(1e6 * fit_per_language / n) + 1)) for name, n in totals.items()]
     if not wanted:
@@ -160,6 +166,7 @@ def learn(docs: DataFrame, learnable: Column, fit_per_language: int = 400, key:
 
 def identify(docs: DataFrame, model: Classifier | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, lang_pred, score, rejected, *keep) of every row; the model is small: fixed DIMENSIONS, CLUSTERS per language."""
+    prepare(docs.sparkSession)
     others = [c for c in keep if c not in (key, text)]
     rows = docs.select(
         F.col(key).alias("id"),

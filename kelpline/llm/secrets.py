@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.textcore import parts
+from kelpline.session import prepare
 
 #: Fixed values of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -232,6 +233,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", examples: dict[str, list[str]] | None = None) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans) of every row; spans count code points."""
+    prepare(docs.sparkSession)
     automata = infer(examples)  # of a fixed number of labelled examples
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
@@ -252,6 +254,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", examp
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", examples: dict[str, list[str]] | None = None) -> DataFrame:
     """*docs* with every span of its texts replaced by *mask*; all rows and columns stay, null texts too."""
+    prepare(docs.sparkSession)
     automata = infer(examples)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

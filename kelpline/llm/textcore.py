@@ -28,6 +28,8 @@ def _sequence(n: int, seed: int) -> np.ndarray:
 BYTE = _sequence(256, 7)  # a random value for each byte
 BASE, BASE_INVERSE = (int(v) for v in (0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)))
 POSITION = _sequence(8, 11) | np.uint64(1)
+SECOND_BYTE = _sequence(256, 13)
+SECOND_BASE, SECOND_INVERSE = (int(v) for v in (0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 1 << 64)))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,12 +59,16 @@ def parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.
         first = end
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], from prefix sums of a polynomial with a random value per byte."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], from prefix sums of a polynomial with a random value per byte.
+
+    ``second`` gives another, independent hash.
+    """
+    value, base, inverse = (SECOND_BYTE, SECOND_BASE, SECOND_INVERSE) if second else (BYTE, BASE, BASE_INVERSE)
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[data] * _power(BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(BASE_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(value[data] * _power(base, n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _power(inverse, n)[starts] + (ends - starts).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.session import prepare
+
 SHARD_ROWS, QUERY_BLOCK = 4096, 4096
 SCALE = 256
 
@@ -108,6 +110,7 @@ FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best of all rows for each row for which *is_query* (of ``id``) holds."""
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col(key).cast("long").alias("id"), quantise(F.col(vector)).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     count, queries = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-count // SHARD_ROWS)), max(1, -(-queries // QUERY_BLOCK))

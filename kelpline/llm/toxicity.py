@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.langid import remainder
 from kelpline.llm.textcore import LOWER, SPACE, parts, span_hashes
+from kelpline.session import prepare
 
 LEXICON_SIZE, LEAST_DOCS, LEAST_Z = 400, 4, 3.5
 NEAR = 5  # words
@@ -203,6 +204,7 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int = 12_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on at most about ``fit_rows`` labelled rows for which *learnable* (an expression of ``id``) holds."""
+    prepare(docs.sparkSession)
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & learnable)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     total = known.count()
@@ -258,6 +260,7 @@ def hash_of(value) -> int:
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row; the model's size is fixed by LEXICON_SIZE and the trees."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
