@@ -7,42 +7,33 @@ the learned and iterative stages, so the tests hold the stages against brute-for
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm import bpe, jaccard_join, langid, mixing, secrets
-from kelpline.session import shared_dir, ship, table
+from kelpline.session import Scratch, table
 
 ORACLE_SQL = None
-BATCH_ROWS = 2000  # texts that Spark hands to Python at once: they may be long
-
-
-def _ready(spark: SparkSession) -> None:
-    """The package on the executors, and small Arrow batches for the session's stages."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the rejected ones (null, letterless, or far from every centroid) go."""
-    _ready(spark)
+    """Documents whose language is recognised; the rejected ones (null, letterless, or far from every centroid) go.
+    Repeated rows and null ids are judged by their text like any other."""
     columns = docs.columns
     model = langid.learn(docs, F.lit(True))
     return langid.identify(docs, model, keep=tuple(columns)).where(~F.col("rejected")).select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 and more over five-word shingles: the least id."""
-    _ready(spark)
+    """One document of each group linked by a similarity of 0.8 and more over five-word shingles: the least id, one
+    row of an id. Rows without an id stay, as do documents without words, which link with nothing."""
     return jaccard_join.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts masked; ``n_chars`` follows the new text."""
-    _ready(spark)
+    """All documents, secrets in their texts masked; ``n_chars`` follows the new text. Null and empty texts stay as
+    they are; repeated rows are masked alike."""
     columns = docs.columns
     masked = secrets.redact(docs)
     if "n_chars" in columns:
@@ -51,14 +42,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per pass of a document, in order of training; documents are taken whole."""
-    _ready(spark)
+    """One row per pass of a document, in order of training; documents are taken whole. Null texts and texts without
+    words have no place in training and go; null sources are one source; repeated rows each have their passes."""
     return mixing.training_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its ids and the text decoded from them."""
-    _ready(spark)
+    """Per document its ids and the text decoded from them; null and empty texts have no ids and an empty text."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         coded = bpe.encode_decode(docs, file.read())
     return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "utf-8").alias("text"))
@@ -74,10 +64,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over ``documents``; stages are stored in the cluster's shared folder in between."""
-    folder = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    """The last stage's rows over ``documents``. Each stage is stored in the cluster's shared folder until the next
+    one is, the last one until the application ends."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    scratch.drop_at_exit()
+    for number, (_, stage) in enumerate(STAGES):
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+        if number:
+            scratch.remove(number)
     return docs
