@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.llm.textcore import SPACE, parts, span_hashes
 from kelpline.session import prepare
 
@@ -197,6 +198,7 @@ def id_to_piece(tokenizer_json: str) -> list[bytes]:
 
 
 def _encoder(tokenizer_json: str):
+    @workers.task
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -230,6 +232,7 @@ def _encoder(tokenizer_json: str):
 
 
 def _joiner(pieces: list[bytes], digests: bool):
+    @workers.group
     def join(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
         seals = {*docs.column("seal").to_pylist(), *dictionary.column("seal").to_pylist()}
         if len(seals) > 1:
@@ -273,11 +276,13 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, digests: bool = False, b
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(MOST_BUCKETS, max(shuffle, estimate // BUCKET_BYTES)))
 
+    @workers.task
     def numbered(batches):
-        return _in_batches((r for b in _blocks(batches, block_bytes) for r in b.documents()), DOCS)
+        yield from _in_batches((r for b in _blocks(batches, block_bytes) for r in b.documents()), DOCS)
 
+    @workers.task
     def listed(batches):
-        return _in_batches((r for b in _blocks(batches, block_bytes) for r in b.words(buckets)), WORDS, 64)
+        yield from _in_batches((r for b in _blocks(batches, block_bytes) for r in b.words(buckets)), WORDS, 64)
 
     documents = texts.mapInArrow(numbered, _ddl(DOCS))
     distinct = texts.mapInArrow(listed, _ddl(WORDS)).repartition(buckets, "bucket").sortWithinPartitions("bucket")

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.llm.components import connected
 from kelpline.session import Scratch, cut, prepare
 
@@ -113,6 +114,7 @@ def _compare_cell(key: tuple, rows: pa.Table, least: float) -> pa.Table:
     return _edges(ids, joined)
 
 
+@workers.task
 def _project(batches):
     for batch in batches:
         x = _matrix(batch.column("v")) if batch.num_rows else np.zeros((0, 1))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.llm.components import connected
 from kelpline.llm.textcore import mix, shingle_sets
 from kelpline.session import Scratch, cut, prepare
@@ -71,6 +72,7 @@ def _list(arrays: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
 def common_shingles(texts: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted shingles, counts) of those in at least HOT_LEAST hash-ordered prefixes, the commonest if there are too many."""
 
+    @workers.task
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [own[: prefix_length(len(own), num, den)] for _, own in shingle_sets(batch.column("text"), k)]
@@ -96,6 +98,7 @@ def describe(texts: DataFrame, hot: np.ndarray, counts: np.ndarray, k: int, num:
     """(id, n, digest, prefix_digest, signature, prefix) of every text with words."""
     sent = texts.sparkSession.sparkContext.broadcast((hot, counts))  # HOT bounds it
 
+    @workers.task
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, sizes, digests, heads, signatures, prefixes = [], [], [], [], [], []
@@ -158,6 +161,7 @@ def verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, num: in
         return pairs.select("a", "b")
     bits = texts.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
+    @workers.task
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_in_bloom(bits.value, batch)))
@@ -171,6 +175,7 @@ def verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, num: in
     salted = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.explode(F.array("a", "b")).alias("id"))
     dealt = salted.distinct().join(sets, "id").select("a", "salt", "id", "own")
 
+    @workers.group
     def checked(rows: pa.Table) -> pa.Table:
         ids, held = rows.column("id").to_pylist(), rows.column("own")
         a = rows.column("a")[0].as_py()
@@ -245,6 +250,7 @@ def _tied(postings: DataFrame, grouped: DataFrame, scratch: Scratch, num: int, d
     two = grouped.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("sig_b"))
     met = pairs.join(one, "a").join(two, "b").where((den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a")))
 
+    @workers.task
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -294,6 +300,7 @@ def _apart(left: DataFrame, grouped: DataFrame, nearest: bool, num: int, den: in
                 x, y = np.nonzero(ok)
                 yield from zip(cls[some][x].tolist(), cls[y].tolist())
 
+    @workers.task
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         seen: set[tuple[int, int]] = set()

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.llm.textcore import parts
 from kelpline.session import prepare
 
@@ -152,6 +153,7 @@ def learn(docs: DataFrame, learnable: Column, fit_per_language: int = 400, key:
         return None
     picked = rows.where(F.reduce(F.array(*wanted), F.lit(False), lambda a, b: a | b)).where(F.col("text").rlike(r"\p{L}"))
 
+    @workers.task
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(vectors(batch.column("text")))
@@ -176,6 +178,7 @@ def identify(docs: DataFrame, model: Classifier | None, key: str = "doc_id", tex
     )
     dropped = ["lettered"] if text in keep else ["lettered", "text"]
 
+    @workers.task
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lettered = batch.column("lettered").to_pylist()

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.llm.textcore import parts
 from kelpline.session import prepare
 
@@ -237,6 +238,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", examp
     automata = infer(examples)  # of a fixed number of labelled examples
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
+    @workers.task
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
@@ -257,6 +259,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", examples
     prepare(docs.sparkSession)
     automata = infer(examples)
 
+    @workers.task
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(text)

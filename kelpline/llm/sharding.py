@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from kelpline.llm import workers
 from kelpline.session import cut, prepare
 
 
+@workers.task
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the bytes and rows of this partition before each row."""
     size_before = rows_before = 0

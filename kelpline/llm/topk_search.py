@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.session import prepare
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 4096
@@ -119,6 +120,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     docs = rows.withColumn("shard", pick(shards, "shard")).select("id", "v", "shard", every(blocks).alias("block"))
     asks = rows.where(is_query).withColumn("block", pick(blocks, "block")).select("id", "v", "block", every(shards).alias("shard"))
 
+    @workers.group
     def search(own: pa.Table, asked: pa.Table) -> pa.Table:
         if not own.num_rows or not asked.num_rows:
             return FOUND.empty_table()

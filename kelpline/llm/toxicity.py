@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm import workers
 from kelpline.llm.langid import remainder
 from kelpline.llm.textcore import LOWER, SPACE, parts, span_hashes
 from kelpline.session import prepare
@@ -213,6 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int =
     picked = F.broadcast(known.where(chance < share))  # bounded by fit_rows
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(picked, "id").select("id", "text", "y")
 
+    @workers.task
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column("y").to_numpy(zero_copy_only=False)
@@ -234,6 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int =
     lexicon = np.array([r.word for r in top], np.int64).view(np.uint64)
     weights = np.array([np.log((r.toxic + 0.5) / (r.n - r.toxic + 0.5)) - np.log(rate / (1 - rate)) for r in top])
 
+    @workers.task
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("text"), lexicon, weights)
@@ -263,6 +266,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     prepare(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
+    @workers.task
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(batch.column("text")))], ["id", "score"])
