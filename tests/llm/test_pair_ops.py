@@ -171,12 +171,29 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     got = {}
     for r in topk_search.top_k(table, F.col("id") % 7 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    queries = {i: x for i, x in live if i % 7 == 0}
+    queries = {i: x for i, x in live if i % 7 == 0}  # row 0 is there twice, as two equal queries of one id
     assert set(got) == set(queries)
     for q, x in queries.items():
-        if q != 0:  # row 0 is there twice, as two equal queries of one id
-            ranked = sorted(((int(x[: len(y)] @ y[: len(x)]), i) for i, y in live if i != q), key=lambda p: (-p[0], p[1]))
-            assert got[q] == ranked[:5]
+        ranked = sorted(((int(x[: len(y)] @ y[: len(x)]), i) for i, y in live if i != q), key=lambda p: (-p[0], p[1]))
+        assert got[q] == ranked[:5]
     assert topk_search.top_k(table.limit(0), F.col("id") % 7 == 0).count() == 0
     few = spark.createDataFrame([(7, [1.0, -0.5]), (8, [-1.0]), (9, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in topk_search.top_k(few, F.col("id") == 7).orderBy("rank").collect()] == [(9, 0), (8, -65536)]
+    two = spark.createDataFrame([(7, [2.0]), (7, [1.0]), (8, [1.0]), (9, [1.0]), (9, [1.0])], "vec_id long, embedding array<float>")
+    found = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(two, F.col("id") == 7, k=3).orderBy("rank").collect()]
+    assert found == [(7, 1, 8, 65536), (7, 2, 9, 65536), (7, 3, 9, 65536)]
+
+
+@pytest.mark.parametrize("scale", [300, 1 << 28])
+def test_max_score_equals_sorting_in_every_block(scale):
+    rng = np.random.default_rng(scale)
+    vectors = rng.integers(-scale, scale, (3000, 24)) * (rng.random((3000, 24)) < 0.5)
+    vectors[100:140] = vectors[99]  # ties
+    ids = rng.permutation(6000)[:3000]
+    asked = np.concatenate([rng.integers(-scale, scale, (40, 24)), np.zeros((1, 24), int), vectors[99:100]])
+    query_ids = np.append(rng.integers(0, 6000, 41), ids[99])
+    who, what, much = topk_search.best_of(ids, vectors, query_ids, asked, 5)
+    for q in range(len(asked)):
+        score = vectors @ asked[q]
+        want = sorted(((-int(s), int(i)) for s, i in zip(score, ids) if i != query_ids[q]))[:5]
+        assert [(-int(m), int(w)) for w, m in zip(what[who == q], much[who == q])] == want
