@@ -17,10 +17,11 @@ def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") ->
     travel many edges in a round. Every table that is joined is stored first, which lets adaptive execution
     split the part of a node with very many edges. Null ends are ignored; loops and repeats do no harm.
     """
-    lots = 1 + edges.count() // ROWS_PER_PART
-    cut = lambda df: scratch.cut(df.coalesce(lots))  # noqa: E731  few rows need few files
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    both = cut(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    ways = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = scratch.cut(ends.select(F.inline(ways)).distinct())
+    lots = 1 + both.count() // ROWS_PER_PART  # a stored table's count reads no rows
+    cut = lambda df: scratch.cut(df.coalesce(lots))  # noqa: E731  few rows need few files
     labels = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
     total = None
     while True:

@@ -29,7 +29,7 @@ from kelpline.session import Scratch, cut, prepare
 
 TREES = 6
 SPILL = 0.03  # of a unit projection, on each side of the cut
-CELL, LEAF, BLOCK = 8192, 256, 4096
+CELL, LEAF, BLOCK = 8192, 256, 1024
 
 
 def _direction(*path) -> np.random.Generator:
@@ -180,8 +180,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES,
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(b, o).alias("first"), F.greatest(b, o).alias("second")))
     )
     dealt = cells.withColumn("own_block", own_block).withColumn("pair", F.explode(pairs)).select("tree", "node", "pair.first", "pair.second", "id", "v", "own_block")
-    edges = dealt.groupBy("tree", "node", "first", "second").applyInArrow(lambda key, rows: _compare_cell(key, rows, least), "a long, b long")
-    linked = connected(edges, scratch)
+    found = dealt.groupBy("tree", "node", "first", "second").applyInArrow(lambda key, rows: _compare_cell(key, rows, least), "a long, b long")
+    linked = connected(scratch.cut(found), scratch)  # stored: the vectors are compared once
     counted = count_links(classes.join(linked, classes["id"] == linked["node"]).select("component", "id", "v", "copies", "label"), least, scratch, block)
     known = classes.join(counted, "id", "left").join(linked, classes["id"] == linked["node"], "left").select(
         F.col("label").alias("class_label"), F.col("v").alias("class_v"), classes["id"].alias("class_id"),

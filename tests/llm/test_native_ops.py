@@ -293,6 +293,13 @@ def test_toxicity_held_out(spark):
     assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
     held = [(got[i], t) for i, t in labels if t is not None and zlib.crc32(str(i).encode()) % 4 == 2]
     assert np.mean([(s >= 0.3) == t for s, t in held]) > 0.97
+    kept = {i for i, _ in labels if (zlib.crc32(f"calibration {i}".encode()) >> 3) % 4 == 0}
+    # Words of the calibration rows alone are not in the lexicon, whatever their labels say.
+    marked = docs.withColumn("text", F.when(F.col("doc_id").isin(*[i for i in kept if dict(labels)[i]]), F.concat("text", F.lit(" foldword foldword"))).otherwise(F.col("text")))
+    assert toxicity._hash_words(["foldword"])[0] not in toxicity.learn(marked, known, F.lit(True)).lexicon
+    assert toxicity._hash_words(["zork"])[0] in model.lexicon
+    twice = toxicity.score(docs.union(docs), model).groupBy("doc_id").agg(F.count_distinct("score").alias("n")).where("n > 1")
+    assert twice.count() == 0
     none = toxicity.learn(docs, known.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
@@ -304,6 +311,41 @@ def test_isotonic_rises():
     assert (np.diff(centres) > 0).all() and (np.diff(levels) > 0).all()
 
 
+def plain_features(text, lexicon):
+    """The dense features of one text in plain Python; *lexicon*: word to weight."""
+    raw = (text or "").encode()
+    letter = lambda b: b >= 0x80 or chr(b).isalnum()
+    words, start = [], None
+    for i, b in enumerate([*raw, 0x20]):
+        if letter(b) if i < len(raw) else False:
+            start = i if start is None else start
+        elif start is not None:
+            words.append(raw[start:i])
+            start = None
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w).decode("utf-8", "replace") for w in words]
+    weight = [lexicon.get(w, 0.0) for w in low]
+    hit, you = [w in lexicon for w in low], [w in toxicity.SECOND_PERSON for w in low]
+    near = sum(h and any(you[max(0, i - 5) : i + 6]) for i, h in enumerate(hit))
+    count, size, force = max(len(words), 1), max(len(raw), 1), sum(weight)
+    odd = sum(1 for i in range(1, len(raw) - 1) if chr(raw[i]) in "*@$#%&+_" and letter(raw[i - 1]) and letter(raw[i + 1]))
+    thrice = sum(1 for i in range(2, len(raw)) if raw[i] == raw[i - 1] == raw[i - 2] and letter(raw[i]))
+    mixed = sum(any(48 <= c <= 57 for c in w) and not all(48 <= c <= 57 for c in w) for w in words)
+    points = sum(not letter(b) and b not in b" \t\n\v\f\r" for b in raw)
+    return [
+        sum(hit) / count, force / count, np.log1p(sum(hit)), np.log1p(max(force, 0)), max([0.0, *weight]), near / count, sum(you) / count, np.log1p(near),
+        sum(65 <= b <= 90 for b in raw) / size, sum(chr(b) in "!?" for b in raw) / size, points / size, mixed / count, odd / size, thrice / size, np.log1p(len(words)),
+    ]
+
+
+def test_features_equal_plain():
+    texts = ["You zork! z0rk", None, "", "ÜBER zo*rk aaargh 12 3x YOU're so blarg???", "a@b zork you x x x x x x zork", "one\ttwo\nyou"]
+    lexicon = {"zork": 1.5, "blarg": 0.7}
+    hashes = [int(toxicity._hash_words([w])[0]) for w in lexicon]
+    order = np.argsort(np.array(hashes, np.uint64))
+    got = toxicity.features(pa.array(texts), np.array(hashes, np.uint64)[order], np.array(list(lexicon.values()))[order])
+    assert got == pytest.approx(np.array([plain_features(t, lexicon) for t in texts]))
+
+
 def test_features_follow_rows():
     texts = pa.array(["you zork!", None, "ZORK z0rk zo*rk aaargh", "", "x " * 600_000, "zork"])
     lexicon = toxicity._hash_words(["zork"])

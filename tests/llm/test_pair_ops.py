@@ -163,6 +163,26 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_forest_recall(spark):
+    """Pairs planted just above the bound, in leaves of the default size and in cells that Spark splits."""
+    rng = np.random.default_rng(8)
+    n, d = 3000, 32
+    base = rng.normal(size=(n, d))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(n, d))
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.9801, 0.985, n)[:, None]
+    twins = cosine * base + np.sqrt(1 - cosine**2) * side
+    x = np.concatenate([base, twins])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {i for i in range(n) if unit[i] @ unit[n + i] >= 0.98}
+    for cell in (embedding_dedup.CELL, 1500):
+        found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table, cell=cell).collect()}
+        assert sum(found[i] == found[n + i] for i in want) / len(want) >= 0.99
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     table, rows = vectors(spark)
     monkeypatch.setattr(topk_search, "SHARD_ROWS", 50)
