@@ -1,7 +1,11 @@
-"""Text expressions. Every function takes and returns Columns and stays inside generated code."""
+"""Text expressions. Every function takes and returns Columns; no Python runs on rows."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +13,8 @@ CJK = r"[\u4e00-\u9fff]"
 #: Patterns and word lists that results depend on.
 RAW_RUNS = r"([\u4e00-\u9fff]+|[A-Za-z0-9_]+)"
 KEYWORD_RUNS = r"([\u4e00-\u9fff]+|[A-Za-z0-9]+)"
-FILE_TYPES = ("pdf", "doc", "docx", "odt", "ods")
-CITED_FILE_TYPES = ("doc", "docx", "pdf", "odt", "ods", "xls", "xlsx")
+FILE_TYPE = r"(?i)\.(pdf|docx?|odt|ods)$"
+CITED_FILE_TYPE = r"(?i)\.(docx?|pdf|odt|ods|xlsx?)$"
 FORM_TAG = "表單"
 SCHEDULE_WORDS = ("課表", "課程表")
 EMPTY_ANSWERS = (
@@ -51,11 +55,13 @@ def index_tokens(text: Column) -> Column:
         bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(f"^{CJK}"), bigrams).otherwise(F.array(F.lower(run)))
 
-    return F.flatten(F.transform(raw_tokens(text), pieces))
+    # Texts without CJK, most of them in other scripts, need no pieces.
+    plain = F.transform(raw_tokens(text), lambda run: F.lower(run))
+    return F.when(has_cjk(text), F.flatten(F.transform(raw_tokens(text), pieces))).otherwise(plain)
 
 
-def keyword_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(KEYWORD_RUNS), F.lit(1))
+def keyword_tokens(text: str) -> list[str]:
+    return re.findall(KEYWORD_RUNS, text.lower())
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -64,21 +70,31 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, (gone / F.length(part)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
-def total_occurrences(text: Column, tokens: Column) -> Column:
+def total_occurrences(text: Column, tokens: Sequence[str]) -> Column:
     """Sum over *tokens*; a repeated token counts again."""
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc + occurrences(text, t))
+    return sum((occurrences(text, F.lit(t)) * n for t, n in Counter(tokens).items()), F.lit(0).cast("long"))
+
+
+def to_day(date: Column) -> Column:
+    """The day of a date kept as text (2024 / 3 / 05, 2024-03-05); null where there is none."""
+    return F.try_to_timestamp(F.regexp_replace(strip(date), r"\s*[/-]\s*", "-"), F.lit("y-M-d")).cast("date")
+
+
+def message_id() -> Column:
+    """A new id for each row: 32 hex digits."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
 
 
 def title_key(title: Column) -> Column:
     """Title without one trailing file type and without any white space: the metadata join's key."""
-    bare = F.regexp_replace(strip(title), r"(?i)\.(" + "|".join(FILE_TYPES) + ")$", "")
+    bare = F.regexp_replace(strip(title), FILE_TYPE, "")
     return F.regexp_replace(bare, r"(?U)\s+", "")
 
 
 def citation_key(title: Column) -> Column:
     """Title without leading numbering and trailing file type, as answers cite it."""
     bare = F.regexp_replace(title, r"(?U)^[\d.、\s]+", "")
-    return F.regexp_replace(bare, r"(?i)\.(" + "|".join(CITED_FILE_TYPES) + ")$", "")
+    return F.regexp_replace(bare, CITED_FILE_TYPE, "")
 
 
 def clean_markup(text: Column) -> Column:
@@ -90,8 +106,8 @@ def clean_markup(text: Column) -> Column:
 
 
 def decode_url(text: Column) -> Column:
-    """Percent-decoding that keeps what it cannot decode."""
-    return F.coalesce(F.try_url_decode(text), text)
+    """Percent-decoding that keeps plus signs and escapes that are none."""
+    return F.url_decode(F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def tag_kind(tags: Column) -> Column:
@@ -153,7 +169,9 @@ def soften(answer: Column) -> Column:
 
 
 def mentions_any(text: Column, phrases: list[str]) -> Column:
-    """Whether any phrase occurs, in any case."""
+    """Whether any phrase occurs, in any case; none of no phrases."""
+    if not phrases:
+        return F.lit(False)
     pattern = "(?iu)" + "|".join(rf"\Q{p}\E" for p in phrases)
     return F.coalesce(text.rlike(pattern), F.lit(False))
 

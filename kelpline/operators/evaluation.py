@@ -35,8 +35,8 @@ def verdict_rollup(results: DataFrame, depts: tuple[str, ...] | None = None) ->
 
 
 def latency(results: DataFrame) -> DataFrame:
-    """Mean and true median, which averages the middle pair, to one decimal."""
-    return results.agg(F.round(F.avg("latency_s"), 1).alias("mean_s"), F.round(F.median("latency_s"), 1).alias("median_s"))
+    """Mean and true median, which averages the middle pair, to one decimal; halves go to the even digit."""
+    return results.agg(F.bround(F.avg("latency_s"), 1).alias("mean_s"), F.bround(F.median("latency_s"), 1).alias("median_s"))
 
 
 def infer_tool(contexts: Column, signatures: dict[str, tuple[str, ...]], default: str) -> Column:
@@ -75,12 +75,13 @@ def scorable(results: DataFrame) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, existing: DataFrame, order: list[Column], prefix: str = "V4") -> DataFrame:
-    """Ids that go on from the largest numeric one. Generated questions are few: one window numbers them."""
-    from pyspark.sql import Window
+    """Ids that go on from the largest numeric one, in *order*, numbered by offsets of partitions."""
+    from kelpline.operators.metadata import dense_ids
 
-    last = existing.agg(F.coalesce(F.max(F.regexp_extract("id", rf"^{prefix}(\d+)$", 1).try_cast("int")), F.lit(0)).alias("last"))
-    numbered = rows.withColumn("_no", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(last))
-    return numbered.withColumn("id", F.format_string(f"{prefix}%03d", F.col("last") + F.col("_no"))).drop("_no", "last")
+    last = existing.agg(F.coalesce(F.max(F.regexp_extract("id", rf"^{prefix}(\d+)$", 1).try_cast("int")), F.lit(0)).alias("last"))  # one row
+    keyed = rows.withColumns({f"_order_{i}": c for i, c in enumerate(order)})
+    numbered = dense_ids(keyed, [f"_order_{i}" for i in range(len(order))], "_no").join(F.broadcast(last))
+    return numbered.select(*rows.columns, F.format_string(f"{prefix}%03d", F.col("last") + F.col("_no") + 1).alias("id"))
 
 
 def vague(answer: Column, phrases: list[str], least: int = 25) -> Column:

@@ -41,7 +41,7 @@ def rates_by(feedback: DataFrame, answers: DataFrame, by: str) -> DataFrame:
     """Ratings by a column of the answer they meet; here whatever is not ``up`` counts as down."""
     met = feedback.join(answers.select("message_id", by), "message_id")
     counted = met.groupBy(by).agg(F.count_if(F.coalesce(F.col("rating") == "up", F.lit(False))).alias("up"), F.count(F.lit(1)).alias("total"))
-    return counted.select(by, "up", (F.col("total") - F.col("up")).alias("down"), "total", F.round(F.try_divide("up", "total"), 6).alias("satisfaction"))
+    return counted.select(by, "up", (F.col("total") - F.col("up")).alias("down"), "total", F.round(F.try_divide("up", "total"), 6).alias("satisfaction")).orderBy(F.desc("total"), by)
 
 
 def orphans(feedback: DataFrame, answers: DataFrame) -> DataFrame:
@@ -57,18 +57,28 @@ def negative_cases(feedback: DataFrame, answers: DataFrame, n: int = 10) -> Data
 def nearest_rank(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, n, p50, p95, max) where p50 is element n//2 and p95 element max(0, int(0.95 n) - 1) in rising order.
 
-    Ranks come from one sort per group; a single group of all rows is ranked over range partitions elsewhere.
+    *by* may be empty: one group of all rows. Values are counted and range-sorted, so that a group is ranked over
+    as many partitions as it fills: counts of a partition's groups, summed in order, tell how many rows lie before it.
     """
-    held = rows.where(F.col(value).isNotNull())
-    sizes = held.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max(value).alias("max"))
-    # Equal values are one row, so a group is as long as its distinct values.
-    steps = held.groupBy(*by, value).agg(F.count(F.lit(1)).alias("times"))
-    upto = F.sum("times").over(Window.partitionBy(*by).orderBy(value))
-    ends = steps.withColumn("upto", upto)
+    from kelpline.session import cut
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"_by_{i}" for i in range(len(by))]
+    held = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_value"))
+    steps = held.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_times"))  # equal values are one row
+    placed = cut(steps.repartitionByRange(parts, *keys, "_value").withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part", *keys).agg(F.sum("_times").alias("_own"))
+    group = Window.partitionBy(*keys).orderBy("_part")  # a row for each partition
+    sums = sums.select(F.col("_part").alias("_at"), *[F.col(k).alias(f"{k}_at") for k in keys], (F.sum("_own").over(group) - F.col("_own")).alias("_before"), F.sum("_own").over(Window.partitionBy(*keys)).alias("n"))
+    same = (F.col("_part") == F.col("_at"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_at"))
+    inside = F.sum("_times").over(Window.partitionBy("_part", *keys).orderBy("_value"))
+    ends = placed.withColumn("_inside", inside).join(sums, same).withColumn("_upto", F.col("_before") + F.col("_inside"))
     n = F.col("n")
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_value")))
     middle, high = F.floor(n / 2), F.greatest(F.lit(0), F.floor(n * 95 / 100).cast("long") - 1)
-    return ends.join(sizes, by).groupBy(*by, "n", "max").agg(at(middle).alias("p50"), at(high).alias("p95")).select(*by, "n", "p50", "p95", "max")
+    found = ends.groupBy(*keys, "n").agg(at(middle).alias("p50"), at(high).alias("p95"), F.max("_value").alias("max"))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", "p50", "p95", "max")
 
 
 def usage(answers: DataFrame, by: str) -> DataFrame:

@@ -23,12 +23,13 @@ def latest_news(docs: DataFrame, n: int = 6, dept: str | None = None) -> DataFra
 def keyword_news(docs: DataFrame, query: str, n: int = 6, dept: str | None = None) -> DataFrame:
     """Rows by occurrences of the query's tokens, then date. A second count, over body and title joined without a
     space, decides which rows count at all. A query without tokens finds nothing."""
-    tokens = tx.keyword_tokens(F.lit(query))
+    tokens = tx.keyword_tokens(query)
     rows = docs if dept is None else docs.where(F.col("dept") == dept)
     title, body = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
-    scored = rows.withColumn("score", tx.total_occurrences(F.lower(F.concat(title, F.lit(" "), body)), tokens))
-    found = scored.where(tx.total_occurrences(F.lower(F.concat(body, title)), tokens) > 0)
-    return first_per(found, ["title"], [F.desc("score"), F.desc("date"), F.asc("doc_id")], n)
+    low = rows.withColumns({"_scored": F.lower(F.concat(title, F.lit(" "), body)), "_gated": F.lower(F.concat(body, title))})
+    scored = low.withColumn("score", tx.total_occurrences(F.col("_scored"), tokens))
+    found = scored.where(F.greatest(*[F.contains("_gated", F.lit(t)) for t in tokens]) if len(tokens) > 1 else F.contains("_gated", F.lit(tokens[0])) if tokens else F.lit(False))
+    return first_per(found.drop("_scored", "_gated"), ["title"], [F.desc("score"), F.desc("date"), F.asc("doc_id")], n)
 
 
 def find_forms(forms: DataFrame, keyword: str, n: int = 20) -> DataFrame:
@@ -66,7 +67,7 @@ def find_records(records: DataFrame, keyword: str = "", year: str = "", name: st
     body = F.coalesce("text", F.lit(""))
     year = year.strip()
     has = lambda part: F.contains(body, F.lit(part))
-    both = [year, str(int(year) - 1911 if int(year) > 1911 else int(year) + 1911)] if year.isdigit() else []
+    both = [year, str(int(year) - 1911 if int(year) > 1911 else int(year) + 1911)] if year.isdecimal() else []
     loose = F.lit(True)
     if name:
         loose &= has(name)

@@ -24,8 +24,8 @@ def unmatched(docs: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     return docs.join(meta.select(key), key, "left_anti")
 
 
-def dense_ids(rows: DataFrame, order: list[str]) -> DataFrame:
-    """*rows* with ``doc_id`` 0, 1, ... in *order*: partitions are numbered by offsets of their counts, without one global sort task."""
+def dense_ids(rows: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
+    """*rows* with *name* 0, 1, ... in *order*: partitions are numbered by offsets of their counts, without one global sort task."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     from kelpline.session import cut
 
@@ -33,7 +33,7 @@ def dense_ids(rows: DataFrame, order: list[str]) -> DataFrame:
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # one row per partition
-    return placed.join(F.broadcast(offsets), "_part").withColumn("doc_id", F.col("_offset") + F.col("_mono") - F.col("_first")).drop("_part", "_mono", "_first", "_offset")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first")).drop("_part", "_mono", "_first", "_offset")
 
 
 def unique_names(pages: DataFrame, name: str = "page_key", seq: str = "page_seq") -> DataFrame:
@@ -44,9 +44,10 @@ def unique_names(pages: DataFrame, name: str = "page_key", seq: str = "page_seq"
 
 def fingerprint(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """(fingerprint): one digest of all contents. Each part is digested without regard to row order: by its count
-    and the sum of 32 bits of each text's MD5; the parts' digests are joined in the order of their names."""
-    bits = F.conv(F.substring(F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8")), 1, 8), 16, 10).cast("long")
-    parts = docs.groupBy(by).agg(F.md5(F.encode(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(bits).cast("string")), "utf-8")).alias("digest"))
+    and the sums of both halves of each text's MD5; the parts' digests are joined in the order of their names."""
+    digest = F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
+    half = lambda start: F.sum(F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(20,0)")).cast("string")
+    parts = docs.groupBy(by).agg(F.md5(F.encode(F.concat_ws(":", F.count(F.lit(1)).cast("string"), half(1), half(17)), "utf-8")).alias("digest"))
     line = F.concat_ws(":", F.coalesce(by, F.lit("")), "digest")
     whole = F.array_join(F.array_sort(F.collect_list(line)), "|")  # one line per part
     return parts.agg(F.md5(F.encode(whole, "utf-8")).alias("fingerprint"))

@@ -5,57 +5,142 @@ Rankings carry a total order: ties go to the smaller document id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
+from kelpline.session import cut, prepare
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RANK_BASE = 60
 
 
+@dataclass
+class Index:
+    """A stored lexical index: ``bags`` (doc_id, tokens, and the columns kept for filters), ``terms`` (term, df)."""
+
+    bags: DataFrame
+    terms: DataFrame
+
+
+def bags(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, *keep, tokens): one row per document, its tokens in order."""
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), *keep, tx.index_tokens(F.col(text)).alias("tokens"))
+
+
+def document_frequencies(tokenised: DataFrame) -> DataFrame:
+    """(term, df) of all terms."""
+    return tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def build_index(docs: DataFrame, store: Callable[[DataFrame], DataFrame] = cut, **options) -> Index:
+    """Tokenises *docs* once; *store* keeps a table and reads it back."""
+    stored = store(bags(docs, **options))
+    return Index(stored, store(document_frequencies(stored)))
+
+
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, term, tf, dl): one row per document and distinct term."""
-    tokens = docs.select(F.col(doc).alias("doc_id"), tx.index_tokens(F.col(text)).alias("tokens"))
-    rows = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    rows = bags(docs, doc, text).select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     return rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(entries: DataFrame, docs: DataFrame) -> DataFrame:
+def term_weights(index: Index) -> DataFrame:
     """(term, idf): Okapi weights; those below zero become EPSILON times the mean over all terms."""
-    df = entries.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    raw = df.join(F.broadcast(n)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
+    n = index.bags.agg(F.count(F.lit(1)).alias("n"))  # one row
+    raw = index.terms.join(F.broadcast(n)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, symmetric: bool = True, among: Column | None = None, doc: str = "doc_id", text: str = "text", query: str = "query_id", words: str = "query") -> DataFrame:
+class _Scorer:
+    """The weights of a block of queries, as sent to every task: terms x queries."""
+
+    def __init__(self, rows: list, query_ids: list[int], mean_length: float, k: int):
+        self.terms = sorted({r.term for r in rows})
+        self.ids, self.k, self.mean_length = np.array(sorted(query_ids), np.int64), k, mean_length
+        self.weights = np.zeros((len(self.terms), len(self.ids)))
+        place = {t: i for i, t in enumerate(self.terms)}
+        for r in rows:
+            self.weights[place[r.term], np.searchsorted(self.ids, r.query_id)] += r.qtf * r.idf
+
+    def scores(self, tokens: pa.ListArray) -> np.ndarray:
+        """Documents x queries."""
+        starts = tokens.offsets.to_numpy().astype(np.int64)
+        starts, lengths = starts - starts[0], np.diff(starts)
+        out = np.zeros((len(lengths), len(self.ids)))
+        if not self.terms:
+            return out
+        found = pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, tokens.type.value_type))
+        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        row = np.searchsorted(starts, known, "right") - 1
+        cell, tf = np.unique(row * len(self.terms) + found.drop_null().to_numpy(), return_counts=True)
+        row, term = cell // len(self.terms), cell % len(self.terms)
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / (self.mean_length or 1.0)))
+        step = max(1, (1 << 21) // len(self.ids))
+        for a in range(0, len(row), step):
+            own, first = np.unique(row[a : a + step], return_index=True)
+            out[own] += np.add.reduceat(part[a : a + step, None] * self.weights[term[a : a + step]], first, axis=0)
+        return out
+
+    def search(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k best documents of the task for each query."""
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        floors = np.full(len(self.ids), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, score = batch.column("doc_id").to_numpy(), np.round(self.scores(batch.column("tokens")), 6)
+            docs, queries = np.nonzero(score >= floors[None])
+            who, what, much = (np.concatenate(x) for x in zip(held, (queries, ids[docs], score[docs, queries])))
+            order = np.lexsort((what, -much, who))
+            who, what, much = who[order], what[order], much[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            held = [x[place < self.k] for x in (who, what, much)]
+            floors[who[place == self.k - 1]] = much[place == self.k - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "doc_id", "score"])
+
+
+def bm25(
+    docs: DataFrame | Index, queries: DataFrame, k: int = 10, symmetric: bool = True, among: Column | None = None,
+    doc: str = "doc_id", text: str = "text", query: str = "query_id", words: str = "query", block_rows: int = 200_000,
+) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query.
 
     ``symmetric`` tokenises queries as documents; otherwise they keep case and whole CJK runs. ``among``, an
-    expression of *docs*, limits what is ranked but not the corpus statistics. Documents without any query
-    term score zero and fill the list by id.
+    expression of *docs* (of an index: of its kept columns), limits what is ranked but not the corpus statistics.
+    Documents without any query term score zero and fill the list by id. Documents without an id take no part.
+
+    The queries' term weights, in blocks of about ``block_rows``, go to the stored documents, which are scored
+    where they lie; each task keeps k for each query, so no row per query and document is ever made.
     """
-    entries = postings(docs, doc, text)
+    spark = queries.sparkSession
+    prepare(spark)
+    if not isinstance(docs, Index):
+        allowed = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+        docs, among = build_index(docs.withColumn("_allowed", allowed), doc=doc, text=text, keep=["_allowed"]), F.col("_allowed")
     tokens = (tx.index_tokens if symmetric else tx.raw_tokens)(F.col(words))
-    asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    size = docs.agg((F.sum(F.size(tx.index_tokens(F.col(text)))) / F.count(F.lit(1))).alias("avgdl"))
-    ranked_docs = docs if among is None else docs.where(among)
-    hit = entries if among is None else entries.join(ranked_docs.select(F.col(doc).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    weighted = asked.join(term_weights(entries, docs), "term").join(hit, "term").join(F.broadcast(size))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighted.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    best = _top(scored, k, [F.desc("score"), F.asc("doc_id")])
-    # The lowest ids, enough to fill any list whatever it holds already.
-    low = ranked_docs.select(F.col(doc).alias("doc_id")).orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id").alias("low"))
-    fill = queries.select(F.col(query).alias("query_id")).join(F.broadcast(low)).select("query_id", F.explode("low").alias("doc_id"))
-    fill = fill.join(scored, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return _top(best.drop("rank").unionByName(fill), k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    asked = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("long").alias("query_id"), F.explode_outer(tokens).alias("term"))
+    asked = asked.groupBy("query_id", "term").agg(F.count("term").alias("qtf"))
+    weighted = cut(asked.join(term_weights(docs), "term", "left").select("query_id", "term", "qtf", "idf"))
+    total = weighted.count()
+    mean_length = docs.bags.agg((F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("m")).first().m or 0.0
+    ranked = docs.bags if among is None else docs.bags.where(among)
+    ranked = ranked.where(F.col("doc_id").isNotNull()).select("doc_id", "tokens")
+    blocks = max(1, -(-total // block_rows))
+    found = None
+    for number in range(blocks):
+        rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # about block_rows
+        scorer = _Scorer([r for r in rows if r.idf is not None], list({r.query_id for r in rows}), float(mean_length), k)
+        own = ranked.mapInArrow(scorer.search, "query_id long, doc_id long, score double")
+        found = own if found is None else found.unionByName(own)
+    return _top(found, k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
 
 
 def _top(rows: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
@@ -68,9 +153,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] =
 
     *queries*: (query_id, vector, *keys), *corpus*: (doc_id, vector, *keys). With keys, only rows of equal keys
     are compared: the filter is exact, whatever the group's size. Queries go in blocks to shards of the corpus;
-    each task keeps k per query.
+    each task keeps k per query. Vectors that are null or hold null or non-finite components take no part, and
+    vectors of different length are not compared.
     """
-    keys = list(keys)
+    prepare(corpus.sparkSession)
+    v = F.col("vector")
+    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    queries, corpus = (rows.where(F.coalesce(fine, F.lit(False)) & F.col(name).isNotNull()).withColumn("_width", F.size(v)) for rows, name in ((queries, "query_id"), (corpus, "doc_id")))
+    keys = [*keys, "_width"]
     n, m = corpus.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block))
     lots = lambda c, count, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(count)).cast("int")
@@ -84,22 +174,33 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] =
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, x = left.column("doc_id").to_numpy(), np.array(left.column("vector").to_pylist(), float)
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        q, y = right.column("query_id").to_numpy(), np.array(right.column("vector").to_pylist(), float)
-        out: list[tuple] = []
-        for i in range(len(q)):
-            apart = ((x - y[i]) ** 2).sum(1).round(6)
-            best = np.lexsort((ids, apart))[:k]
-            out += [(int(q[i]), int(ids[j]), float(apart[j])) for j in best]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        ids, x = left.column("doc_id").to_numpy(), _vectors(left)
+        asks, y = right.column("query_id").to_numpy(), _vectors(right)
+        long = (x * x).sum(1)
+        made = []
+        for a in range(0, len(y), 256):
+            some = y[a : a + 256]
+            far = long[None] - 2 * some @ x.T  # squared distances but for a constant: what may be among the k nearest
+            last = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            slack = 2e-6 + 1e-9 * (long.max() + (some * some).sum(1))
+            i, j = np.nonzero(far <= (last + slack)[:, None])
+            apart = ((x[j] - some[i]) ** 2).sum(1).round(6)
+            order = np.lexsort((ids[j], apart, i))
+            i, j, apart = i[order], j[order], apart[order]
+            near = np.arange(len(i)) - np.searchsorted(i, i) < k
+            made.append(pa.table([pa.array(asks[a + i[near]]), pa.array(ids[j[near]]), pa.array(apart[near])], schema=schema))
+        return pa.concat_tables(made)
 
     by = ["shard", "block", *keys]
     met = own.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(search, "query_id long, doc_id long, distance double")
     return _top(met, k, [F.asc("distance"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "distance")
 
 
+def _vectors(rows: pa.Table) -> np.ndarray:
+    column = rows.column("vector").combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def filter_after(found: DataFrame, keep: Column, k: int) -> DataFrame:
     """Re-ranks what is left of a wider ranking after a filter: up to k rows, fewer if the filter bites."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
@@ -130,21 +231,51 @@ def query_variants(query: Column, rewrites: Column, passage: Column, most: int =
     return F.slice(F.array_distinct(F.concat(F.array(query), rewrites, F.array(passage))), 1, most)
 
 
-def fuse_variants(docs: DataFrame, vectors: DataFrame, variants: DataFrame, k: int, most: int = 5) -> DataFrame:
-    """The fused lists of *variants* (query_id, number below *most*, words, vector or null): the nearest of each, and BM25 of all their words."""
+def variant_vectors(variants: DataFrame, vectors: DataFrame, k: int, most: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """(query_id, doc_id, rank, list_no): the nearest of each of *variants* (query_id, number below *most*, vector or null)."""
     # One search for all variants: a list's id is its query's times *most*, plus the variant's number.
-    asked = variants.where(F.col("vector").isNotNull()).select((F.col("query_id") * most + F.col("number")).alias("query_id"), "vector")
+    asked = variants.where(F.col("vector").isNotNull()).select((F.col("query_id") * most + F.col("number")).alias("query_id"), "vector", *keys)
     number = F.pmod(F.col("query_id"), F.lit(most)).cast("int")
-    near = nearest(asked, vectors, k).select(F.expr(f"(query_id - pmod(query_id, {most})) div {most}").alias("query_id"), "doc_id", "rank", number.alias("list_no"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct("number", "words"))), lambda v: v["words"])  # *most* at most
-    spoken = variants.groupBy("query_id").agg(F.array_join(words, " ").alias("query"))
-    return _fuse(near.unionByName(bm25(docs, spoken, k).select("query_id", "doc_id", "rank", F.lit(most).alias("list_no"))), k)
+    return nearest(asked, vectors, k, keys).select(F.expr(f"(query_id - pmod(query_id, {most})) div {most}").alias("query_id"), "doc_id", "rank", number.alias("list_no"))
+
 
+def retrieve(docs: DataFrame | Index, vectors: DataFrame, queries: DataFrame, models, k: int = 8, use_rerank: bool = True, dept: str | None = None, most: int = 5, window: int = 10, bodies: DataFrame | None = None) -> DataFrame:
+    """(query_id, position, doc_id, rerank_score): the whole retrieval of *queries* (query_id, query, vector or null).
 
-def overlap_score(query: Column, body: Column, snippet: int = 300) -> Column:
-    """The offline stand-in for a reranking model: share of the query's distinct tokens found in the snippet."""
+    Each query becomes up to *most* variants: itself, its rewrites, a hypothetical passage. The k nearest of each
+    variant and the k best by BM25 for the words of all are fused by their best rank and cut to 3k; the first *window*
+    of those are ordered by the models' relevance (null scores, or ``use_rerank`` off: the fused order stays) and
+    cut to k. With *dept*, an exact filter: both lists hold documents of that department only. Without any vectors
+    there is no index and nothing is found. *bodies* (doc_id, text, and dept for a filter) are needed beside an
+    ``Index``; *vectors* are (doc_id, vector).
+    """
+    bodies = docs if bodies is None else bodies
+    texts = query_variants(F.col("query"), models.rewrites(F.col("query")), models.passage(F.col("query")), most)
+    variants = queries.select("query_id", F.col("vector").alias("own"), F.posexplode(texts).alias("number", "words"))
+    variants = variants.select("query_id", "number", "words", models.embed(F.col("words"), F.col("own")).alias("vector"))
+    if vectors.isEmpty():
+        queries = queries.limit(0)
+    corpus = vectors if dept is None else vectors.join(bodies.where(F.col("dept") == dept).select("doc_id"), "doc_id", "left_semi")
+    spoken = variants.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("number", "words"))).alias("said"))  # *most* at most
+    spoken = spoken.select("query_id", F.array_join(F.transform("said", lambda v: v["words"]), " ").alias("query")).join(queries.select("query_id"), "query_id", "left_semi")
+    lexical = bm25(docs, spoken, k, among=None if dept is None else F.col("dept") == dept)
+    near = variant_vectors(variants, corpus, k, most)
+    fused = _fuse(near.unionByName(lexical.select("query_id", "doc_id", "rank", F.lit(most).alias("list_no"))), 3 * k).withColumnRenamed("position", "rank")
+    if not use_rerank:
+        return fused.where(F.col("rank") <= k).select("query_id", F.col("rank").alias("position"), "doc_id", F.lit(None).cast("double").alias("rerank_score"))
+    met = fused.join(bodies.select("doc_id", "text"), "doc_id", "left").join(queries.select("query_id", "query"), "query_id")
+    scored = met.withColumn("_score", models.relevance(F.col("query"), F.col("text")))
+    failed = F.max(F.col("_score").isNull()).over(Window.partitionBy("query_id"))  # a scorer that failed for one failed for its query
+    scored = scored.withColumn("_failed", failed).where(F.col("_failed") | (F.col("rank") <= window))
+    scored = scored.withColumn("rerank_score", F.when(~F.col("_failed"), F.round("_score", 6)))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank"))
+    return scored.withColumn("position", place).where(F.col("position") <= k).select("query_id", "position", "doc_id", "rerank_score")
+
+
+def overlap_score(query: Column, body: Column, snippet: int | None = 300) -> Column:
+    """The offline stand-in for a reranking model: share of the query's distinct tokens found in the snippet, or in all of *body*."""
     asked = F.array_distinct(tx.index_tokens(query))
-    found = F.array_intersect(asked, tx.index_tokens(F.substring(body, 1, snippet)))
+    found = F.array_intersect(asked, tx.index_tokens(body if snippet is None else F.substring(body, 1, snippet)))
     return F.coalesce(F.try_divide(F.size(found).cast("double"), F.size(asked)), F.lit(0.0))
 
 

@@ -17,6 +17,9 @@ def admit(requests: DataFrame, key: str, micros: str, order: str, limit: int, wi
 
     import pyarrow as pa
 
+    from kelpline.session import prepare
+
+    prepare(requests.sparkSession)
     schema = requests.select(key, micros, order).withColumn("admitted", F.lit(True)).schema
     slim = requests.select(key, micros, order).repartition(key).sortWithinPartitions(key, micros, order)
 

@@ -6,10 +6,10 @@ DOCS = """docs AS (SELECT doc_id, text, source AS dept, lang, substr(text, 1, 30
     lpad(CAST(n_chars AS VARCHAR), 8, '0') AS date, 'doc/' || doc_id AS url FROM documents)"""
 
 
-def _bm25_ctes(k: int, lower: bool = True, among: str = "true", corpus: str = "documents") -> str:
+def _bm25_ctes(k: int, lower: bool = True, among: str = "true") -> str:
     tokens = "regexp_extract_all(text, '[A-Za-z0-9_]+')"
     asked = f"list_transform({tokens}, lambda t: lower(t))" if lower else tokens
-    return f"""{DOCS}, corpus AS (SELECT * FROM docs WHERE doc_id IN (SELECT doc_id FROM {corpus})),
+    return f"""{DOCS}, corpus AS (SELECT * FROM docs),
     tok AS (SELECT doc_id, list_transform({tokens}, lambda t: lower(t)) AS toks FROM corpus),
     post AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM tok),
     tfs AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM post GROUP BY doc_id, term),
@@ -43,14 +43,20 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT * FROM ranked WHERE rank <= 8"""
 KNN_EXACT = KNN.format(k=8, join=" JOIN documents a ON a.doc_id = d.vec_id, documents b", keep=" AND b.doc_id = q.vec_id AND a.source = b.source")
 
-HYBRID = f"""WITH {_bm25_ctes(24, corpus="(SELECT vec_id AS doc_id FROM embeddings)")},
+
+
+def _fused(k: int, cut: int, vectors: str = "true", among: str = "true") -> str:
+    """Both lists of k, fused and cut."""
+    return f"""WITH {_bm25_ctes(k, among=among)},
 near AS (SELECT * FROM (SELECT query_id, {_PLACE} AS rank, doc_id FROM ({_PAIRS}
-    WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND d.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 24),
+    WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND {vectors})) WHERE rank <= {k}),
 lists AS (SELECT query_id, doc_id, rank, 0 AS list_no FROM near UNION ALL SELECT query_id, doc_id, rank, 1 FROM top),
 best AS (SELECT query_id, doc_id, min(rank) AS best_rank, min({{'list_no': list_no, 'rank': rank}}) AS first FROM lists GROUP BY query_id, doc_id),
 placed AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best_rank, first, doc_id) AS INTEGER) AS position,
-    doc_id, best_rank, round(1 / (60 + best_rank), 8) AS fused FROM best)
-SELECT * FROM placed WHERE position <= 24"""
+    doc_id, best_rank, round(1 / (60 + best_rank), 8) AS fused FROM best QUALIFY position <= {cut})"""
+
+
+HYBRID = f"{_fused(24, 24)} SELECT * FROM placed"
 
 _TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda t: lower(t))"
 RERANK = bm25(
@@ -62,6 +68,15 @@ RERANK = bm25(
     SELECT * FROM placed WHERE position <= 8"""
 )
 
+RETRIEVE = f"""{_fused(8, 24)}, scored AS (SELECT p.query_id, p.position AS rank, p.doc_id, round(coalesce(
+        len(list_intersect(list_distinct({_TOKENS.format("b.text")}), {_TOKENS.format("substr(coalesce(d.text, ''), 1, 300)")}))
+        / nullif(len(list_distinct({_TOKENS.format("b.text")})), 0), 0), 6) AS rerank_score
+      FROM placed p LEFT JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = p.query_id WHERE p.position <= 10),
+    ordered AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS INTEGER) AS position, doc_id, rerank_score FROM scored)
+    SELECT * FROM ordered WHERE position <= 8"""
+RETRIEVE_IN = f"""{_fused(8, 24, "d.vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')", "dept = 'src1'")}
+    SELECT query_id, position, doc_id FROM placed WHERE position <= 8"""
+
 CONTEXT = bm25(
     """, blocks AS (SELECT query_id, rank, '【文件名稱】' || d.url || chr(10) || '【文件類型】' || d.lang || chr(10) || '【頁碼】' || d.dept || chr(10)
         || '【來源網址】' || chr(10) || '【文件內容】' || chr(10) || substr(d.text, 1, 1200) AS block FROM top JOIN docs d USING (doc_id)),
@@ -84,13 +99,16 @@ ATTRIBUTION = bm25(
 
 CHUNK_FIXED = """WITH cut AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM documents)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, CAST(length(substr(text, i * 800 + 1, 800)) AS INTEGER) AS chars, md5(substr(text, i * 800 + 1, 800)) AS digest FROM cut"""
-TOKEN_COUNTS = """SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, len(list_distinct(t)) AS terms FROM
-(SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS t FROM documents) WHERE len(t) > 0"""
+_TEXT_TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x))"
+TOKEN_COUNTS = f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS terms FROM (SELECT doc_id, {_TEXT_TOKENS} AS t FROM documents)"
+POSTINGS = f"""SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS INTEGER) AS dl, unnest(t) AS term FROM
+    (SELECT doc_id, {_TEXT_TOKENS} AS t FROM documents)) GROUP BY doc_id, dl, term"""
 
 LEFT_JOIN = """SELECT d.doc_id, d.source, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic
 FROM documents d LEFT JOIN labels l USING (doc_id)"""
 UNMATCHED = "SELECT source, count(*) AS unmatched FROM documents ANTI JOIN labels USING (doc_id) GROUP BY source"
-FINGERPRINT = """WITH parts AS (SELECT source, md5(count(*) || ':' || CAST(sum(CAST(('0x' || substr(md5(coalesce(text, '')), 1, 8)) AS BIGINT)) AS VARCHAR)) AS digest
+_HALF = "CAST(sum(CAST(('0x' || substr(md5(coalesce(text, '')), {0}, 16)) AS UBIGINT)) AS VARCHAR)"
+FINGERPRINT = f"""WITH parts AS (SELECT source, md5(count(*) || ':' || {_HALF.format(1)} || ':' || {_HALF.format(17)}) AS digest
     FROM documents GROUP BY source)
 SELECT md5(string_agg(coalesce(source, '') || ':' || digest, '|' ORDER BY coalesce(source, '') || ':' || digest)) AS fingerprint FROM parts"""
 DENSE = "SELECT page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS doc_id FROM pages"
@@ -154,6 +172,8 @@ NEGATIVE = FEEDBACK + """SELECT f.message_id, f.first_seen, coalesce(a.dept, '?'
 USAGE = FEEDBACK + """SELECT dept, count(*) AS answers, count(DISTINCT nullif(session_id, '')) AS sessions, min(seq) AS first_seen FROM answers GROUP BY dept"""
 NEAREST_RANK = """WITH r AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)
 SELECT event_type, len(v) AS n, v[1 + len(v) // 2] AS p50, v[1 + greatest(0, len(v) * 95 // 100 - 1)] AS p95, v[len(v)] AS max FROM r"""
+NEAREST_RANK_ALL = """WITH r AS (SELECT list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL)
+SELECT len(v) AS n, v[1 + len(v) // 2] AS p50, v[1 + greatest(0, len(v) * 95 // 100 - 1)] AS p95, v[len(v)] AS max FROM r"""
 VERDICTS = """WITH j AS (SELECT source AS dept, CASE WHEN quality = 1 AND toxic = 0 THEN 'CORRECT' WHEN quality = 1 THEN 'PARTIAL'
     WHEN toxic = 0 THEN 'WRONG' ELSE 'JUDGE_ERROR' END AS verdict, CASE WHEN lang <> 'es' THEN (lang = 'en')::INTEGER END AS hit
     FROM documents JOIN labels USING (doc_id))
@@ -173,5 +193,42 @@ SELECT conv_id, turn, CASE WHEN greatest(en, fr, de) = 0 THEN 'tool_search' WHEN
 ADHERENCE = """WITH a AS (SELECT conv_id AS id, coalesce(toxic = 0, true) AS expected, coalesce(contains(lower(text), 'lich ') OR contains(lower(text), 'the ea'), false) AS refused, coalesce(text, '') AS answer
     FROM conversations LEFT JOIN labels ON doc_id = conv_id WHERE role = 'assistant')
 SELECT id, count(*) FILTER (refused) AS refused, round(avg(CASE WHEN expected THEN CASE WHEN answer = '' OR refused THEN 0 ELSE 1 END ELSE refused::INTEGER END), 6) AS adherence FROM a GROUP BY id"""
-YEARS = """SELECT * FROM (VALUES ('113年', '2024', '2024'), ('113學年度', '2024度', '2024度'), ('15年', '1926', '1926'),
-    ('2023年', '21934', '2023年'), ('民國 99 年', '2010', '2010'), ('none', 'none', 'none')) AS v(query, compat, strict)"""
+YEARS = """WITH e AS (SELECT DISTINCT event_id % 3000 AS n, event_id % 4 AS form FROM events),
+y AS (SELECT n, form, CASE WHEN n < 10 THEN NULL WHEN n < 1000 THEN CAST(n + 1911 AS VARCHAR) END AS strict,
+    CASE WHEN n < 10 THEN NULL WHEN n < 1000 THEN CAST(n + 1911 AS VARCHAR) ELSE (n // 1000) || CAST(n % 1000 + 1911 AS VARCHAR) END AS compat,
+    CASE WHEN n < 1000 THEN '' ELSE '民國 ' END AS lead FROM e)
+SELECT CASE form WHEN 0 THEN n || '年' WHEN 1 THEN n || '學年度' WHEN 2 THEN '民國 ' || n || ' 年' ELSE 'no ' || n END AS query,
+    CASE form WHEN 0 THEN coalesce(compat, n || '年') WHEN 1 THEN coalesce(compat || '度', n || '學年度') WHEN 2 THEN coalesce(lead || compat, '民國 ' || n || ' 年') ELSE 'no ' || n END AS compat,
+    CASE form WHEN 0 THEN coalesce(strict, n || '年') WHEN 1 THEN coalesce(strict || '度', n || '學年度') WHEN 2 THEN coalesce(strict, '民國 ' || n || ' 年') ELSE 'no ' || n END AS strict FROM y"""
+
+CORPUS = """WITH d AS (SELECT doc_id AS id, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, CAST(doc_id AS VARCHAR) AS i, md5(coalesce(text, '')) AS d,
+    CAST(doc_id % 7 AS VARCHAR) AS k, '2024 / 1 / ' || (doc_id % 28 + 1) AS day FROM documents WHERE doc_id IS NOT NULL),
+rows AS (
+    SELECT 0 AS part, path, 0 AS nth, 'ope' AS dept, 'news' AS type, '最新消息' AS page, 'N' || i AS title, day AS date, 'http://u/' || i AS url, '' AS category,
+        '## ' || day || chr(10) || '**[N' || i || '](http://u/' || i || ')**' || chr(10) || 'body ' || d AS text FROM d
+    UNION ALL SELECT 0, path, 1, 'ope', 'news', '最新消息', '最新消息', '', '', '', 'plain ' || d FROM d
+    UNION ALL SELECT 1, path, 0, 'ope', 'faq', '常見問題', 'Q' || i || '?', '', '', '', 'Q: Q' || i || '?' || chr(10) || chr(10) || 'A:' || chr(10) || 'A ' || d FROM d
+    UNION ALL SELECT 3, path, 0, 'ope', 'page', 'P' || k, 'P' || k, '', '', '', 'page ' || d FROM d
+    UNION ALL SELECT 3, path, 1, 'ope', 'page', 'P' || k || '_2', 'P' || k || '_2', '', '', '', 'twice' FROM d
+    UNION ALL SELECT 3, path, 2, 'ope', 'grade', '競賽成績', '成績紀錄：Ann G', '', '', '',
+        '【競賽成績紀錄】學年度：' || i || '，賽事名稱：G，競賽項目：R，名次：1，參賽學生/隊伍：Ann' FROM d
+    UNION ALL SELECT 4, path, 0, 'ope', 'form', 'Page 1', 'F' || i || '.doc', '', 'https://u/' || i, '表單', 'form ' || d FROM d
+    UNION ALL SELECT 4, path, 1, 'ope', 'regulation', 'Page 1', 'R' || i, '', '', '法規', 'R' || i || chr(10) || '文件類型：法規' || chr(10) || '來源網址：' FROM d
+    UNION ALL SELECT 5, path, 0, 'ge', 'correction', '系統修正紀錄', '使用者糾正資訊', '', '', '',
+        '## 修正紀錄：x' || chr(10) || '- **所屬處室**：GE（x）' || chr(10) || 'right ' || d FROM d
+    UNION ALL SELECT 5, path, 1, 'ope', 'correction', '系統修正紀錄', '使用者糾正資訊', '', '', '', '## 修正紀錄：y' || chr(10) || 'no dept ' || i FROM d
+    UNION ALL SELECT 8, path, 0, 'ge', CASE WHEN id % 2 = 0 THEN 'form' ELSE 'regulation' END, 'Page 1', 'A' || i || '.pdf', CASE WHEN id % 2 = 0 THEN 'd' ELSE '' END,
+        CASE WHEN id % 2 = 0 THEN 'http://m/' || i ELSE '' END, CASE WHEN id % 2 = 0 THEN '表單' ELSE '法規' END, 'rule ' || d FROM d)
+SELECT row_number() OVER (ORDER BY part, path, nth) - 1 AS doc_id, dept, type, page, title, date, url, category, text FROM rows"""
+LINES = """SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, 'A' || doc_id || '.pdf' AS title, 'Page 1' AS page, 'rule ' || md5(coalesce(text, '')) AS text
+    FROM documents WHERE doc_id IS NOT NULL"""
+JSONL = """WITH lines AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events WHERE event_id % 10 <> 4)
+SELECT seq, CASE WHEN event_id % 10 = 3 THEN 'corrupt' WHEN event_id % 2 = 0 THEN 'answer' ELSE 'feedback' END AS kind,
+    CASE WHEN event_id % 10 = 3 THEN '{broken ' ELSE '' END || 'm' || event_id AS what FROM lines"""
+CORRECTIONS = """SELECT CASE WHEN toxic = 1 THEN 'ge' ELSE 'ope' END AS dept, 't' || doc_id AS topic,
+    CAST(length('## 修正紀錄：2024-05-06 07:08:09') + 1 + length('- **所屬處室**：' || CASE WHEN toxic = 1 THEN 'ge（通識教育中心）' ELSE 'ope（體育室）' END) + 1
+        + length('- **相關問題/主題**：t' || doc_id) + 1 + length('- **正確資訊**：a') + 2 AS INTEGER) AS chars FROM labels WHERE quality = 1"""
+VALIDATED = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'up' ELSE 'down' END AS rating, 'm' || event_id AS message_id, 'other,outdated' AS reasons,
+    CAST(least(event_id % 700, 500) AS INTEGER) AS chars FROM events WHERE event_id % 4 IN (0, 1) AND event_id % 6 <> 5"""
+COMPLETENESS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 ELSE CASE event_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0
+    ELSE round_even(CAST('0.' || (event_id % 1000) AS DOUBLE), 4) END END AS completeness FROM events"""

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.operators import chunking, evaluation, feedback, lookup, metadata, retrieval, state
+from kelpline.operators import models as models_
 from kelpline.operators.models import Models, Offline
 from kelpline.plans import oracle
-from kelpline.session import table
+from kelpline.session import Scratch, shared_dir, table
+from kelpline.sources import corpus, markdown, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,19 +43,29 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The lexical index of the documents, built once for the same contents and stored in the shared folder."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dept"), "text")
+    told = docs.select("dept", F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("text"))
+    mark = metadata.fingerprint(told, "dept").first().fingerprint
+    folder = f"{shared_dir(spark).rstrip('/')}/kelpline-index/{spark.sparkContext.applicationId}/{mark}"
+    tokenised = sinks.load_or_build(spark, f"{folder}/bags", mark, lambda: retrieval.bags(docs, keep=["dept"]))
+    return retrieval.Index(tokenised, sinks.load_or_build(spark, f"{folder}/terms", mark, lambda: retrieval.document_frequencies(tokenised)))
+
+
 @query("bm25_topk", oracle.bm25("SELECT query_id, rank, doc_id, score FROM top"))
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 10)
+    return retrieval.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), 10)
 
 
 @query("bm25_compat_query_tokens", oracle.bm25("SELECT query_id, rank, doc_id, score FROM top", lower=False))
 def bm25_compat(spark, sf_dir):
-    return retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, symmetric=False)
+    return retrieval.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), 10, symmetric=False)
 
 
 @query("bm25_by_department", oracle.bm25("SELECT query_id, rank, doc_id, score FROM top", among="dept = 'src1'"))
 def bm25_by_department(spark, sf_dir):
-    return retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, among=F.col("dept") == "src1")
+    return retrieval.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), 10, among=F.col("dept") == "src1")
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -71,7 +83,8 @@ def knn_l2_topk(spark, sf_dir):
 
 @query("knn_postfilter", oracle.KNN_AFTER)
 def knn_postfilter(spark, sf_dir):
-    """The compatible form: 3k neighbours, then the filter by the query's department, then ranks anew."""
+    """The compatible form: 3k neighbours, then the filter by the query's department, then ranks anew. Vectors without a
+    document have no department, so the filter drops them."""
     own = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dept"))
     found = retrieval.nearest(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 24)
     found = found.join(own.withColumnRenamed("dept", "doc_dept"), "doc_id").join(own.select(F.col("doc_id").alias("query_id"), F.col("dept").alias("query_dept")), "query_id")
@@ -80,52 +93,50 @@ def knn_postfilter(spark, sf_dir):
 
 @query("knn_filtered_exact", oracle.KNN_EXACT)
 def knn_filtered_exact(spark, sf_dir):
-    """The exact form: the nearest of the query's own department."""
+    """The exact form: the nearest of the query's own department. Vectors without a document belong to none."""
     own = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dept"))
     corpus = _vectors(spark, sf_dir).join(own, "doc_id")
     asked = corpus.where(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id")
     return retrieval.nearest(asked, corpus, 8, keys=["dept"])
 
 
-def _hybrid(docs: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """BM25 over all of *docs* and the nearest of all *vectors*, fused by union: neither list limits the other."""
-    by_vector = vectors.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "vector")
-    lists = [retrieval.nearest(by_vector, vectors, 24), retrieval.bm25(docs, asked, 24)]
-    return retrieval.fuse_best_rank(lists, 24)
-
-
 @query("hybrid_minrank", oracle.HYBRID)
 def hybrid_minrank(spark, sf_dir):
-    """As its SQL states: both lists over the documents that have a vector."""
-    vectors = _vectors(spark, sf_dir)
-    docs = _docs(spark, sf_dir).join(vectors.select("doc_id"), "doc_id", "left_semi")
-    return _hybrid(docs, vectors.join(docs.select("doc_id"), "doc_id", "left_semi"), _asked(spark, sf_dir))
+    """BM25 over all documents and the nearest of all vectors, fused by union: neither list limits the other."""
+    vectors, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    by_vector = vectors.join(asked.select("query_id"), F.col("doc_id") == F.col("query_id")).select("query_id", "vector")
+    lists = [retrieval.nearest(by_vector, vectors, 24), retrieval.bm25(_index(spark, sf_dir), asked, 24)]
+    return retrieval.fuse_best_rank(lists, 24)
 
 
 @query("rerank_overlap", oracle.RERANK)
 def rerank_overlap(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    met = retrieval.bm25(docs, asked, 10).join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    met = retrieval.bm25(_index(spark, sf_dir), asked, 10).join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
     return retrieval.rerank(met, Offline().relevance(F.col("query"), F.col("text")), 8).select("query_id", "position", "doc_id", "rerank_score")
 
 
-@query("retrieve_and_rerank")
+def _with_vectors(spark, sf_dir) -> DataFrame:
+    own = _vectors(spark, sf_dir).select(F.col("doc_id").alias("query_id"), "vector")
+    return _asked(spark, sf_dir).join(own, "query_id", "left")
+
+
+@query("retrieve_and_rerank", oracle.RETRIEVE)
 def retrieve_and_rerank(spark, sf_dir, models: Models | None = None):
-    """The whole pipeline: variants, the nearest of each, BM25 of all their words, fusion, reranking, final cut."""
-    docs, vectors, asked, models = _docs(spark, sf_dir), _vectors(spark, sf_dir), _asked(spark, sf_dir), models or Offline()
-    own = vectors.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("own"))
-    texts = retrieval.query_variants(F.col("query"), models.rewrites(F.col("query")), models.passage(F.col("query")))
-    variants = asked.join(own, "query_id", "left").select("query_id", "own", F.posexplode(texts).alias("number", "words"))
-    variants = variants.select("query_id", "number", "words", models.embed(F.col("words"), F.col("own")).alias("vector"))
-    fused = retrieval.fuse_variants(docs, vectors, variants, 24).withColumnRenamed("position", "rank")
-    met = fused.join(docs.select("doc_id", "text"), "doc_id", "left").join(asked, "query_id")
-    return retrieval.rerank(met, models.relevance(F.col("query"), F.col("text")), 8).select("query_id", "position", "doc_id", "rerank_score")
+    """The whole retrieval: variants, the nearest of each, BM25 of all their words, fusion, reranking, final cut."""
+    return retrieval.retrieve(_index(spark, sf_dir), _vectors(spark, sf_dir), _with_vectors(spark, sf_dir), models or Offline(), bodies=_docs(spark, sf_dir))
+
+
+@query("retrieve_in_department", oracle.RETRIEVE_IN)
+def retrieve_in_department(spark, sf_dir):
+    """The same within one department and without reranking."""
+    return retrieval.retrieve(_index(spark, sf_dir), _vectors(spark, sf_dir), _with_vectors(spark, sf_dir), Offline(), use_rerank=False, dept="src1", bodies=_docs(spark, sf_dir)).drop("rerank_score")
 
 
 @query("context_snippets", oracle.CONTEXT)
 def context_snippets(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    hits = retrieval.bm25(docs, _asked(spark, sf_dir), 3).join(docs, "doc_id")
+    hits = retrieval.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), 3).join(docs, "doc_id")
     named = hits.select("query_id", "rank", F.col("url").alias("title"), F.col("lang").alias("category"), F.col("dept").alias("page"), F.lit("").alias("url"), F.col("text").alias("content"))
     context = retrieval.context_block(named)
     return context.select("query_id", F.length("context").alias("chars"), F.md5(F.encode("context", "utf-8")).alias("digest"))
@@ -134,7 +145,7 @@ def context_snippets(spark, sf_dir):
 @query("source_attribution", oracle.ATTRIBUTION)
 def source_attribution(spark, sf_dir):
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    hits = retrieval.bm25(docs, asked, 3).join(docs.select("doc_id", "title", "url", F.col("dept").alias("type"), F.lit("").alias("page")), "doc_id")
+    hits = retrieval.bm25(_index(spark, sf_dir), asked, 3).join(docs.select("doc_id", "title", "url", F.col("dept").alias("type"), F.lit("").alias("page")), "doc_id")
     answers = lookup.list_sources(hits).join(asked.withColumnRenamed("query", "answer"), "query_id")
     found = lookup.attribute_sources(answers)
     return found.select("query_id", F.size("sources").alias("n_sources"), F.array_join(F.transform("sources", lambda s: s["url"]), ",").alias("urls"))
@@ -148,13 +159,19 @@ def chunk_fixed(spark, sf_dir):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, sf_dir):
+    """Null texts have no chunks."""
     return chunking.chunks(table(spark, sf_dir, "documents"))
 
 
 @query("index_token_counts", oracle.TOKEN_COUNTS)
 def index_token_counts(spark, sf_dir):
-    entries = retrieval.postings(table(spark, sf_dir, "documents"))
-    return entries.groupBy("doc_id").agg(F.max("dl").alias("tokens"), F.count(F.lit(1)).alias("terms"))
+    rows = retrieval.bags(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.size("tokens").alias("tokens"), F.size(F.array_distinct("tokens")).alias("terms"))
+
+
+@query("index_postings", oracle.POSTINGS)
+def index_postings(spark, sf_dir):
+    return retrieval.postings(table(spark, sf_dir, "documents"))
 
 
 @query("metadata_left_join", oracle.LEFT_JOIN)
@@ -291,7 +308,13 @@ def latency_nearest_rank(spark, sf_dir):
     return feedback.nearest_rank(table(spark, sf_dir, "events"), "value", ["event_type"])
 
 
-@query("latency_mean_median", "SELECT round(avg(value), 1) AS mean_s, round(median(value), 1) AS median_s FROM events")
+@query("latency_nearest_rank_all", oracle.NEAREST_RANK_ALL)
+def latency_nearest_rank_all(spark, sf_dir):
+    """One group of all rows."""
+    return feedback.nearest_rank(table(spark, sf_dir, "events"), "value", [])
+
+
+@query("latency_mean_median", "SELECT round_even(avg(value), 1) AS mean_s, round_even(median(value), 1) AS median_s FROM events")
 def latency_mean_median(spark, sf_dir):
     return evaluation.latency(table(spark, sf_dir, "events").withColumnRenamed("value", "latency_s"))
 
@@ -322,6 +345,90 @@ def topic_adherence(spark, sf_dir):
 
 @query("roc_year_rewrite", oracle.YEARS)
 def roc_year_rewrite(spark, sf_dir):
-    """Inline rows, as the tables hold no such years; both forms."""
-    rows = spark.createDataFrame([("113年",), ("113學年度",), ("15年",), ("2023年",), ("民國 99 年",), ("none",)], "query string")
+    """Years made of all events' ids, in the four forms in which queries name them."""
+    n = (F.col("event_id") % 3000).cast("string")
+    form = F.element_at(F.array(F.concat(n, F.lit("年")), F.concat(n, F.lit("學年度")), F.concat(F.lit("民國 "), n, F.lit(" 年")), F.concat(F.lit("no "), n)), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(form.alias("query")).distinct()
     return rows.select("query", tx.rewrite_years(F.col("query"), compat=True).alias("compat"), tx.rewrite_years(F.col("query")).alias("strict"))
+
+
+def _knowledge_files(spark, sf_dir) -> dict[str, DataFrame]:
+    """Markdown files made of each document's id and the digest of its text: the tables hold no Markdown."""
+    i, digest = F.col("doc_id").cast("string"), F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", F.lpad(i, 12, "0").alias("path"), digest.alias("d"), i.alias("i"))
+
+    def files(pattern: str) -> DataFrame:
+        parts = [F.lit(p) if n % 2 == 0 else F.col({"i": "i", "d": "d", "k": "k", "day": "day"}[p]) for n, p in enumerate(pattern.split("`"))]
+        made = docs.withColumns({"k": (F.col("doc_id") % 7).cast("string"), "day": (F.col("doc_id") % 28 + 1).cast("string")})
+        return made.select("path", F.concat(*parts).alias("md"))
+
+    return {
+        "main": files(
+            "before\n# 最新消息\n## 2024 / 1 / `day`\n**[N`i`](http://u/`i`)**\nbody `d`\n---\nplain `d`\n# 常見問題\nintro\n### Q`i`?\nA `d`\n# P`k`\npage `d`\n# P`k`\ntwice"
+            "\n# 競賽成績\n| 學年度 | 賽事名稱 | x | y | z |\n|---|---|---|---|---|\n| `i` | G | R | 1 | Ann |\n| too | few |"
+        ),
+        "regulations": files("top\n---\n## 📄 F`i`.doc\n文件類型：表單\n來源網址：https://u/`i`\n原始格式：doc\n\n### Page 1\nform `d`\n---\n## 📄 R`i`\n文件類型：法規\n"),
+        "corrections": files("# head\n\n## 修正紀錄：x\n- **所屬處室**：GE（x）\nright `d`\n\nother\n\n## 修正紀錄：y\nno dept `i`"),
+        "crawled": files("# 最新消息\n（無法擷取內文）\n# 法令規章\n## A`i`.pdf\n### Page 1\nrule `d`\n## empty\n"),
+        "meta": docs.where(F.col("doc_id") % 2 == 0).select(F.concat(F.lit("A"), "i").alias("title_norm"), F.concat(F.lit("http://m/"), "i").alias("url"), F.lit("表單").alias("category"), F.lit("form").alias("type"), F.lit("d").alias("date")),
+    }
+
+
+@query("corpus_build", oracle.CORPUS)
+def corpus_build(spark, sf_dir):
+    """The typed corpus of all kinds of sources, one file of each kind per document."""
+    f = _knowledge_files(spark, sf_dir)
+    built = corpus.build(spark, f["main"], f["regulations"], f["corrections"], {"ge": f["crawled"]}, meta={"ge": f["meta"]})
+    return built.select("doc_id", "dept", "type", "page", "title", F.coalesce("date", F.lit("")).alias("date"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("category", F.lit("")).alias("category"), "text")
+
+
+@query("regulation_lines", oracle.LINES)
+def regulation_lines(spark, sf_dir):
+    return markdown.regulation_lines(_knowledge_files(spark, sf_dir)["crawled"]).select("path", "title", "page", "text")
+
+
+@query("events_jsonl", oracle.JSONL)
+def events_jsonl(spark, sf_dir):
+    """All events written as JSON lines, some broken or blank, and read again: kind and place of each line."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "answer").otherwise("feedback").alias("event"))
+    sent = rows.select("event_id", F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), "event")
+    line = F.to_json(F.struct("event", "message_id"))
+    line = F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("{broken "), "message_id")).when(F.col("event_id") % 10 == 4, F.lit(" ")).otherwise(line)
+    scratch = Scratch(spark)
+    scratch.drop_at_exit()
+    place = f"{scratch.folder}/log"
+    sent.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(place)
+    answers, voted, corrupt = tables.events(spark, place)
+    both = answers.select("seq", F.lit("answer").alias("kind"), F.col("message_id").alias("what")).unionByName(voted.select("seq", F.lit("feedback").alias("kind"), F.col("message_id").alias("what")))
+    return both.unionByName(corrupt.select("seq", F.lit("corrupt").alias("kind"), F.col("value").alias("what")))
+
+
+@query("corrections_recorded", oracle.CORRECTIONS)
+def corrections_recorded(spark, sf_dir):
+    """What is recorded as a correction for each labelled document is found by the parser: department and record."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "GE").otherwise("unknown").alias("dept"), F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("topic"), F.lit("a\n\n \nb").alias("text"), "quality")
+    scratch = Scratch(spark)
+    scratch.drop_at_exit()
+    place = f"{scratch.folder}/corrections"
+    sinks.record_corrections(rows, F.col("quality") == 1, place, F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    found = markdown.corrections(markdown.read_files(spark, [place]))
+    return found.select("dept", F.regexp_extract("text", "主題\\*\\*：(t[0-9]+)", 1).alias("topic"), F.length("text").alias("chars"))
+
+
+@query("feedback_validated", oracle.VALIDATED)
+def feedback_validated(spark, sf_dir):
+    """Validation of raw feedback made of all events: case, blanks, unknown and repeated reasons, long comments."""
+    e = F.col("event_id")
+    rating = F.element_at(F.array(F.lit(" UP "), F.lit("down"), F.lit("maybe"), F.lit(None)), (e % 4 + 1).cast("int"))
+    reasons = F.array(F.lit("other"), F.col("event_type"), F.lit("other"), F.lit("outdated"))
+    rows = table(spark, sf_dir, "events").select("event_id", rating.alias("rating"), F.when(e % 6 != 5, F.concat(F.lit(" m"), e.cast("string"), F.lit(" "))).alias("message_id"), reasons.alias("reasons"), F.repeat(F.lit("c"), (e % 700).cast("int")).alias("comment"))
+    return feedback.valid_feedback(rows).select("event_id", "rating", "message_id", F.array_join("reasons", ",").alias("reasons"), F.length("comment").alias("chars"))
+
+
+@query("judged_completeness", oracle.COMPLETENESS)
+def judged_completeness(spark, sf_dir):
+    """The rules around a judge, with its reply taken from the events' values."""
+    e = F.col("event_id")
+    answer = F.when(e % 5 == 0, F.lit("")).when(e % 5 == 1, F.lit("查無資料")).otherwise(F.lit("text"))
+    reply = F.when(e % 3 == 0, F.lit("none")).when(e % 3 == 1, F.lit("score 7")).otherwise(F.concat(F.lit("0."), (e % 1000).cast("string")))
+    return table(spark, sf_dir, "events").select("event_id", models_.completeness(answer, F.lit("truth"), reply).alias("completeness"))

@@ -6,11 +6,12 @@ Patterns and marks that parsed results depend on are fixed values.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.operators import chunking
+from kelpline.session import prepare
 
 DEPTS = ("ope", "ge", "lc", "oaa", "osa")
 NEWS_TITLE = "最新消息"
@@ -45,7 +46,8 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _sections(md: Column, marks: str) -> Column:
     """[(seq, title, body)] of the headings of a level; text before the first heading is dropped."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), md), rf"\n{marks}[ \t]+(?=\S)", -1), 2, 1_000_000)
+    parts = F.split(F.concat(F.lit("\n"), md), rf"\n{marks}[ \t]+(?=\S)", -1)
+    parts = F.slice(parts, F.lit(2), F.size(parts))
     return F.transform(
         parts,
         lambda p, i: F.struct(
@@ -56,27 +58,30 @@ def _sections(md: Column, marks: str) -> Column:
     )
 
 
+def _free_names(titles) -> list[str]:
+    taken: dict[str, None] = {}  # in order
+    for title in titles:
+        name, n = title, 2
+        while name in taken:
+            name, n = f"{title}_{n}", n + 1
+        taken[name] = None
+    return list(taken)
+
+
 def pages(files: DataFrame) -> DataFrame:
     """(path, page_seq, page_key, body): H1 pages; repeated titles take the first free of _2, _3, ..."""
     split = files.select("path", F.inline(_sections(F.col("md"), "#")))
 
-    # Names already taken decide the next, so names of one file are folded in order.
-    named = split.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "title", "body"))).alias("rows"))
-
-    @F.udf("array<string>")
-    def free(titles):
-        taken, out = set(), []
-        for title in titles:
-            name, n = title, 2
-            while name in taken:
-                name, n = f"{title}_{n}", n + 1
-            taken.add(name)
-            out.append(name)
-        return out
+    # Names already taken decide the next, so the titles of one file (not its texts) are folded in order.
+    @F.pandas_udf("array<string>")
+    def free(lists: pd.Series) -> pd.Series:
+        return lists.map(_free_names)
 
-    keyed = named.withColumn("keys", free(F.transform("rows", lambda r: r["title"])))
-    rows = keyed.select("path", F.explode(F.arrays_zip("rows", "keys")).alias("p"))
-    return rows.select("path", F.col("p.rows.seq").alias("page_seq"), F.col("p.keys").alias("page_key"), F.col("p.rows.body").alias("body"))
+    prepare(files.sparkSession)
+    named = split.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("rows"))
+    keyed = named.select("path", "rows", free(F.transform("rows", lambda r: r["title"])).alias("keys"))
+    keys = keyed.select("path", F.explode(F.arrays_zip("rows", "keys")).alias("p")).select("path", F.col("p.rows.seq").alias("seq"), F.col("p.keys").alias("page_key"))
+    return split.join(keys, ["path", "seq"]).select("path", F.col("seq").alias("page_seq"), "page_key", "body")
 
 
 def news(page: DataFrame, body: str = "body") -> DataFrame:
@@ -163,6 +168,8 @@ def _paged(docs: DataFrame, separators: tuple[str, ...]) -> DataFrame:
 
 
 def _chunked(rows: DataFrame, column: str, separators: tuple[str, ...], short_as_is: bool) -> DataFrame:
+    prepare(rows.sparkSession)
+
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunking.split_recursively(t, separators=separators) if not short_as_is or len(t) >= chunking.SIZE else [t])
@@ -186,6 +193,46 @@ def faq_pairs(files: DataFrame, phrases: list[str]) -> DataFrame:
     return rows.where(label != "").select("path", "seq", label.alias("label"), question.alias("question"), F.col("body").alias("answer")).where(~vague(F.col("answer"), phrases))
 
 
+#: Regulations that questions are made from, and the heading below which they stand.
+QUESTION_REGULATIONS = (
+    "國立臺北大學通識教育中心學生抵免學分辦法",
+    "國立臺北大學通識教育課程實施辦法",
+    "國立臺北大學通識微型及自主學習課程實施原則",
+)
+REGULATIONS_HEADING = "# 相關法規"
+SCHOOL = "國立臺北大學"
+
+
+def regulation_passages(files: DataFrame, titles: tuple[str, ...] = QUESTION_REGULATIONS, least: int = 200) -> DataFrame:
+    """(path, seq, label, passage): the whole text of each listed regulation, from its heading to the next one of
+    level one or two, without page marks; the first occurrence below the regulations' heading, if longer than *least*."""
+    below = files.select("path", F.when(F.contains("md", F.lit(REGULATIONS_HEADING)), F.substring(F.col("md"), F.instr("md", REGULATIONS_HEADING), F.length("md"))).alias("md"))
+    listed = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(t).alias("title")) for i, t in enumerate(titles)])
+    rows = below.where(F.col("md").isNotNull()).select("path", "md", F.inline(listed)).withColumn("marker", F.concat(F.lit("## "), "title"))
+    rows = rows.where(F.contains("md", F.col("marker")))
+    rest = F.substring(F.col("md"), F.position(F.col("marker"), F.col("md")) + F.length("marker"), F.length("md"))
+    text = F.concat("marker", F.element_at(F.split(rest, r"\n## |\n# ", 2), 1))
+    passage = F.regexp_replace(tx.strip(text), r"### Page [0-9]+\n?", "")
+    return rows.select("path", "seq", F.replace("title", F.lit(SCHOOL), F.lit("")).alias("label"), passage.alias("passage")).where(F.length("passage") > least)
+
+
+def regulation_lines(files: DataFrame) -> DataFrame:
+    """(path, seq, title, page, text): runs of non-blank lines below an H2 title, split at H3 pages; lines before the
+    first title, and runs without lines, are dropped."""
+    lines = files.select("path", F.posexplode(F.split("md", "\n", -1)).alias("line_no", "raw")).withColumn("line", tx.strip(F.col("raw")))
+    title = F.startswith("line", F.lit("## "))
+    page = F.startswith("line", F.lit("### "))
+    upto = Window.partitionBy("path").orderBy("line_no")  # the lines of one file
+    marked = lines.withColumns({"file_no": F.sum(title.cast("int")).over(upto), "seq": F.sum((title | page).cast("int")).over(upto)})
+    marked = marked.withColumn("name", F.when(title | page, tx.strip(F.regexp_replace("line", "^#+ ", ""))))
+    held = F.array_sort(F.collect_list(F.when(~title & ~page & (F.col("line") != ""), F.struct("line_no", "line"))))
+    runs = marked.where(F.col("file_no") > 0).groupBy("path", "file_no", "seq").agg(
+        F.max(F.when(title, F.col("name"))).alias("own_title"), F.max(F.when(page, F.col("name"))).alias("page"), F.array_join(F.transform(held, lambda r: r["line"]), "\n").alias("text")
+    )
+    first = F.first("own_title", ignorenulls=True).over(Window.partitionBy("path", "file_no").orderBy("seq"))
+    return runs.withColumn("title", first).where((F.col("text") != "") & (F.col("title") != "")).select("path", "seq", "title", F.coalesce(tx.blank_to_null(F.col("page")), F.lit(OVERVIEW)).alias("page"), "text")
+
+
 def passages(items: DataFrame, least: int, most: int, after: str | None = None) -> DataFrame:
     """News passages for question generation: without lines that only link, long enough, cut to *most* characters."""
     body = F.col("raw")

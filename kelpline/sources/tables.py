@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
+from kelpline.operators.metadata import dense_ids
+from kelpline.session import prepare
 
 ANSWER = """event string, severity string, ts string, message_id string, session_id string, dept string,
 event_type string, language string, question string, answer string, sources array<struct<title: string, url: string>>,
@@ -22,7 +23,9 @@ def events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFr
     Blank lines are skipped, lines that do not parse are kept as ``corrupt`` for counting. Answers need a message id;
     feedback does not. ``seq`` follows the order of files and lines, for last-write-wins.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq")).where(tx.strip(F.col("value")) != "")
+    # Files by name, then their splits in order, then lines: Spark itself reads files by size.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    lines = dense_ids(lines.where(tx.strip(F.col("value")) != ""), ["_path", "_block", "_line"], "seq").select("value", "seq")
     schema = f"{ANSWER}, rating string, reasons array<string>, comment string, _corrupt_record string"
     parsed = lines.select("seq", "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"))
     good = parsed.where(F.col("e._corrupt_record").isNull() & F.col("e").isNotNull())
@@ -46,34 +49,29 @@ def json_array(spark: SparkSession, path: str, schema: str, key: str = "id") ->
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("_no", F.monotonically_increasing_id())
+    rows = spark.read.schema(schema).json(path, multiLine=True).select("*", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_no"))
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_no")))
     return rows.withColumn("_last", last).where(F.col("_last") == 1).drop("_no", "_last")
 
 
 def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(row_no, cells map) of a sheet of an xlsx file; empty where the file, the sheet or the reader is missing.
+    """(row_no, cells map) of a sheet of an xlsx file; empty where the sheet is missing or the file is no workbook.
 
     Workbooks are small and read by one task each, as the format needs.
     """
+    from kelpline.sources import xlsx
+
     schema = "row_no long, cells map<string,string>"
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError:
-        return spark.createDataFrame([], schema)
+    prepare(spark)
 
     def rows(batches):
-        import openpyxl
         import pandas as pd
 
         for batch in batches:
             for content in batch["content"]:
-                book = openpyxl.load_workbook(io.BytesIO(content), data_only=True, read_only=True)
-                if sheet is not None and sheet not in book.sheetnames:
-                    continue
-                lines = book[sheet or book.sheetnames[0]].iter_rows(values_only=True)
-                names = [str(c or "") for c in next(lines, ())]
-                made = [(i, {n: str(v) for n, v in zip(names, line) if n and v is not None}) for i, line in enumerate(lines)]
+                lines = xlsx.sheet_rows(content, sheet)
+                names = next(lines, [])
+                made = [(i, {n: v for n, v in zip(names, line) if n and v}) for i, line in enumerate(lines)]
                 yield pd.DataFrame(made, columns=["row_no", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)

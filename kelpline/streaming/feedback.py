@@ -19,6 +19,9 @@ def upsert(batch: DataFrame, batch_id: int, path: str) -> None:
     if batch_id:
         rows = current(spark, path, batch_id - 1).unionByName(batch)
     latest(rows, "message_id", "seq").drop("first_seen").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    if batch_id > 1:  # the one before stays, in case this batch is repeated
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def current(spark: SparkSession, path: str, batch_id: int) -> DataFrame:

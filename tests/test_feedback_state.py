@@ -29,6 +29,15 @@ def test_nearest_rank(spark):
         rows = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
         got = feedback.nearest_rank(rows, "v", ["g"]).first()
         assert (got.p50, got.p95, got.max) == (values[n // 2], values[max(0, int(0.95 * n) - 1)], values[-1])
+        assert feedback.nearest_rank(rows, "v", []).first() == (n, got.p50, got.p95, got.max)
+    nulls = spark.createDataFrame([(None, 1.0), (None, 3.0), ("g", None)], "g string, v double")
+    assert [tuple(r) for r in feedback.nearest_rank(nulls, "v", ["g"]).collect()] == [(None, 2, 3.0, 1.0, 3.0)]
+    assert feedback.nearest_rank(nulls.limit(0), "v", []).count() == 0
+
+
+def test_reasons(spark):
+    rows = spark.createDataFrame([(1, ["other", "outdated"]), (2, ["outdated"]), (3, [])], "first_seen long, reasons array<string>")
+    assert [(r.reason, r.n) for r in feedback.reason_counts(rows).collect()] == [("outdated", 2), ("other", 1)]
 
 
 def admitted(times, limit=15, window=60):
@@ -67,9 +76,36 @@ def test_evaluation(spark):
     assert [(r.q, r.id) for r in ids.orderBy("id").collect()] == [("q1", "V4008"), ("q2", "V4009")]
 
 
+def test_evaluation_filters(spark):
+    rows = spark.createDataFrame([("a", ["c"], "g"), ("", ["c"], "g"), ("a", [], "g"), ("a", ["c"], None), ("a", None, "g")], "answer string, contexts array<string>, ground_truth string")
+    assert evaluation.scorable(rows).count() == 1
+    told = spark.createDataFrame([("short",), ("long enough to be no vague answer",), ("long enough but See Website for more",)], "a string")
+    assert [r.v for r in told.select(evaluation.vague(F.col("a"), ["see website"]).alias("v")).collect()] == [True, False, True]
+
+
+def test_model_defaults(spark):
+    frame = spark.createDataFrame([("a\n \n b ", "q"), (None, "q")], "r string, q string")
+    got = frame.select(models.rewrites_of(F.col("r"), F.col("q")), models.passage_of(F.col("r"), F.col("q")), models.scores_of(F.lit("[1, 2.5]")), models.scores_of(F.lit("none")), models.injected(F.col("r")), models.transcript(F.col("r"))).collect()
+    assert got[0][0] == ["a", "b"] and got[1][:2] == (["q"], "q") and got[0][2] == [1.0, 2.5] and not got[0][3] and not got[1][4] and got[1][5] == models.NO_TRANSCRIPT
+    judged = spark.createDataFrame([("", "t", "1"), ("很抱歉", "t", "1"), ("a", "t", None), ("a", "t", "7"), ("a", "t", "about 0.33335")], "a string, t string, r string")
+    assert [r.c for r in judged.select(models.completeness(F.col("a"), F.col("t"), F.col("r")).alias("c")).collect()] == [0.0, 0.1, 0.5, 1.0, 0.3334]
+    assert frame.select(models.clamp(F.lit(-1.0)).alias("a"), models.clamp(F.lit(float("nan"))).alias("b")).first() == (0.0, 0.5)
+    replies = spark.createDataFrame([("x", 'text [{"question": "Q", "ground_truth": "a truth that is long enough"}, {"question": "", "ground_truth": "y"}] end'), ("y", "none")], "label string, reply string")
+    assert [tuple(r) for r in models.generated_pairs(replies, ["vague"]).collect()] == [("x", "Q", "a truth that is long enough")]
+    assert models.generated_pairs(replies.withColumn("asked", F.lit("Q")), [], question="asked").count() == 0
+    said = spark.createDataFrame([("", None), ("- x", "s")], "listing string, r string").select(models.fallback_answer(F.col("listing")).alias("f"), models.spoken_summary(F.col("r"), F.lit("# *A* https://u b")).alias("s")).collect()
+    assert said[0].f == models.FALLBACK_NONE and "- x" in said[1].f and (said[0].s, said[1].s) == ("A  b", "s")
+    calls = spark.createDataFrame([(i,) for i in range(6)], "round int")
+    assert models.agent_rounds(calls).count() == 3
+    parsed = spark.createDataFrame([('{"year": 3}',), ("broken",)], "a string").select(models.tool_arguments(F.col("a"), "year int").alias("p")).collect()
+    assert [r.p.year for r in parsed] == [3, None]
+
+
 def test_model_boundary(spark):
     frame = spark.createDataFrame([("GE please", "partial!", "Yes"), (None, "?", None)], "r string, j string, y string")
     got = frame.select(models.route(F.col("r")).alias("r"), models.verdict(F.col("j")).alias("j"), models.yes(F.col("y")).alias("y")).collect()
     assert [tuple(g) for g in got] == [("ge", "PARTIAL", True), ("ope", "JUDGE_ERROR", False)]
+    replies = spark.createDataFrame([("OPE, not GE", "ope"), ("LC or GE", "lc"), ("ge", "ge"), ("INJECT other", "inject")], "r string, want string")
+    assert all(r.got == r.want for r in replies.select("want", models.route(F.col("r")).alias("got")).collect())
     pick = spark.range(1).select(*[models.ordinal_pick(F.array(F.lit("a"), F.lit("b")), F.lit(i)).alias(f"p{i}") for i in (0, 1, 3)]).first()
     assert tuple(pick) == ("b", "a", "b")

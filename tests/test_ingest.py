@@ -85,6 +85,93 @@ def test_events_and_config(spark, tmp_path):
     assert tables.json_array(spark, str(tmp_path / "none.json"), "id string").count() == 0
 
 
+def test_events_follow_names_and_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(json.dumps({"event": "feedback", "message_id": "m", "rating": "up"}) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps({"event": "feedback", "message_id": "m", "rating": r}) for r in ["up"] * 50 + ["down"]))
+    _, feedback, _ = tables.events(spark, str(tmp_path))
+    rows = feedback.orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(52)) and rows[-1].rating == "down"
+
+
+def workbook(path):
+    import zipfile
+
+    rows = [["title", "tags", "file_url"], ["A.pdf", "x,表單", "http://f"], ["B & C", "", ""]]
+    texts = sorted({c for r in rows for c in r if c})
+    escape = lambda s: s.replace("&", "&amp;")
+    cell = lambda r, c, v: f'<c r="{"ABC"[c]}{r + 1}" t="s"><v>{texts.index(v)}</v></c>' if v else ""
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="other" r:id="r1"/><sheet name="ge" r:id="r2"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+        book.writestr("xl/sharedStrings.xml", f"<sst {space}>" + "".join(f"<si><r><t>{escape(t[:1])}</t></r><r><t>{escape(t[1:])}</t></r></si>" for t in texts) + "</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><sheetData><row><c t="inlineStr"><is><t>n</t></is></c><c><v>5</v></c></row></sheetData></worksheet>')
+        book.writestr("xl/worksheets/sheet2.xml", f"<worksheet {space}><sheetData>" + "".join(f"<row>{''.join(cell(r, c, v) for c, v in enumerate(line))}</row>" for r, line in enumerate(rows)) + "</sheetData></worksheet>")
+
+
+def test_workbook(spark, tmp_path):
+    from kelpline.sources import xlsx
+
+    workbook(tmp_path / "w.xlsx")
+    cells = tables.workbook(spark, str(tmp_path / "w.xlsx"), "ge")
+    assert [(r.row_no, r.cells) for r in cells.orderBy("row_no").collect()] == [(0, {"title": "A.pdf", "tags": "x,表單", "file_url": "http://f"}), (1, {"title": "B & C"})]
+    assert {tuple(r) for r in tables.regulation_metadata(cells).collect()} == {("A", "http://f", "表單", "form", ""), ("B&C", "", "法規", "regulation", "")}
+    assert tables.workbook(spark, str(tmp_path / "w.xlsx"), "none").count() == 0
+    assert list(xlsx.sheet_rows((tmp_path / "w.xlsx").read_bytes())) == [["n", "5"]] and list(xlsx.sheet_rows(b"no zip")) == []
+
+
+def test_many_sections(spark):
+    count = 1_000_010
+    docs = spark.range(1).select(F.lit("p").alias("path"), F.concat_ws("\n", F.array_repeat(F.lit("## t"), count)).alias("md"))
+    assert docs.select(F.size(md._sections(F.col("md"), "##")).alias("n")).first().n == count
+
+
+def test_passages(spark):
+    items = spark.createDataFrame([("公告內容\n- [link](u)\n" + "text " * 60,), ("short",)], "raw string")
+    got = md.passages(items, 200, 250, "公告內容").collect()
+    assert len(got) == 1 and len(got[0].passage) == 250 and "link" not in got[0].passage
+    title = md.QUESTION_REGULATIONS[1]
+    rows = md.regulation_passages(files(spark, f"## {title}\nearly\n# 相關法規\n## {title}\n### Page 1\n" + "rule " * 50 + "\n## next\nx", "none")).collect()
+    assert len(rows) == 1 and rows[0].label == "通識教育課程實施辦法" and rows[0].passage.startswith(f"## {title}\nrule") and "next" not in rows[0].passage
+    lines = md.regulation_lines(files(spark, "lost\n## A\n a1 \n\na2\n### P1\n### P2\nb\n## B\n")).collect()
+    assert {(r.title, r.page, r.text) for r in lines} == {("A", md.OVERVIEW, "a1\na2"), ("A", "P2", "b")}
+    pairs = md.faq_pairs(files(spark, "### 抵免Q1 How so?\nAn answer that is long enough to stay here\n### no mark\nx\n### 抵免Q2 Why?\nshort"), [])
+    assert [(r.label, r.question) for r in pairs.collect()] == [("抵免Q1", "How so?")]
+
+
+def test_corpus(spark):
+    from kelpline.sources import corpus
+
+    main = files(spark, "# 最新消息\nnews\n# 常見問題\n### Q?\nA\n# 競賽成績\n| 1 | G | R | 1 | Ann |\n# P\nx")
+    built = corpus.build(spark, main, None, files(spark, "## 修正紀錄：1\n- **所屬處室**：LC（x）"))
+    assert [(r.doc_id, r.type, r.dept) for r in built.orderBy("doc_id").collect()] == [(0, "news", "ope"), (1, "faq", "ope"), (2, "grade", "ope"), (3, "page", "ope"), (4, "correction", "lc")]
+    assert corpus.build(spark, main, compat=True).count() == 6
+    assert corpus.build(spark).count() == 0
+    rules = corpus.build(spark, regulation_files={"oaa": files(spark, "## T.pdf\n### Page 1\nrule")}, meta={"oaa": spark.createDataFrame([("T", "u", "表單", "form", "d")], "title_norm string, url string, category string, type string, date string")})
+    assert [(r.dept, r.type, r.url, r.source, r.text) for r in rules.collect()] == [("oaa", "form", "u", "regulations", "rule")]
+
+
+def test_summaries_and_paths(spark, tmp_path):
+    old = spark.createDataFrame([("r1", 0.5)], "run string, a double")
+    both = sinks.append_summary(old, spark.createDataFrame([("r2", 1.0)], "run string, b double"))
+    assert both.columns == ["run", "a", "b"] and both.count() == 2 and sinks.append_summary(None, old).count() == 1
+    sinks.write_metric(old, str(tmp_path / "m"))
+    part = next(p for p in (tmp_path / "m").iterdir() if p.name.startswith("part"))
+    assert part.read_bytes().startswith("\ufeff".encode()) and sinks.read_metric(spark, str(tmp_path / "m")).columns == ["run", "a"]
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "f").write_text("x")
+    assert tables.resolve("f", [str(tmp_path / "one"), str(tmp_path / "two")]) == str(tmp_path / "two" / "f") and tables.resolve("g", ["/a", "/b"]) == "/a/g"
+    rows, seen = spark.range(25).select("id"), []
+
+    def summarise(done):
+        seen.append(done.count())
+        return done.agg(F.count("*").alias("n"))
+
+    for _ in range(2):
+        sinks.write_in_steps(rows, summarise, "id", str(tmp_path / "steps"))
+    assert seen == [10, 20, 25] and spark.read.json(str(tmp_path / "steps/summary")).first().n == 25
+
+
 def test_metadata_rows(spark):
     cells = spark.createDataFrame([(0, {"title": "A.pdf", "source_page": "p"}), (1, {"title": "A", "tags": "x,表單", "file_url": "f"}), (2, {"title": " "})], "row_no long, cells map<string,string>")
     assert [tuple(r) for r in tables.regulation_metadata(cells).collect()] == [("A", "f", "表單", "form", "")]

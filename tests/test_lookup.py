@@ -28,7 +28,7 @@ def test_records(spark):
     rows = docs(spark, [(i, "", f"record {112 if i % 2 else 'year 2023'} name{i % 3}", "", "", "") for i in range(40)])
     assert lookup.find_records(rows, year="112").first().total == lookup.find_records(rows, year="2023").first().total == 40
     assert lookup.find_records(rows, year="2023").count() == 25
-    assert lookup.find_records(rows, year="112x").count() == 0
+    assert lookup.find_records(rows, year="112x").count() == lookup.find_records(rows, year="²").count() == 0
     relaxed = lookup.find_records(rows, keyword="absent", name="name").collect()
     assert len(relaxed) == 15 and {r["mode"] for r in relaxed} == {"relaxed"}
     assert lookup.find_records(rows, keyword="absent").count() == 0
@@ -41,6 +41,11 @@ def test_schedule(spark):
     assert (lookup.schedule(rows, 2024).first().doc_id, lookup.schedule(rows, 1990).first().exact) == (0, False)
 
 
+def test_professors(spark):
+    rows = spark.createDataFrame([(1, "師資介紹", "swims"), (2, "other", "swims")], "doc_id long, page string, text string")
+    assert [r.doc_id for r in lookup.find_professors(rows, "swim").collect()] == [1] and lookup.find_professors(rows, "").count() == 0
+
+
 def test_sources(spark):
     hits = spark.createDataFrame(
         [(1, 1, "1. Alpha form.pdf", "http://a", "form", ""), (1, 2, "Beta", "http://b", "page", ""), (1, 3, "C", "", "correction", ""), (1, 4, "1. Alpha form.pdf", "http://a", "form", "")],

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kelpline.operators import render
 from kelpline.plans import tools
-from kelpline.sources import sinks
+from kelpline.sources import markdown, sinks
 
 
 def rows(spark):
@@ -43,11 +43,26 @@ def test_tools(spark):
     assert tools.call(docs, "unknown", {}).count() == 0
 
 
+def test_tool_arguments_and_corrections(spark, tmp_path):
+    assert tools.schema_of("record_correction")["required"] == ["original_query", "correction_info"] and tools.schema_of("get_schedule")["properties"] == {"year": {"type": "integer"}}
+    assert tools.parse("get_schedule", '{"year": 2024, "other": 1}') == {"year": 2024} and tools.parse("get_schedule", '{"year": "x"}') == {}
+    assert [tools.parse("find_forms", a) for a in ("broken", None, "[1]", '{"keyword": "k"}')] == [{}, {}, {}, {"keyword": "k"}]
+    docs = rows(spark)
+    vectors = spark.createDataFrame([(3, [0.0, 1.0])], "doc_id long, vector array<double>")
+    base = tools.Knowledge(docs, vectors, str(tmp_path / "c"), dept="ge")
+    assert tools.call(base, "record_correction", '{"original_query": "q", "correction_info": "i"}').first().recorded
+    assert [r.dept for r in markdown.corrections(markdown.read_files(spark, [str(tmp_path / "c")])).collect()] == ["ge"]
+    assert [r.dept for r in tools.call(base, "search_regulations_and_general", '{"search_query": "alpha"}').collect()] == ["ge", "ge"]
+    assert [r.doc_id for r in tools.call(base, "get_schedule", '{"year": 2024}').collect()] == [2]
+    assert spark.table(tools.register(spark, base)[0]).count() == 1
+
+
 def test_more_sinks(spark, tmp_path):
     line = json.loads(sinks.event_line(spark.createDataFrame([("x",)], "a string"), "feedback", F.lit("2024-01-02 03:04:05").cast("timestamp")).first().value)
     assert line["ts"].startswith("2024-01-02T03:04:05")
     corrections = spark.createDataFrame([("GE", "t", "yes"), ("zz", "t", "yes"), ("ge", "t", "no")], "dept string, topic string, text string")
     sinks.record_corrections(corrections, F.col("text") == "yes", str(tmp_path / "c"))
-    assert sorted(r.dept for r in spark.read.parquet(str(tmp_path / "c")).collect()) == ["ge", "ope"]
+    found = markdown.corrections(markdown.read_files(spark, [str(tmp_path / "c")])).collect()
+    assert sorted(r.dept for r in found) == ["ge", "ope"] and all("- **正確資訊**：yes" in r.text for r in found)
     sinks.write_results(corrections.limit(1), corrections, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/rows")).count() == 3

@@ -49,6 +49,44 @@ def test_nearest_and_filters(spark):
     assert [r.doc_id for r in retrieval.nearest(query, corpus, 2, keys=["dept"]).orderBy("rank").collect()] == [4, 0]
 
 
+def test_nearest_passes_over_what_is_no_vector(spark):
+    vectors = [(1, [0.0, 0.0]), (2, None), (3, [1.0]), (4, [float("nan"), 0.0]), (5, [None, 1.0]), (6, [3.0, 4.0]), (None, [0.0, 0.0])]
+    corpus = spark.createDataFrame(vectors, "doc_id long, vector array<double>")
+    asked = corpus.where("doc_id < 4").withColumnRenamed("doc_id", "query_id")
+    got = [tuple(r) for r in retrieval.nearest(asked, corpus, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1, 0.0), (1, 2, 6, 25.0), (3, 1, 3, 0.0)]
+    assert retrieval.nearest(asked, corpus.limit(0), 5).count() == 0
+
+
+def test_bm25_in_blocks_and_from_an_index(spark):
+    docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b") for i, t in DOCS], "doc_id long, text string, dept string")
+    asked = spark.createDataFrame([(i, q) for i, q in enumerate(["alpha beta", "beta", "", None, "delta delta"])], "query_id long, query string")
+    index = retrieval.build_index(docs, keep=["dept"])
+    whole = sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect()))
+    assert whole == sorted(map(tuple, retrieval.bm25(index, asked, 3, block_rows=1).collect()))
+    assert [(d, s) for q, _, d, s in whole if q == 0] == okapi(DOCS, ["alpha", "beta"])[:3] and [s for q, _, _, s in whole if q == 3] == [0.0] * 3
+    assert {r.doc_id for r in retrieval.bm25(index, asked, 9, among=F.col("dept") == "a").collect()} == {1, 3, 5}
+    assert retrieval.bm25(index, asked.limit(0), 3).count() == retrieval.bm25(docs.limit(0), asked, 3).count() == 0
+
+
+class Failing(Offline):
+    def relevance(self, query, body):
+        return F.lit(None).cast("double")
+
+
+def test_retrieve_filters_and_fails_softly(spark):
+    docs = spark.createDataFrame([(i, f"word number{i}", "a" if i % 2 else "b") for i in range(30)], "doc_id long, text string, dept string")
+    vectors = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(30)], "doc_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, "number7 word", [20.2, 0.0])], "query_id long, query string, vector array<double>")
+    rows = retrieval.retrieve(docs, vectors, asked, Offline(), 4, dept="a").orderBy("position").collect()
+    assert len(rows) == 4 and rows[0].doc_id == 7 and all(r.doc_id % 2 for r in rows)
+    plain = retrieval.retrieve(docs, vectors, asked, Offline(), 4, use_rerank=False).orderBy("position").collect()
+    assert [r.doc_id for r in plain] == [20, 7, 21, 0] and plain[0].rerank_score is None
+    failed = retrieval.retrieve(docs, vectors, asked, Failing(), 4).orderBy("position").collect()
+    assert [r.doc_id for r in failed] == [20, 7, 21, 0]
+    assert retrieval.retrieve(docs, vectors.limit(0), asked, Offline(), 4).count() == 0
+
+
 def ranked(spark, docs):
     return spark.createDataFrame([(1, d, i + 1) for i, d in enumerate(docs)], "query_id long, doc_id long, rank int")
 

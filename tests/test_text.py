@@ -35,10 +35,14 @@ def test_markup_and_answers(spark):
     assert one(spark, " <b>x</b> **bold** [t](http://u) ", tx.clean_markup(F.col("x"))) == "x bold t"
     assert one(spark, "%E9%AB%94", tx.decode_url(F.col("x"))) == "體"
     assert one(spark, "50%", tx.decode_url(F.col("x"))) == "50%"
+    assert one(spark, "a+b 50% %E9%AB%94 %zz", tx.decode_url(F.col("x"))) == "a+b 50% 體 %zz"
+    assert one(spark, "%E9%AB", tx.decode_url(F.col("x"))) == "\ufffd"
+    assert str(one(spark, "2024 / 3 / 05", tx.to_day(F.col("x")))) == "2024-03-05" and one(spark, "", tx.to_day(F.col("x"))) is None
+    assert len(one(spark, "x", tx.message_id())) == 32
     assert one(spark, " 查無相關資訊。", tx.soften(F.col("x"))) == tx.EMPTY_REPLY
     assert one(spark, None, tx.soften(F.col("x"))) == tx.BLANK_REPLY
     assert one(spark, "fine", tx.soften(F.col("x"))) == "fine"
     assert one(spark, "aaa", tx.occurrences(F.col("x"), F.lit("aa"))) == 1
-    assert one(spark, "a b a", tx.total_occurrences(F.col("x"), F.array(F.lit("a"), F.lit("a")))) == 4
+    assert one(spark, "a b a", tx.total_occurrences(F.col("x"), ["a", "a"])) == 4
     assert one(spark, "Cannot Answer.", tx.mentions_any(F.col("x"), ["cannot answer."])) is True
     assert one(spark, "x", tx.bar(F.lit(1), F.lit(2))) == "█" * 14 + "░" * 14
