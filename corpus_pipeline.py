@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its ids and the text decoded from them; null and empty texts have no ids and an empty text."""
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        coded = bpe.encode_decode(docs, file.read())
+        coded = bpe.encode_decode(docs, file.read(), block_bytes=4 << 20)  # ids and whole texts leave a block at once
     return coded.select("doc_id", "n_tokens", "ids", F.decode("decoded", "utf-8").alias("text"))
 
 
