@@ -106,10 +106,42 @@ def test_jaccard_join_equals_brute_force(spark, seed, monkeypatch):
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
+        else:
+            assert (r.n_shingles, r.component_id) == (len(sets[0]), None)
     kept = [r.doc_id for r in jaccard_join.one_of_each(docs).collect()]
     assert sorted(k for k in kept if k is not None) == sorted(set(want.values())) and kept.count(None) == 1
 
 
+def test_jaccard_join_of_large_groups(spark, monkeypatch):
+    """Sets of equal prefix and size: groups of many classes, within and between which only some pairs link."""
+    rng = np.random.default_rng(5)
+    common, texts = [f"c{i}" for i in range(100)], []
+    for family in range(40):  # 30 rare words, more than a prefix, and 60 of a hundred common ones
+        rare = [f"r{family - (family % 2 if i < 25 else 0)}_{i}" for i in range(30)]  # neighbours share 25
+        if family % 2 == 0:
+            first = list(rng.choice(common, 60, replace=False))
+        near = [c for c in first if c not in first[:3]] + [c for c in common if c not in first][:3]
+        other = list(rng.choice(common, 60, replace=False))
+        texts += [" ".join(rare + own) for own in (first, near, other)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    want = brute_components({i: shingles(t, 1) for i, t in enumerate(texts)})
+    seen = []
+    units = jaccard_join._group_units
+    monkeypatch.setattr(jaccard_join, "_group_units", lambda grouped: seen.append(grouped.agg(F.max("classes")).first()[0]) or units(grouped))
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(docs, k=1).collect()}
+    assert got == want and seen[0] > 1 and 40 < len(set(want.values())) < 100
+
+
+def test_jaccard_join_of_one_id_with_two_texts(spark):
+    six, seven = "a b c d e f g h i j", "a b c d e f g h i j k"
+    rows = [(5, six), (5, seven), (7, "q r s t u v w x y z"), (5, six), (9, "q r s t u v w x y z"), (2, "k l m n o p q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(docs).collect())
+    assert got == [(2, 6, 2), (5, 6, 5), (5, 6, 5), (5, 7, 5), (7, 6, 7), (9, 6, 7)]
+    assert sorted(map(tuple, jaccard_join.one_of_each(docs).collect())) == [(2, rows[5][1]), (5, six), (5, seven), (7, rows[2][1])]
+
+
 def test_jaccard_join_without_links(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     assert {tuple(r) for r in jaccard_join.similar_documents(docs).collect()} == {(1, 1, 1), (2, 0, 2)}
