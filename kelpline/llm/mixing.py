@@ -74,10 +74,9 @@ def demand(points: Sequence[tuple[float, float]], time: Column) -> Column:
     return area / F.lit(total)
 
 
-def digests(columns: Sequence[str]) -> tuple[Column, Column]:
-    """Two 64-bit digests of a row's *columns*, nulls included."""
-    told = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
-    return F.xxhash64(F.lit(1), *told), F.xxhash64(F.lit(2), *told)
+def digest(columns: Sequence[str]) -> Column:
+    """A 64-bit digest of a row's *columns*, nulls included."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())])
 
 
 def _mixed(rows: DataFrame, weights, schedules, max_epochs: int, whole: bool) -> tuple[DataFrame, list[float]]:
@@ -109,12 +108,18 @@ def _mixed(rows: DataFrame, weights, schedules, max_epochs: int, whole: bool) ->
     return mixed, by_kind
 
 
+def place_of(key: str, text: str, source: str) -> Column:
+    """The place of a document in its source's order: a digest that other engines can tell, too."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in (key, source, text)]
+    return F.md5(F.encode(F.concat_ws("|", *told), "utf-8"))
+
+
 def _sized(docs: DataFrame, key: str, text: str, source: str, mark: Column) -> DataFrame:
     return docs.select(
         F.col(key).alias("id"),
         F.col(source).cast("string").alias("origin"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        digests([key, text, source])[0].alias("place"),
+        place_of(key, text, source).alias("place"),
         mark.alias("mark"),
     )
 
@@ -135,7 +140,7 @@ def mix_sources(
     each. Sources are configuration (each has a weight), so their totals, MAX_SOURCES rows at most, go to the driver.
     """
     prepare(docs.sparkSession)
-    mixed, _ = _mixed(_sized(docs, key, text, source, digests([key, text, source])[1]), weights, schedules, max_epochs, whole)
+    mixed, _ = _mixed(_sized(docs, key, text, source, digest([key, text, source])), weights, schedules, max_epochs, whole)
     return mixed.select(F.col("id").alias(key), "place", "size", "source_size", "target", "taken", "passes", "positions")
 
 
@@ -161,7 +166,7 @@ def training_rows(
     names = docs.columns
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     own = {c: f"c{i}" for i, c in enumerate(names)}
-    place, mark = digests([own[key], own[text], own[source]])[0], digests(list(own.values()))[1]
+    place, mark = place_of(own[key], own[text], own[source]), digest(list(own.values()))
     mixed, words = _mixed(_sized(rows, own[key], own[text], own[source], mark), weights, schedules, max_epochs, True)
     passes = mixed.select("place", "mark", F.explode("positions").alias("position"))
     whole = sum(words) or 1.0

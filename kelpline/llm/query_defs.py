@@ -58,14 +58,58 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-@query("op1_sharding")
+@query(
+    "op1_sharding",
+    r"""
+    WITH codes AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+            lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS code),
+    d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+    bytes AS (SELECT n, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM d),
+    sums AS (SELECT n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], b),
+            lambda c, x: xor(c >> 8, code[1 + (xor(c, x) & 255)]))) AS crc FROM bytes, codes),
+    s AS (SELECT doc_id, crc, t, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size FROM d JOIN sums USING (n)),
+    o AS (SELECT *, row_number() OVER w AS place, CAST(sum(size) OVER w - size AS BIGINT) AS start FROM s
+        WINDOW w AS (ORDER BY crc, t, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    g AS (SELECT crc, t, min(start) AS first, max(start + size) AS last FROM o GROUP BY crc, t),
+    goals AS (SELECT CAST(k * total // 8 AS BIGINT) AS goal, total / 8 AS target FROM (SELECT sum(size) AS total FROM s), (SELECT unnest(range(1, 8)) AS k)),
+    near AS (SELECT goal, target, CASE WHEN abs(g.first - goal) <= abs(g.last - goal) THEN g.first ELSE g.last END AS edge,
+            CASE WHEN abs(o.start - goal) <= abs(o.start + o.size - goal) THEN o.start ELSE o.start + o.size END AS row_edge
+        FROM goals JOIN o ON o.start <= goal AND goal < o.start + o.size JOIN g ON g.crc = o.crc AND g.t = o.t),
+    cuts AS (SELECT CASE WHEN abs(edge - goal) > 0.02 * target THEN row_edge ELSE edge END AS cut FROM near),
+    cast_ AS (SELECT doc_id, size, crc, place, (SELECT count(*) FROM cuts WHERE cut <= o.start) AS shard FROM o)
+    SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+        place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cast_
+    """,
+)
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-@query("op2_mixing")
+@query(
+    "op2_mixing",
+    r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            md5(coalesce(CAST(doc_id AS VARCHAR), '~') || '|' || coalesce(source, '~') || '|' || coalesce(text, '~')) AS place FROM documents),
+    o AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS begin FROM d),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS own, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+    w AS (SELECT *, 1.0::DOUBLE + i % 3 AS weight, row_number() OVER r AS turn, coalesce(sum(3 * own) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+            sum(1.0::DOUBLE + i % 3) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights, sum(own) OVER () AS total FROM s
+        WINDOW r AS (ORDER BY own / (1.0::DOUBLE + i % 3), i)),
+    c AS (SELECT *, (total - capped)::DOUBLE / weights AS scale FROM w),
+    f AS (SELECT min(turn) AS turn FROM c WHERE scale * weight <= 3 * own),
+    t AS (SELECT c.source, c.own, c.i, CASE WHEN c.turn < f.turn THEN (3 * c.own)::DOUBLE ELSE (SELECT scale FROM c x WHERE x.turn = f.turn) * c.weight END AS target FROM c, f),
+    m AS (SELECT o.doc_id, o.size, t.own, t.target, t.i % 3 AS kind, o.begin, CAST(round(t.target) AS BIGINT) AS wanted FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+    p AS (SELECT *, greatest(least(wanted - begin, size), 0) AS a, greatest(least(wanted - own - begin, size), 0) AS b, greatest(least(wanted - 2 * own - begin, size), 0) AS c,
+            greatest(begin / wanted, 0.0) AS need FROM m)
+    SELECT doc_id, size, own AS source_size, target, CAST(a + b + c AS BIGINT) AS taken, CAST((a > 0)::INTEGER + (b > 0)::INTEGER + (c > 0)::INTEGER AS INTEGER) AS passes,
+        CASE WHEN a > 0 THEN CASE kind WHEN 0 THEN 2 * need / (1.5 + sqrt(greatest(2.25 + -2.0 * need, 0.0))) WHEN 1 THEN 2 * need / (1.0 + sqrt(1.0::DOUBLE))
+            ELSE CASE WHEN need > 0.3125 THEN 0.5 + 2 * (need - 0.3125) / (1.0 + sqrt(1.0 + 3.0 * (need - 0.3125))) ELSE 2 * need / (0.25 + sqrt(0.0625 + 3.0 * need)) END END END AS position
+    FROM p
+    """,
+)
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents_by_position(mix_sources(table(spark, sf_dir, "documents")))
+    mixed = documents_by_position(mix_sources(table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", "position")
 
 
 @query("op3_bpe")
@@ -122,11 +166,44 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-@query("op6_embedding_dedup")
+@query(
+    "op6_embedding_dedup",
+    """
+    WITH RECURSIVE v AS (
+        SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    s AS (SELECT *, sqrt(list_dot_product(e, e)) AS length FROM v),
+    pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+        WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.98),
+    reach AS (SELECT DISTINCT a AS node, a AS least FROM pairs UNION SELECT p.a, r.least FROM reach r JOIN pairs p ON p.b = r.node),
+    least AS (SELECT node, min(least) AS least FROM reach GROUP BY node),
+    links AS (SELECT s.n, count(p.a) AS links FROM s JOIN (SELECT a.n, a.vec_id AS a FROM s a JOIN s b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+        WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.98) p ON p.n = s.n GROUP BY s.n)
+    SELECT e.vec_id, coalesce(l.links, 0) AS n_links, coalesce(c.least, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(c.least, e.vec_id), true) AS kept
+    FROM embeddings e LEFT JOIN (SELECT vec_id, max(links) AS links FROM links JOIN s USING (n) GROUP BY vec_id) l ON l.vec_id = e.vec_id LEFT JOIN least c ON c.node = e.vec_id
+    """,
+)
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op5_jaccard_join")
+@query(
+    "op5_jaccard_join",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    sets AS (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+    items AS (SELECT n, doc_id, len(s) AS size, unnest(s) AS item FROM sets),
+    shared AS (SELECT a.n AS a, b.n AS b, any_value(a.doc_id) AS x, any_value(b.doc_id) AS y, any_value(a.size) AS p, any_value(b.size) AS q, count(*) AS met
+        FROM items a JOIN items b ON a.item = b.item AND a.n <> b.n GROUP BY a.n, b.n),
+    links AS (SELECT a, b, x, y FROM shared WHERE 100 * met >= 80 * (p + q - met)),
+    reach AS (SELECT a AS node, x AS least FROM links UNION SELECT l.a, r.least FROM reach r JOIN links l ON l.b = r.node),
+    least AS (SELECT node, min(least) AS least FROM reach GROUP BY node)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(c.least, s.doc_id), s.doc_id) AS component_id FROM sets s LEFT JOIN least c ON c.node = s.n
+    """,
+)
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))

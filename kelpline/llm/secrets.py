@@ -2,9 +2,10 @@
 
 Labelled credentials of each format are built into a prefix tree; states whose continuations are statistically
 compatible (Hoeffding bound, as in the ALERGIA algorithm) are merged into a probabilistic automaton. Every
-candidate, a run of credential characters no shorter than the shortest labelled credential, is scored by the
-log-likelihood of each format's automaton over that of the automata learned from labelled non-credentials; those
-above the margin add spans of kind ``format``. The base patterns' spans always stay; of a candidate that they
+candidate, a run of credential characters, is scored by the log-likelihood of each format's automaton over that of
+the automata learned from labelled non-credentials; those above the margin add spans of kind ``format``. A format
+gives strings shorter than its shortest labelled credential no likelihood (merged states forget the length), which
+decides shorter runs without a walk through its automaton. The base patterns' spans always stay; of a candidate that they
 overlap, what is left on each side is a candidate of its own.
 
 Defined cases: null texts are empty; empty texts have no span; very long texts are scanned whole; equal spans
@@ -153,6 +154,9 @@ class Automaton:
         return math.log((self.seen[q].get(c, 0) + 0.02) / (self.visits[q] + 0.02 * 66))
 
     def score(self, word: str) -> float:
+        """Log-likelihood by character; none for a word shorter than any that is known."""
+        if len(word) < self.least:
+            return -math.inf
         q, total = 0, 0.0
         for c in word:
             total += self._log(q, c)
@@ -163,6 +167,9 @@ class Automaton:
 def infer(examples: dict[str, list[str]] | None = None) -> tuple[list[Automaton], list[Automaton]]:
     """(automata of credentials, automata of non-credentials)."""
     made = {name: Automaton(words) for name, words in sorted((examples or labelled()).items())}
+    for name, automaton in made.items():
+        if name.startswith("not:"):
+            automaton.least = 0  # what is no credential may be of any length
     return [a for n, a in made.items() if not n.startswith("not:")], [a for n, a in made.items() if n.startswith("not:")]
 
 

@@ -217,6 +217,43 @@ def test_format_spans_score_every_candidate():
     assert [w for w in plain if secrets.format_spans(w, automata)] == []
 
 
+def plain_format_spans(text, good, bad):
+    """Runs of credential characters outside base spans, scored by walking every automaton letter by letter."""
+    inside = [c.isascii() and (c.isalnum() or c in "+/_=-") for c in text]
+    for start, _, end in brute_spans(text):
+        inside[start:end] = [False] * (end - start)
+    runs, start = [], None
+    for i, here in enumerate([*inside, False]):
+        if here and start is None:
+            start = i
+        elif not here and start is not None:
+            runs.append((start, i))
+            start = None
+
+    def likelihood(automaton, word):
+        state, total = 0, 0.0
+        for c in word:
+            total += np.log((automaton.seen[state].get(c, 0) + 0.02) / (automaton.visits[state] + 0.02 * 66))
+            state = automaton.step[state].get(c, 0)
+        return total / len(word)
+
+    found = []
+    for a, b in runs:
+        own = [likelihood(x, text[a:b]) for x in good if b - a >= x.least]
+        if own and max(own) > max(likelihood(x, text[a:b]) for x in bad) + secrets.MARGIN:
+            found.append((a, 3, b))
+    return found
+
+
+def test_added_spans_equal_plain():
+    good, bad = secrets.infer()
+    draw = np.random.default_rng(6)
+    words = [w for kind in secrets.labelled(seed=31, each=8).values() for w in kind] + ["", "é", "a b", "token=abcdefgh", "AKIA" + "Z" * 20, "short1", "x" * 300]
+    for _ in range(150):
+        text = str(draw.choice(["", " ", "/", ".", "\n"])).join(str(w) for w in draw.choice(words, 12))
+        assert secrets.format_spans(text, (good, bad), secrets.base_spans(text)) == plain_format_spans(text, good, bad)
+
+
 def test_secrets_shorter_formats(spark):
     examples = {"pin": [f"pin_{i:06d}" for i in range(0, 900_000, 9001)], "not:word": secrets.labelled()["not:word"]}
     docs = spark.createDataFrame([(1, "my pin_123456 here"), (2, "my thtionhatheer here")], "doc_id long, text string")
