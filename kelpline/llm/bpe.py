@@ -208,6 +208,7 @@ def _encoder(tokenizer_json: str):
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        workers.give_back()  # reading the vocabulary takes several times its size
         known: dict[bytes, np.ndarray] = {}
         bucket = None
         for batch in batches:

@@ -143,7 +143,7 @@ def test_demand_inverts(spark):
 
 
 def test_urls(spark):
-    urls = ["http://a.com", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/", "x://b.net/es/1", "x://b.net/pt/", None, "no scheme", "http://net/fr/", "http://com/", "http://xcom/", "http://a.com/#/", "HTTP://b.NET/fr/\n", "ftp://u@www.example.com:80/en/"]
+    urls = ["http://a.com", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/", "x://b.net/es/1", "x://b.net/pt/", None, "no scheme", "http://net/fr/", "http://com/", "http://xcom/", "http://a.com/#/", "HTTP://b.NET/fr/\n", "ftp://u@www.example.com:80/en/", "http://" + "a." * 2_000 + "net/es/" + "x" * 200_000, "http://www.example.com/en/" + "é/" * 50_000 + "?q"]
     pages = spark.createDataFrame([(i, u, "html", 0) for i, u in enumerate(urls)] + [(1, urls[1], "other", 1)], "page_id long, url string, html string, copies int")
     got = url_filter.judge_urls(pages).collect()
     assert len(got) == len(urls) + 1 and sum(r.page_id == 1 for r in got) == 2
@@ -296,6 +296,36 @@ def test_langid_held_out(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def plain_prediction(model, text):
+    """Language and cosine of a text by counting its n-grams one by one."""
+    raw = f" {text.lower()} ".encode()
+    data = [b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in raw]
+    counts = {}
+    for a, b in zip(data, data[1:]):
+        place = ((((a << 8 | b) + 1) * 0x9E3779B1) & 0xFFFFFFFF) >> 19
+        counts[place] = counts.get(place, 0) + 1
+    for a, b, c in zip(data, data[1:], data[2:]):
+        place = ((((a << 16 | b << 8 | c) + (1 << 24)) * 0x85EBCA77) & 0xFFFFFFFF) >> 19
+        counts[place] = counts.get(place, 0) + 1
+    weights = {p: np.log1p(n) * model.idf[p] for p, n in counts.items()}
+    length = np.sqrt(sum(w * w for w in weights.values()))
+    cosines = [sum(w * model.centroids[p, c] for p, w in weights.items()) / length for c in range(model.centroids.shape[1])]
+    best = max(range(len(cosines)), key=lambda c: (cosines[c], -c))
+    return model.languages[best], cosines[best]
+
+
+def test_langid_equals_plain(spark):
+    docs = spark.createDataFrame(language_docs(spark, 90), "doc_id long, text string, lang string, score string")
+    model = langid.learn(docs, F.lit(True))
+    twice = docs.union(docs).where(F.col("text").rlike(r"\p{L}") & (F.length("text") < 1000))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(twice, model).collect():
+        language, cosine = plain_prediction(model, texts[r.doc_id])
+        assert r.lang_pred == language and r.score == pytest.approx(min(max(cosine, 0), 1), abs=1e-5)
+    flat = langid.fit([("bb", np.array([1]), np.array([1])), ("aa", np.array([1]), np.array([1]))])
+    assert flat.predict(np.array([1]), np.array([1]))[0] == "aa"  # a tie
+
+
 def test_langid_clusters_and_short_texts():
     rng = np.random.default_rng(4)
     topics = [["kalo", "mira", "tesu"], ["lupa", "bono", "fide"], ["gare", "hosu", "nike"]]

@@ -44,9 +44,28 @@ def test_stages(spark, tmp_path):
         assert r.text == masked[r.doc_id].text and r.n_tokens == len(tokenizer.encode(r.text, add_special_tokens=False).ids) == len(r.ids) // 4
 
 
+def test_stages_of_nothing_and_of_nulls(spark, tmp_path):
+    nulls = spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, 0), (3, "one two", None, None, None), (None, clean(1), None, "s", 5), (None, clean(1), None, "s", 5)], ROW)
+    for name, docs in (("empty", nulls.limit(0)), ("nulls", nulls)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, "unused").write.parquet(str(tmp_path / name / str(i)))
+            docs = spark.read.parquet(str(tmp_path / name / str(i)))
+        assert docs.columns == ["doc_id", "n_tokens", "ids", "text"]
+    assert docs.count() == 0  # without any language to learn from, every document is rejected
+    some = spark.createDataFrame([(i, clean(i % 9), "en", None, None) for i in range(30)] + [(None, clean(2), None, None, 1)] * 3, ROW)
+    kept = corpus_pipeline.near_duplicates(spark, some, "unused").collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept if r.doc_id is not None) == [(False, i) for i in range(9)] and len(kept) == 12
+
+
+def test_run_stores_the_last_stage(spark, tmp_path):
+    spark.createDataFrame([(i, clean(i), "en", f"s{i % 2}", 9) for i in range(20)], ROW).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} <= set(range(20)) and all(r.text == clean(r.doc_id) for r in rows) and len(rows) >= 18
+
+
 def test_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
-    assert {"op7_url_filter", "op8_topk_search"} <= set(__spark_entry__.oracle_sql())
+    assert {"op1_sharding", "op2_mixing", "op5_jaccard_join", "op6_embedding_dedup", "op7_url_filter", "op8_topk_search"} <= set(__spark_entry__.oracle_sql())
