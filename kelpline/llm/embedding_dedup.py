@@ -20,7 +20,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm import workers
@@ -29,7 +29,8 @@ from kelpline.session import Scratch, cut, prepare
 
 TREES = 6
 SPILL = 0.03  # of a unit projection, on each side of the cut
-CELL, LEAF, BLOCK = 8192, 256, 1024
+CELL, LEAF, BLOCK = 8192, 256, 4096
+SMALL, SPREAD = 256, 32  # a group is dealt out in up to SPREAD blocks of SMALL rows and more, then in blocks of BLOCK
 
 
 def _direction(*path) -> np.random.Generator:
@@ -161,6 +162,12 @@ def _cells(classes: DataFrame, trees: int, cell: int, scratch: Scratch) -> DataF
     return out
 
 
+def _blocks(block: int) -> Column:
+    """The number of blocks of a group of ``n`` rows."""
+    rows = F.least(F.lit(block), F.greatest(F.lit(min(SMALL, block)), F.ceil(F.col("n") / SPREAD)))
+    return F.ceil(F.col("n") / rows).cast("int")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES, cell: int = CELL, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
     prepare(vectors.sparkSession)
@@ -173,7 +180,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES,
     scratch = Scratch(vectors.sparkSession)
     classes = scratch.cut(grouped.select(F.col("class").alias("id"), "label", "v", "copies"))
     cells = _cells(classes, trees, cell, scratch).join(classes.select("id", "v"), "id")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    blocks = _blocks(block)
     own_block = F.when(F.col("n") <= cell, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
     b = F.col("own_block")
     pairs = F.when(b < 0, F.array(F.struct(b.alias("first"), b.alias("second")))).otherwise(
@@ -212,7 +219,7 @@ def _count_pair(rows: pa.Table, least: float) -> pa.Table:
 def count_links(members: DataFrame, least: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(id, others): linked vectors of other classes in the same component, counted by pairs of blocks of its rows."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    blocks = _blocks(block)
     dealt = members.join(scratch.cut(sizes), "component").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     every = F.sequence(F.lit(0), blocks - 1)
     roles = F.flatten(F.transform(every, lambda o: F.array(
