@@ -34,6 +34,7 @@ BLOCK_BYTES = 16 << 20  # text in a block, but for one longer text
 BUCKET_BYTES = 128 << 20  # text whose words go to one bucket, if shuffle partitions are fewer than that makes
 MOST_BUCKETS = 1 << 13  # each block has a row for each bucket
 KNOWN = 1 << 20  # words that a task keeps with their ids
+HANDED = 2 << 20  # bytes of ids and decoded texts after which a block hands rows on as Arrow
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -247,7 +248,9 @@ def _joiner(pieces: list[bytes], digests: bool):
         begins = np.cumsum(counts) - counts
         begin_of, count_of = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
         begin_of[numbers], count_of[numbers] = begins, counts
-        made = []
+        del numbers, counts, begins
+        schema = DIGESTS if digests else CODED
+        made, size, batches = [], 0, []
         for doc_id, codes in zip(docs.column("doc_id").to_pylist(), docs.column("codes").to_pylist()):
             codes = _unpack(codes)
             lengths = count_of[codes]
@@ -259,8 +262,13 @@ def _joiner(pieces: list[bytes], digests: bool):
                 made.append((doc_id, total, hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             else:
                 made.append((doc_id, total, own.tobytes(), decoded))
-        schema = DIGESTS if digests else CODED
-        return pa.Table.from_batches([_rows(made, schema)] if made else [], schema)
+                size += own.nbytes + len(decoded)
+                if size > HANDED:
+                    batches.append(_rows(made, schema))
+                    made, size = [], 0
+        if made:
+            batches.append(_rows(made, schema))
+        return pa.Table.from_batches(batches, schema)
 
     return join
 

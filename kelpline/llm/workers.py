@@ -8,7 +8,16 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-LARGE = 4 << 20  # bytes of a group after which its memory is given back
+LARGE = 4 << 20  # bytes that a group takes and makes after which its memory is given back
+OWN_PAGES = 1 << 20  # buffers from this size on have pages of their own, which go back as soon as they are freed
+
+
+@functools.cache
+def steady() -> None:
+    """Holds the size of buffers with pages of their own: left alone, the C library raises it with each one freed."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-3, OWN_PAGES)  # M_MMAP_THRESHOLD
 
 
 def give_back() -> None:
@@ -24,6 +33,7 @@ def task(function: Callable[..., Iterator]) -> Callable[..., Iterator]:
 
     @functools.wraps(function)
     def run(*args):
+        steady()
         try:
             yield from function(*args)
         finally:
@@ -36,7 +46,8 @@ def group(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     """A function of one group's table, or of two, that gives memory back after a large group."""
 
     def finished(made: pa.Table, *tables: pa.Table) -> pa.Table:
-        if sum(t.nbytes for t in tables) > LARGE:
+        steady()
+        if sum(t.nbytes for t in (made, *tables)) > LARGE:
             give_back()
         return made
 
