@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from kelpline.llm import toxicity
 from kelpline.llm.bpe import encode_decode
 from kelpline.llm.embedding_dedup import near_duplicates
+from kelpline.llm.fingerprints import with_next
+from kelpline.llm.hard_negatives import mine
 from kelpline.llm.jaccard_join import similar_documents
 from kelpline.llm.langid import identify, learn, remainder
 from kelpline.llm.mixing import documents_by_position, mix_sources
+from kelpline.llm.runs import find_runs
 from kelpline.llm.secrets import find_secrets
 from kelpline.llm.sharding import shard_by_bytes
 from kelpline.llm.topk_search import top_k
@@ -207,3 +210,58 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    one AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, e) = 1),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same,
+               CAST(coalesce(list_sum(list_transform(list_zip(a.e, o.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+        FROM one a JOIN one o ON o.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER w <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_next(table(spark, sf_dir, "documents"), digests=True).withColumnRenamed("edited", "edited_sha256")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in the texts of about a tenth of the documents the words from one place on are made periodic."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    placed = chosen.selectExpr("*", "h div 10 AS g", "size(words) AS n").selectExpr("*", "CASE WHEN n > 0 THEN g % n END AS a")
+    placed = placed.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    bent = F.expr("array_join(transform(sequence(0, n - 1), i -> words[CASE WHEN i >= a THEN int(a + (i - a) % p) ELSE i END]), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, bent).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"), F.sha2(F.encode(lines, "utf-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"))
+    told = told.select("doc_id", "n_runs", F.col("longest.start").alias("start"), (-F.col("longest.less")).alias("length"), F.col("longest.period").alias("period"), "runs_sha256", "collapsed_sha256")
+    return told.withColumn("exponent_milli", F.expr("1000 * length div period"))
