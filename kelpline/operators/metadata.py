@@ -36,12 +36,6 @@ def dense_ids(rows: DataFrame, order: list[str], name: str = "doc_id") -> DataFr
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_mono") - F.col("_first")).drop("_part", "_mono", "_first", "_offset")
 
 
-def unique_names(pages: DataFrame, name: str = "page_key", seq: str = "page_seq") -> DataFrame:
-    """Repeated names get _2, _3, ... in order."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy(seq))
-    return pages.withColumn(name, F.when(place == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), place.cast("string"))))
-
-
 def fingerprint(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
     """(fingerprint): one digest of all contents. Each part is digested without regard to row order: by its count
     and the sums of both halves of each text's MD5; the parts' digests are joined in the order of their names."""

@@ -5,44 +5,31 @@ Rankings carry a total order: ties go to the smaller document id.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
-from kelpline.session import cut, prepare
+from kelpline.operators import inverted
+from kelpline.operators.inverted import Inverted
+from kelpline.session import Scratch, prepare
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 RANK_BASE = 60
 
 
-@dataclass
-class Index:
-    """A stored lexical index: ``bags`` (doc_id, tokens, and the columns kept for filters), ``terms`` (term, df)."""
-
-    bags: DataFrame
-    terms: DataFrame
-
-
 def bags(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, *keep, tokens): one row per document, its tokens in order."""
     return docs.select(F.col(doc).cast("long").alias("doc_id"), *keep, tx.index_tokens(F.col(text)).alias("tokens"))
 
 
-def document_frequencies(tokenised: DataFrame) -> DataFrame:
-    """(term, df) of all terms."""
-    return tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def build_index(docs: DataFrame, store: Callable[[DataFrame], DataFrame] = cut, **options) -> Index:
-    """Tokenises *docs* once; *store* keeps a table and reads it back."""
-    stored = store(bags(docs, **options))
-    return Index(stored, store(document_frequencies(stored)))
+def build_index(docs: DataFrame, **options) -> Inverted:
+    """The inverted index of *docs*, kept in the shared folder until the application ends."""
+    scratch = Scratch(docs.sparkSession)
+    scratch.drop_at_exit()
+    return inverted.build(docs, lambda _, df, by: scratch.cut(df, by), **options)
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,96 +38,21 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     return rows.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(index: Index) -> DataFrame:
-    """(term, idf): Okapi weights; those below zero become EPSILON times the mean over all terms."""
-    n = index.bags.agg(F.count(F.lit(1)).alias("n"))  # one row
-    raw = index.terms.join(F.broadcast(n)).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))  # one row
-    return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-
-
-class _Scorer:
-    """The weights of a block of queries, as sent to every task: terms x queries."""
-
-    def __init__(self, rows: list, query_ids: list[int], mean_length: float, k: int):
-        self.terms = sorted({r.term for r in rows})
-        self.ids, self.k, self.mean_length = np.array(sorted(query_ids), np.int64), k, mean_length
-        self.weights = np.zeros((len(self.terms), len(self.ids)))
-        place = {t: i for i, t in enumerate(self.terms)}
-        for r in rows:
-            self.weights[place[r.term], np.searchsorted(self.ids, r.query_id)] += r.qtf * r.idf
-
-    def scores(self, tokens: pa.ListArray) -> np.ndarray:
-        """Documents x queries."""
-        starts = tokens.offsets.to_numpy().astype(np.int64)
-        starts, lengths = starts - starts[0], np.diff(starts)
-        out = np.zeros((len(lengths), len(self.ids)))
-        if not self.terms:
-            return out
-        found = pc.index_in(tokens.flatten(), value_set=pa.array(self.terms, tokens.type.value_type))
-        known = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
-        row = np.searchsorted(starts, known, "right") - 1
-        cell, tf = np.unique(row * len(self.terms) + found.drop_null().to_numpy(), return_counts=True)
-        row, term = cell // len(self.terms), cell % len(self.terms)
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / (self.mean_length or 1.0)))
-        step = max(1, (1 << 21) // len(self.ids))
-        for a in range(0, len(row), step):
-            own, first = np.unique(row[a : a + step], return_index=True)
-            out[own] += np.add.reduceat(part[a : a + step, None] * self.weights[term[a : a + step]], first, axis=0)
-        return out
-
-    def search(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k best documents of the task for each query."""
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        floors = np.full(len(self.ids), -np.inf)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, score = batch.column("doc_id").to_numpy(), np.round(self.scores(batch.column("tokens")), 6)
-            docs, queries = np.nonzero(score >= floors[None])
-            who, what, much = (np.concatenate(x) for x in zip(held, (queries, ids[docs], score[docs, queries])))
-            order = np.lexsort((what, -much, who))
-            who, what, much = who[order], what[order], much[order]
-            place = np.arange(len(who)) - np.searchsorted(who, who)
-            held = [x[place < self.k] for x in (who, what, much)]
-            floors[who[place == self.k - 1]] = much[place == self.k - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(self.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "doc_id", "score"])
-
-
 def bm25(
-    docs: DataFrame | Index, queries: DataFrame, k: int = 10, symmetric: bool = True, among: Column | None = None,
-    doc: str = "doc_id", text: str = "text", query: str = "query_id", words: str = "query", block_rows: int = 200_000,
+    docs: DataFrame | Inverted, queries: DataFrame, k: int = 10, symmetric: bool = True, among: Column | None = None,
+    doc: str = "doc_id", text: str = "text", query: str = "query_id", words: str = "query",
 ) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query.
 
     ``symmetric`` tokenises queries as documents; otherwise they keep case and whole CJK runs. ``among``, an
     expression of *docs* (of an index: of its kept columns), limits what is ranked but not the corpus statistics.
     Documents without any query term score zero and fill the list by id. Documents without an id take no part.
-
-    The queries' term weights, in blocks of about ``block_rows``, go to the stored documents, which are scored
-    where they lie; each task keeps k for each query, so no row per query and document is ever made.
+    Runs at once: documents are indexed first, and what is read of an index depends on the first scores.
     """
-    spark = queries.sparkSession
-    prepare(spark)
-    if not isinstance(docs, Index):
+    if not isinstance(docs, Inverted):
         allowed = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
         docs, among = build_index(docs.withColumn("_allowed", allowed), doc=doc, text=text, keep=["_allowed"]), F.col("_allowed")
-    tokens = (tx.index_tokens if symmetric else tx.raw_tokens)(F.col(words))
-    asked = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("long").alias("query_id"), F.explode_outer(tokens).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("term").alias("qtf"))
-    weighted = cut(asked.join(term_weights(docs), "term", "left").select("query_id", "term", "qtf", "idf"))
-    total = weighted.count()
-    mean_length = docs.bags.agg((F.sum(F.size("tokens")) / F.count(F.lit(1))).alias("m")).first().m or 0.0
-    ranked = docs.bags if among is None else docs.bags.where(among)
-    ranked = ranked.where(F.col("doc_id").isNotNull()).select("doc_id", "tokens")
-    blocks = max(1, -(-total // block_rows))
-    found = None
-    for number in range(blocks):
-        rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()  # about block_rows
-        scorer = _Scorer([r for r in rows if r.idf is not None], list({r.query_id for r in rows}), float(mean_length), k)
-        own = ranked.mapInArrow(scorer.search, "query_id long, doc_id long, score double")
-        found = own if found is None else found.unionByName(own)
-    return _top(found, k, [F.desc("score"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    return inverted.search(docs, queries, k, symmetric, among, query, words)
 
 
 def _top(rows: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
@@ -149,7 +61,7 @@ def _top(rows: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] = (), shard_rows: int = 8192, block: int = 4096) -> DataFrame:
-    """(query_id, rank, doc_id, distance): the k nearest by squared L2, exactly.
+    """(query_id, rank, doc_id, distance): the k nearest by squared L2, exactly: ranks go by ten decimals, then by id.
 
     *queries*: (query_id, vector, *keys), *corpus*: (doc_id, vector, *keys). With keys, only rows of equal keys
     are compared: the filter is exact, whatever the group's size. Queries go in blocks to shards of the corpus;
@@ -182,9 +94,9 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] =
             some = y[a : a + 256]
             far = long[None] - 2 * some @ x.T  # squared distances but for a constant: what may be among the k nearest
             last = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            slack = 2e-6 + 1e-9 * (long.max() + (some * some).sum(1))
+            slack = 1e-9 + 1e-9 * (long.max() + (some * some).sum(1))
             i, j = np.nonzero(far <= (last + slack)[:, None])
-            apart = ((x[j] - some[i]) ** 2).sum(1).round(6)
+            apart = ((x[j] - some[i]) ** 2).sum(1).round(10)
             order = np.lexsort((ids[j], apart, i))
             i, j, apart = i[order], j[order], apart[order]
             near = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -193,7 +105,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] =
 
     by = ["shard", "block", *keys]
     met = own.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(search, "query_id long, doc_id long, distance double")
-    return _top(met, k, [F.asc("distance"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", "distance")
+    return _top(met, k, [F.asc("distance"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
 
 
 def _vectors(rows: pa.Table) -> np.ndarray:
@@ -239,7 +151,7 @@ def variant_vectors(variants: DataFrame, vectors: DataFrame, k: int, most: int =
     return nearest(asked, vectors, k, keys).select(F.expr(f"(query_id - pmod(query_id, {most})) div {most}").alias("query_id"), "doc_id", "rank", number.alias("list_no"))
 
 
-def retrieve(docs: DataFrame | Index, vectors: DataFrame, queries: DataFrame, models, k: int = 8, use_rerank: bool = True, dept: str | None = None, most: int = 5, window: int = 10, bodies: DataFrame | None = None) -> DataFrame:
+def retrieve(docs: DataFrame | Inverted, vectors: DataFrame, queries: DataFrame, models, k: int = 8, use_rerank: bool = True, dept: str | None = None, most: int = 5, window: int = 10, bodies: DataFrame | None = None) -> DataFrame:
     """(query_id, position, doc_id, rerank_score): the whole retrieval of *queries* (query_id, query, vector or null).
 
     Each query becomes up to *most* variants: itself, its rewrites, a hypothetical passage. The k nearest of each
@@ -247,7 +159,7 @@ def retrieve(docs: DataFrame | Index, vectors: DataFrame, queries: DataFrame, mo
     of those are ordered by the models' relevance (null scores, or ``use_rerank`` off: the fused order stays) and
     cut to k. With *dept*, an exact filter: both lists hold documents of that department only. Without any vectors
     there is no index and nothing is found. *bodies* (doc_id, text, and dept for a filter) are needed beside an
-    ``Index``; *vectors* are (doc_id, vector).
+    index; *vectors* are (doc_id, vector).
     """
     bodies = docs if bodies is None else bodies
     texts = query_variants(F.col("query"), models.rewrites(F.col("query")), models.passage(F.col("query")), most)

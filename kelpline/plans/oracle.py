@@ -21,21 +21,21 @@ def _bm25_ctes(k: int, lower: bool = True, among: str = "true") -> str:
     hits AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
         FROM asked JOIN idf USING (term) JOIN tfs USING (term), size GROUP BY query_id, doc_id),
     allowed AS (SELECT doc_id FROM corpus WHERE {among}),
-    filled AS (SELECT b.item_id AS query_id, a.doc_id, round(coalesce(h.s, 0), 6) AS score
+    filled AS (SELECT b.item_id AS query_id, a.doc_id, round(coalesce(h.s, 0), 10) AS s
         FROM benchmark b CROSS JOIN allowed a LEFT JOIN hits h ON h.query_id = b.item_id AND h.doc_id = a.doc_id),
-    top AS (SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM filled
-        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= {k})"""
+    top AS (SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, round(s, 6) AS score FROM filled
+        WINDOW w AS (PARTITION BY query_id ORDER BY s DESC, doc_id) QUALIFY row_number() OVER w <= {k})"""
 
 
 def bm25(select: str, k: int = 10, lower: bool = True, among: str = "true") -> str:
     return f"WITH {_bm25_ctes(k, lower, among)} {select}"
 
 
-_APART = "round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), 6)"
+_APART = "round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))), 10)"
 _PLACE = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS INTEGER)"
 _PAIRS = f"SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {_APART} AS distance FROM embeddings q, embeddings d"
 
-KNN = f"""SELECT * FROM (SELECT query_id, {_PLACE} AS rank, doc_id, distance FROM ({_PAIRS}{{join}} WHERE q.vec_id % 20 = 0{{keep}}))
+KNN = f"""SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM (SELECT query_id, {_PLACE} AS rank, doc_id, distance FROM ({_PAIRS}{{join}} WHERE q.vec_id % 20 = 0{{keep}}))
 WHERE rank <= {{k}}"""
 KNN_AFTER = f"""WITH wide AS ({KNN.format(k=24, join="", keep="")}),
 kept AS (SELECT w.* FROM wide w JOIN documents a ON a.doc_id = w.doc_id JOIN documents b ON b.doc_id = w.query_id WHERE a.source = b.source),
@@ -224,7 +224,8 @@ LINES = """SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, 'A' || doc_id
     FROM documents WHERE doc_id IS NOT NULL"""
 JSONL = """WITH lines AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS seq FROM events WHERE event_id % 10 <> 4)
 SELECT seq, CASE WHEN event_id % 10 = 3 THEN 'corrupt' WHEN event_id % 2 = 0 THEN 'answer' ELSE 'feedback' END AS kind,
-    CASE WHEN event_id % 10 = 3 THEN '{broken ' ELSE '' END || 'm' || event_id AS what FROM lines"""
+    CASE WHEN event_id % 10 = 3 THEN '{broken ' ELSE '' END || 'm' || event_id AS what,
+    CASE event_id % 10 WHEN 6 THEN CAST(1.5 AS DOUBLE) WHEN 8 THEN 2.25 END AS latency_s, CASE event_id % 10 WHEN 7 THEN 2 END AS n_reasons FROM lines"""
 CORRECTIONS = """SELECT CASE WHEN toxic = 1 THEN 'ge' ELSE 'ope' END AS dept, 't' || doc_id AS topic,
     CAST(length('## 修正紀錄：2024-05-06 07:08:09') + 1 + length('- **所屬處室**：' || CASE WHEN toxic = 1 THEN 'ge（通識教育中心）' ELSE 'ope（體育室）' END) + 1
         + length('- **相關問題/主題**：t' || doc_id) + 1 + length('- **正確資訊**：a') + 2 AS INTEGER) AS chars FROM labels WHERE quality = 1"""
@@ -232,3 +233,29 @@ VALIDATED = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'up' ELSE 'down' E
     CAST(least(event_id % 700, 500) AS INTEGER) AS chars FROM events WHERE event_id % 4 IN (0, 1) AND event_id % 6 <> 5"""
 COMPLETENESS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 ELSE CASE event_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0
     ELSE round_even(CAST('0.' || (event_id % 1000) AS DOUBLE), 4) END END AS completeness FROM events"""
+
+_REQUESTS = f"""{DOCS}, spoken AS (SELECT item_id AS i, text, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+requests AS (SELECT i AS request_id, regexp_extract_all(lower(substr(text, 1, 40)), '[A-Za-z0-9]+') AS toks, CASE WHEN i % 3 = 0 THEN 'src1' END AS want,
+    CASE WHEN i % 5 <> 0 THEN ' ' || coalesce(w[1], '') || ' ' || coalesce(w[2], '') ELSE '' END AS words,
+    CASE WHEN i % 7 = 0 THEN 'nosuchword' WHEN i % 7 <> 1 THEN coalesce(w[1], '') || '/' || coalesce(w[3], '') ELSE '' END AS keyword,
+    CASE i % 4 WHEN 0 THEN '15' WHEN 1 THEN 'x1' ELSE '' END AS year, CASE WHEN i % 2 = 0 THEN coalesce(w[2], '') ELSE '' END AS name FROM spoken)"""
+BULK_NEWS = f"""WITH {_REQUESTS}, low AS (SELECT *, lower(coalesce(title, '') || ' ' || coalesce(text, '')) AS scored, lower(coalesce(text, '') || coalesce(title, '')) AS gated FROM docs),
+met AS (SELECT request_id, doc_id, title, date, CAST(list_sum(list_transform(toks, lambda t: (length(scored) - length(replace(scored, t, ''))) // length(t))) AS BIGINT) AS score
+    FROM requests JOIN low ON (want IS NULL OR want = dept) AND len(list_filter(toks, lambda t: contains(gated, t))) > 0),
+one_each AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY request_id, title ORDER BY score DESC, date DESC, doc_id) = 1)
+SELECT request_id, CAST(row_number() OVER w AS INTEGER) AS position, doc_id, score, date FROM one_each
+WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, date DESC, doc_id) QUALIFY row_number() OVER w <= 6"""
+BULK_FORMS = f"""WITH {_REQUESTS}, met AS (SELECT request_id, doc_id, title, dept AS url,
+        3 * CAST(contains(lower(title), lower(trim(words))) AS INTEGER) + CAST(contains(lower(text), lower(trim(words))) AS INTEGER) AS score FROM requests JOIN docs ON words <> ''
+    UNION ALL SELECT request_id, doc_id, title, dept, 0 FROM requests, (SELECT * FROM docs ORDER BY doc_id LIMIT 20) WHERE words = ''),
+one_each AS (SELECT m.* FROM met m JOIN requests USING (request_id) WHERE score > 0 OR words = '' QUALIFY row_number() OVER (PARTITION BY request_id, title, url ORDER BY doc_id) = 1)
+SELECT request_id, CAST(row_number() OVER w AS INTEGER) AS position, doc_id, CAST(score AS INTEGER) AS score FROM one_each
+WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 20"""
+BULK_RECORDS = f"""WITH {_REQUESTS}, marked AS (SELECT request_id, doc_id, keyword <> '' AND (year <> '' OR name <> '') AS drops,
+        (name = '' OR contains(text, name)) AND (year = '' OR year = '15' AND (contains(text, '15') OR contains(text, '1926'))) AS loose,
+        keyword = '' OR len(list_filter(list_append(list_filter(string_split(keyword, '/'), lambda p: length(p) >= 2), keyword), lambda p: contains(text, p))) > 0 AS has
+    FROM requests, docs),
+counted AS (SELECT *, count_if(has) OVER (PARTITION BY request_id) AS strict_total, count(*) OVER (PARTITION BY request_id) AS loose_total FROM marked WHERE loose AND (has OR drops)),
+kept AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY doc_id) AS place FROM counted WHERE has OR strict_total = 0)
+SELECT request_id, CAST(place AS INTEGER) AS position, doc_id, CASE WHEN strict_total > 0 THEN 'strict' ELSE 'relaxed' END AS mode,
+    CAST(CASE WHEN strict_total > 0 THEN strict_total ELSE least(loose_total, 15) END AS BIGINT) AS total FROM kept WHERE place <= CASE WHEN strict_total > 0 THEN 25 ELSE 15 END"""

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
-from kelpline.operators import chunking, evaluation, feedback, lookup, metadata, retrieval, state
+from kelpline.operators import bulk, chunking, evaluation, feedback, lookup, metadata, retrieval, state
 from kelpline.operators import models as models_
 from kelpline.operators.models import Models, Offline
 from kelpline.plans import oracle
-from kelpline.session import Scratch, shared_dir, table
+from kelpline.session import Scratch, table
 from kelpline.sources import corpus, markdown, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,14 +43,17 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
-    """The lexical index of the documents, built once for the same contents and stored in the shared folder."""
+_indexes: dict[tuple[str, str], retrieval.Inverted] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Inverted:
+    """The lexical index of the documents, built once for the same contents and stored until the application ends."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dept"), "text")
     told = docs.select("dept", F.concat_ws(" ", F.col("doc_id").cast("string"), "text").alias("text"))
-    mark = metadata.fingerprint(told, "dept").first().fingerprint
-    folder = f"{shared_dir(spark).rstrip('/')}/kelpline-index/{spark.sparkContext.applicationId}/{mark}"
-    tokenised = sinks.load_or_build(spark, f"{folder}/bags", mark, lambda: retrieval.bags(docs, keep=["dept"]))
-    return retrieval.Index(tokenised, sinks.load_or_build(spark, f"{folder}/terms", mark, lambda: retrieval.document_frequencies(tokenised)))
+    mark = spark.sparkContext.applicationId, metadata.fingerprint(told, "dept").first().fingerprint
+    if mark not in _indexes:
+        _indexes[mark] = retrieval.build_index(docs, keep=["dept"])
+    return _indexes[mark]
 
 
 @query("bm25_topk", oracle.bm25("SELECT query_id, rank, doc_id, score FROM top"))
@@ -234,6 +237,31 @@ def filter_with_fallback(spark, sf_dir):
     return lookup.find_records(_docs(spark, sf_dir), keyword="nosuchword", name="License").drop("text")
 
 
+def _requests(spark, sf_dir) -> DataFrame:
+    """Requests made of all benchmark passages: the first words of each."""
+    word = lambda i: F.coalesce(F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lit(i)), F.lit(""))
+    i = F.col("item_id")
+    return table(spark, sf_dir, "benchmark").select(
+        i.alias("request_id"), F.substring("text", 1, 40).alias("query"), F.when(i % 3 == 0, F.lit("src1")).alias("dept"), F.when(i % 5 != 0, F.concat(F.lit(" "), word(0), F.lit(" "), word(1))).alias("words"),
+        F.when(i % 7 == 0, F.lit("nosuchword")).when(i % 7 != 1, F.concat(word(0), F.lit("/"), word(2))).alias("keyword"), F.when(i % 4 == 0, "15").when(i % 4 == 1, "x1").otherwise("").alias("year"), F.when(i % 2 == 0, word(1)).alias("name"),
+    )
+
+
+@query("bulk_keyword_news", oracle.BULK_NEWS)
+def bulk_keyword_news(spark, sf_dir):
+    return bulk.keyword_news(_docs(spark, sf_dir), _requests(spark, sf_dir), 6)
+
+
+@query("bulk_find_forms", oracle.BULK_FORMS)
+def bulk_find_forms(spark, sf_dir):
+    return bulk.find_forms(_docs(spark, sf_dir).withColumn("url", F.col("dept")), _requests(spark, sf_dir).select("request_id", F.col("words").alias("keyword")), 20)
+
+
+@query("bulk_find_records", oracle.BULK_RECORDS)
+def bulk_find_records(spark, sf_dir):
+    return bulk.find_records(_docs(spark, sf_dir), _requests(spark, sf_dir))
+
+
 @query("rate_limit_admission", oracle.ADMISSION)
 def rate_limit_admission(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id")
@@ -389,18 +417,25 @@ def regulation_lines(spark, sf_dir):
 
 @query("events_jsonl", oracle.JSONL)
 def events_jsonl(spark, sf_dir):
-    """All events written as JSON lines, some broken or blank, and read again: kind and place of each line."""
+    """All events written as JSON lines, some broken, blank or with fields of other types, and read again: kind and place of each
+    line, its latency and how many reasons it has."""
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "answer").otherwise("feedback").alias("event"))
     sent = rows.select("event_id", F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), "event")
     line = F.to_json(F.struct("event", "message_id"))
+    more = lambda fields: F.concat(F.expr("left(line, length(line) - 1)"), F.lit(f", {fields}}}"))
+    sent = sent.withColumn("line", line)
+    line = F.when(F.col("event_id") % 10 == 5, more('"reasons": "other", "latency_s": true')).when(F.col("event_id") % 10 == 7, more('"reasons": ["other", "outdated"]'))
+    line = line.when(F.col("event_id") % 10 == 6, more('"latency_s": "1.5", "sources": 3')).when(F.col("event_id") % 10 == 8, more('"latency_s": 2.25, "tools": {}')).otherwise(F.col("line"))
     line = F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("{broken "), "message_id")).when(F.col("event_id") % 10 == 4, F.lit(" ")).otherwise(line)
     scratch = Scratch(spark)
     scratch.drop_at_exit()
     place = f"{scratch.folder}/log"
     sent.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(place)
     answers, voted, corrupt = tables.events(spark, place)
-    both = answers.select("seq", F.lit("answer").alias("kind"), F.col("message_id").alias("what")).unionByName(voted.select("seq", F.lit("feedback").alias("kind"), F.col("message_id").alias("what")))
-    return both.unionByName(corrupt.select("seq", F.lit("corrupt").alias("kind"), F.col("value").alias("what")))
+    none = F.lit(None)
+    told = lambda rows, kind, what, latency, reasons: rows.select("seq", F.lit(kind).alias("kind"), F.col(what).alias("what"), latency.cast("double").alias("latency_s"), reasons.cast("int").alias("n_reasons"))
+    both = told(answers, "answer", "message_id", F.col("latency_s"), none).unionByName(told(voted, "feedback", "message_id", none, F.when(F.col("reasons").isNotNull(), F.size("reasons"))))
+    return both.unionByName(told(corrupt, "corrupt", "value", none, none))
 
 
 @query("corrections_recorded", oracle.CORRECTIONS)

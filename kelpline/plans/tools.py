@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -82,13 +83,22 @@ def schema_of(name: str) -> dict:
 
 def parse(name: str, arguments: str | None) -> dict:
     """A call's arguments from JSON: what is no object is an empty one; arguments that the tool has not, and values
-    of another kind, are left out."""
+    of another kind, are left out, but digits are a number where one is wanted and a number is text where that is."""
     try:
         given = json.loads(arguments or "{}")
     except ValueError:
         given = {}
     kinds = SCHEMAS.get(name, ({}, ()))[0]
-    return {a: v for a, v in given.items() if isinstance(v, kinds.get(a, ())) and not isinstance(v, bool)} if isinstance(given, dict) else {}
+    given = {a: _as(v, kinds[a]) for a, v in given.items() if a in kinds} if isinstance(given, dict) else {}
+    return {a: v for a, v in given.items() if v is not None}
+
+
+def _as(value, kind: type):
+    if isinstance(value, str) and kind is int:
+        return int(value) if re.fullmatch(r"\s*[+-]?[0-9]+\s*", value) else None
+    if isinstance(value, int) and kind is str and not isinstance(value, bool):
+        return str(value)
+    return value if isinstance(value, kind) and not isinstance(value, bool) else None
 
 
 def call(base: Knowledge | DataFrame, name: str, arguments: dict | str | None = None) -> DataFrame:

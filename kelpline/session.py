@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of *df*, that of its files for stored tables; 0 where it knows nothing."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if estimate > 1 << 58 else estimate  # what is unknown counts as the largest of all numbers
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``). Where none is set: one beside the warehouse's tables,
-    which a cluster shares too, and a folder of this machine only if the whole application runs on it."""
+    """The folder the cluster shares (``spark.checkpoint.dir``). Where none is set: one beside the warehouse's tables
+    if those lie in a store that a cluster shares, and a folder of this machine only if the whole application runs on it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
@@ -57,7 +65,10 @@ def shared_dir(spark: SparkSession) -> str:
         if master == "local" or master.startswith("local["):
             named = tempfile.mkdtemp(prefix="kelpline-checkpoint-")
         else:
-            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kelpline-checkpoint"
+            warehouse = spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", warehouse):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares: the warehouse lies on one machine")
+            named = f"{warehouse.rstrip('/')}/kelpline-checkpoint"
         context.setCheckpointDir(named)
     return named
 
@@ -74,11 +85,11 @@ class Scratch:
         self.path = jvm.org.apache.hadoop.fs.Path(self.folder)
         self.files = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """*df*, stored and read again."""
+    def cut(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """*df*, stored, in folders by the columns *by*, and read again."""
         self.count += 1
         place = f"{self.folder}/{self.count}"
-        df.write.parquet(place)
+        df.write.parquet(place, partitionBy=list(by) or None)
         return self.spark.read.schema(df.schema).parquet(place)
 
     def __enter__(self) -> Scratch:

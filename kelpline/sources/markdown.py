@@ -69,8 +69,8 @@ def _free_names(titles) -> list[str]:
 
 
 def pages(files: DataFrame) -> DataFrame:
-    """(path, page_seq, page_key, body): H1 pages; repeated titles take the first free of _2, _3, ..."""
-    split = files.select("path", F.inline(_sections(F.col("md"), "#")))
+    """(path, page_seq, page_key, body): H1 pages; repeated titles take the first free of _2, _3, ... in each row of *files*."""
+    split = files.where(F.col("md").isNotNull()).select("path", _sections(F.col("md"), "#").alias("sections"))
 
     # Names already taken decide the next, so the titles of one file (not its texts) are folded in order.
     @F.pandas_udf("array<string>")
@@ -78,10 +78,9 @@ def pages(files: DataFrame) -> DataFrame:
         return lists.map(_free_names)
 
     prepare(files.sparkSession)
-    named = split.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("rows"))
-    keyed = named.select("path", "rows", free(F.transform("rows", lambda r: r["title"])).alias("keys"))
-    keys = keyed.select("path", F.explode(F.arrays_zip("rows", "keys")).alias("p")).select("path", F.col("p.rows.seq").alias("seq"), F.col("p.keys").alias("page_key"))
-    return split.join(keys, ["path", "seq"]).select("path", F.col("seq").alias("page_seq"), "page_key", "body")
+    keyed = split.withColumn("keys", free(F.transform("sections", lambda s: s["title"])))
+    rows = keyed.select("path", F.explode(F.arrays_zip("sections", "keys")).alias("p"))
+    return rows.select("path", F.col("p.sections.seq").alias("page_seq"), F.col("p.keys").alias("page_key"), F.col("p.sections.body").alias("body"))
 
 
 def news(page: DataFrame, body: str = "body") -> DataFrame:

@@ -4,50 +4,55 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.operators.metadata import dense_ids
 from kelpline.session import prepare
 
-ANSWER = """event string, severity string, ts string, message_id string, session_id string, dept string,
-event_type string, language string, question string, answer string, sources array<struct<title: string, url: string>>,
-retrieved_titles string, tools array<string>, model string, latency_s double"""
-FEEDBACK = "event string, severity string, ts string, message_id string, session_id string, rating string, reasons array<string>, comment string"
+#: The fields of the log's events and their types.
+ANSWER = {
+    **dict.fromkeys(("event", "severity", "ts", "message_id", "session_id", "dept", "event_type", "language", "question", "answer"), "string"),
+    "sources": "array<struct<title: string, url: string>>", "retrieved_titles": "string", "tools": "array<string>", "model": "string", "latency_s": "double",
+}
+FEEDBACK = {**dict.fromkeys(("event", "severity", "ts", "message_id", "session_id", "rating"), "string"), "reasons": "array<string>", "comment": "string"}
 
 
 def events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(answers, feedback, corrupt) of a JSON-lines log.
 
-    Blank lines are skipped, lines that do not parse are kept as ``corrupt`` for counting. Answers need a message id;
-    feedback does not. ``seq`` follows the order of files and lines, for last-write-wins.
+    Blank lines are skipped, lines that are no JSON objects are kept as ``corrupt`` for counting. A field of another type is
+    converted where that is possible and null where not; its line stays. Answers need a message id; feedback does not. ``seq`` follows the order of files and lines, for last-write-wins.
     """
     # Files by name, then their splits in order, then lines: Spark itself reads files by size.
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     lines = dense_ids(lines.where(tx.strip(F.col("value")) != ""), ["_path", "_block", "_line"], "seq").select("value", "seq")
-    schema = f"{ANSWER}, rating string, reasons array<string>, comment string, _corrupt_record string"
+    # As strings all values parse, whatever their type, so only lines that are no JSON objects are corrupt.
+    schema = ", ".join(f"{name} string" for name in (*ANSWER, *(set(FEEDBACK) - set(ANSWER)), "_corrupt_record"))
     parsed = lines.select("seq", "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("e"))
     good = parsed.where(F.col("e._corrupt_record").isNull() & F.col("e").isNotNull())
-    names = lambda ddl: [f"e.{part.strip().split(' ')[0]}" for part in _fields(ddl)]
-    answers = good.where((F.col("e.event") == "answer") & (F.coalesce(F.col("e.message_id"), F.lit("")) != "")).select("seq", *names(ANSWER))
-    feedback = good.where(F.col("e.event") == "feedback").select("seq", *names(FEEDBACK))
+    typed = lambda kinds: [_read(F.col(f"e.{name}"), kind).alias(name) for name, kind in kinds.items()]
+    answers = good.where((F.col("e.event") == "answer") & (F.coalesce(F.col("e.message_id"), F.lit("")) != "")).select("seq", *typed(ANSWER))
+    feedback = good.where(F.col("e.event") == "feedback").select("seq", *typed(FEEDBACK))
     return answers, feedback, parsed.where(F.col("e._corrupt_record").isNotNull() | F.col("e").isNull()).select("seq", "value")
 
 
-def _fields(ddl: str) -> list[str]:
-    """Top-level fields of a schema string."""
-    out, depth = [""], 0
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        out = [*out, ""] if c == "," and not depth else [*out[:-1], out[-1] + c]
-    return out
+def _read(text: Column, kind: str) -> Column:
+    """A field of that type from its JSON text; null if it is of another type."""
+    if kind.startswith("array"):
+        return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, kind))
+    return text if kind == "string" else text.try_cast(kind)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def json_array(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
     """Rows of a JSON array file by key, the last of each; a missing file is empty."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).json(path, multiLine=True).select("*", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("_no"))
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_no")))
@@ -55,7 +60,7 @@ def json_array(spark: SparkSession, path: str, schema: str, key: str = "id") ->
 
 
 def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(row_no, cells map) of a sheet of an xlsx file; empty where the sheet is missing or the file is no workbook.
+    """(row_no, cells map) of a sheet of an xlsx file; empty where the file or the sheet is missing or the file is no workbook.
 
     Workbooks are small and read by one task each, as the format needs.
     """
@@ -63,6 +68,8 @@ def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFr
 
     schema = "row_no long, cells map<string,string>"
     prepare(spark)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
 
     def rows(batches):
         import pandas as pd

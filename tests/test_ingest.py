@@ -15,8 +15,8 @@ def test_pages_and_names(spark):
     text = "preamble\n# A \nbody\n# A\n\n# A_2\nx\n# A\nlast"
     got = [(r.page_key, r.body) for r in md.pages(files(spark, text)).orderBy("page_seq").collect()]
     assert got == [("A", "body"), ("A_2", ""), ("A_2_2", "x"), ("A_3", "last")]
-    plain = metadata.unique_names(spark.createDataFrame([(0, "A"), (1, "A"), (2, "B")], "page_seq int, page_key string"))
-    assert {r.page_key for r in plain.collect()} == {"A", "A_2", "B"}
+    same = spark.createDataFrame([("f", "# A\n1\n# A\n2"), ("f", "# A\n3"), ("f", "# A\n3"), ("g", None), ("g", "no heading")], "path string, md string")
+    assert sorted((r.page_key, r.body) for r in md.pages(same).collect()) == [("A", "1"), ("A", "3"), ("A", "3"), ("A_2", "2")]  # rows of one path apart
 
 
 def test_news(spark):
@@ -120,6 +120,38 @@ def test_workbook(spark, tmp_path):
     assert list(xlsx.sheet_rows((tmp_path / "w.xlsx").read_bytes())) == [["n", "5"]] and list(xlsx.sheet_rows(b"no zip")) == []
 
 
+def test_workbook_dates_and_broken_cells(spark, tmp_path):
+    import zipfile
+
+    from kelpline.sources import xlsx
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cells = [
+        '<c t="inlineStr"><is><t>h</t></is></c>', '<c s="1"><v>45321</v></c>', '<c s="2"><v>45321.75</v></c>', '<c s="3"><v>45321</v></c>', '<c s="0"><v>45321</v></c>', '<c t="s"></c>', '<c t="s"><v>99</v></c>',
+        '<c t="b"><v>1</v></c>', '<c s="1"><v>soon</v></c>', '<c t="d"><v>2024-01-30T00:00:00</v></c>', '<c s="1"><v>1e99</v></c>', '<c s="77"><v>2</v></c>', '<c r="?"><v>7</v></c>',
+    ]
+    path = tmp_path / "d.xlsx"
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {space} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="a" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet {space}><numFmts count="2"><numFmt numFmtId="164" formatCode="yyyy&quot;y&quot;"/><numFmt numFmtId="165" formatCode="0.0&quot;days&quot;[Red]\\d"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData><row>{''.join(cells)}</row></sheetData></worksheet>")
+    assert list(xlsx.sheet_rows(path.read_bytes())) == [["h", "2024-01-30 00:00:00", "2024-01-30 18:00:00", "45321", "45321", "", "", "True", "", "2024-01-30 00:00:00", "", "2", "7"]]
+    assert tables.workbook(spark, str(tmp_path / "missing.xlsx")).count() == 0
+
+
+def test_events_with_fields_of_other_types(spark, tmp_path):
+    lines = [
+        '{"event":"answer","message_id":"m1","latency_s":"1.5","sources":"x"}', '{"event":"feedback","message_id":"m1","rating":"up","reasons":"other"}', '{"event":"answer","message_id":7,"latency_s":"fast","tools":["a","b"]}',
+        '{"event":"feedback","message_id":null,"rating":true,"reasons":["other"]}', '{"event":"answer","message_id":"","latency_s":2}', '{"event":"answer","message_id":"m2","latency_s":2,"sources":[{"title":"t","url":"u"}]}', "not json", "[1]", '{"event": "answer"',
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    answers, voted, corrupt = tables.events(spark, str(tmp_path / "log.jsonl"))
+    assert [(r.message_id, r.latency_s, r.sources, r.tools) for r in answers.orderBy("seq").collect()] == [("m1", 1.5, None, None), ("7", None, None, ["a", "b"]), ("m2", 2.0, [("t", "u")], None)]
+    assert [(r.message_id, r.rating, r.reasons) for r in voted.orderBy("seq").collect()] == [("m1", "up", None), (None, "true", ["other"])]
+    assert [r.seq for r in corrupt.orderBy("seq").collect()] == [6, 7, 8]
+
+
 def test_many_sections(spark):
     count = 1_000_010
     docs = spark.range(1).select(F.lit("p").alias("path"), F.concat_ws("\n", F.array_repeat(F.lit("## t"), count)).alias("md"))

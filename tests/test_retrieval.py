@@ -1,10 +1,12 @@
 import math
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from kelpline.operators import retrieval
+from kelpline.functions import text
+from kelpline.operators import inverted, retrieval
 from kelpline.operators.models import Offline
 from kelpline.plans import queries
 
@@ -61,14 +63,46 @@ def test_nearest_passes_over_what_is_no_vector(spark):
 def test_bm25_in_blocks_and_from_an_index(spark):
     docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b") for i, t in DOCS], "doc_id long, text string, dept string")
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(["alpha beta", "beta", "", None, "delta delta"])], "query_id long, query string")
-    index = retrieval.build_index(docs, keep=["dept"])
+    index = retrieval.build_index(docs, keep=["dept"], cell_docs=2)
     whole = sorted(map(tuple, retrieval.bm25(docs, asked, 3).collect()))
-    assert whole == sorted(map(tuple, retrieval.bm25(index, asked, 3, block_rows=1).collect()))
+    assert whole == sorted(map(tuple, retrieval.bm25(index, asked, 3).collect()))
     assert [(d, s) for q, _, d, s in whole if q == 0] == okapi(DOCS, ["alpha", "beta"])[:3] and [s for q, _, _, s in whole if q == 3] == [0.0] * 3
     assert {r.doc_id for r in retrieval.bm25(index, asked, 9, among=F.col("dept") == "a").collect()} == {1, 3, 5}
     assert retrieval.bm25(index, asked.limit(0), 3).count() == retrieval.bm25(docs.limit(0), asked, 3).count() == 0
 
 
+def test_pruned_search_equals_model_and_reads_less(spark):
+    rng = random.Random(4)
+    common, rare = [f"c{chr(97 + i)}" for i in range(6)], ["".join(rng.choices("ghijkl", k=5)) for _ in range(300)]
+    topics = [["t" + "".join(rng.choices("abcdef", k=4)) for _ in range(9)] for _ in range(20)]
+    docs = [(i, " ".join([*rng.choices(common, k=rng.randrange(4)), *rng.choices(topics[i % 20], k=rng.randrange(3, 30)), *rng.choices(rare, k=rng.randrange(3))])) for i in range(1200)]
+    docs += [(2000 + i, docs[7][1]) for i in range(5)] + [(3000, None), (7, docs[7][1])]  # copies, a repeated id
+    queries = [" ".join([*rng.sample(common, 2), *rng.sample(topics[i], 2), *rng.sample(rare, i % 2)]) for i in range(12)] + [rare[0], "nowhere", common[0]]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    frame = spark.createDataFrame([(i, t, ("a", "b", None)[i % 3]) for i, t in docs] + [(None, rare[0], "a")], "doc_id long, text string, dept string").repartition(3)
+    index, read = retrieval.build_index(frame, keep=["dept"], cell_docs=16), {}
+    found = {}
+    for r in inverted.search(index, asked, 5, read=read).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    every = [*docs[:-1], (-1, docs[-1][1]), (-2, rare[0])]  # the model needs ids of their own
+    for q, words in enumerate(queries):
+        want = [(7 if i == -1 else i, s) for i, s in okapi([(i, t or "") for i, t in every], words.split()) if i != -2]
+        want.sort(key=lambda p: (-p[1], p[0]))
+        assert found[q] == want[:5], words
+    assert read["read"] < 0.75 * read["blocks"]
+    inverted.search(index, asked.where(F.col("query_id") == 12), 1, read=read)
+    assert 0 < read["read"] <= 2 * inverted.SEEDS
+    alone = inverted.search(index, asked, 5, among=F.col("dept") == "a").collect()
+    dept = {i: ("a", "b", None)[i % 3] for i, _ in docs}
+    assert all(dept[r.doc_id] == "a" for r in alone) and len(alone) == 5 * len(queries)
+
+
+def test_tokens_in_python_and_spark(spark):
+    texts = ["Ab_1 c-d", "全大運 x全y", "", "É ñ ü9", "漢 字字"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.index_tokens(F.col("t")).alias("tokens")).collect()
+    assert all(r.tokens == inverted.index_tokens(r.t) for r in rows)
+
+
 class Failing(Offline):
     def relevance(self, query, body):
         return F.lit(None).cast("double")
