@@ -9,8 +9,9 @@ its rows. Links within each component are then counted exactly, again in pairs o
 pairs is ever written.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, null labels and null
-ids link with nothing; vectors of differing length never link; repeated rows count as vectors of their own; a
-table without links gives every vector as its own component; an empty table gives no rows; other columns play no part.
+ids link with nothing; vectors of differing length never link; repeated rows count as vectors of their own, and
+so do rows of one id with different labels or vectors: an id says nothing about links, and ``kept`` holds for each of its
+rows whose component has no smaller id; a table without links gives every vector as its own component; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -176,9 +177,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES,
     fine &= F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     taken = rows.where(F.coalesce(fine, F.lit(False)))
-    grouped = taken.groupBy("label", "v").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"))
+    grouped = taken.groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     scratch = Scratch(vectors.sparkSession)
-    classes = scratch.cut(grouped.select(F.col("class").alias("id"), "label", "v", "copies"))
+    # Classes have numbers of their own, fixed by storing them: one vec_id may stand in several.
+    classes = scratch.cut(grouped.select(F.monotonically_increasing_id().alias("id"), "least", "label", "v", "copies"))
     cells = _cells(classes, trees, cell, scratch).join(classes.select("id", "v"), "id")
     blocks = _blocks(block)
     own_block = F.when(F.col("n") <= cell, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -189,11 +191,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, trees: int = TREES,
     dealt = cells.withColumn("own_block", own_block).withColumn("pair", F.explode(pairs)).select("tree", "node", "pair.first", "pair.second", "id", "v", "own_block")
     found = dealt.groupBy("tree", "node", "first", "second").applyInArrow(lambda key, rows: _compare_cell(key, rows, least), "a long, b long")
     linked = connected(scratch.cut(found), scratch)  # stored: the vectors are compared once
+    named = classes.join(linked, classes["id"] == linked["node"]).groupBy("component").agg(F.min("least").alias("component_id"))
     counted = count_links(classes.join(linked, classes["id"] == linked["node"]).select("component", "id", "v", "copies", "label"), least, scratch, block)
-    known = classes.join(counted, "id", "left").join(linked, classes["id"] == linked["node"], "left").select(
-        F.col("label").alias("class_label"), F.col("v").alias("class_v"), classes["id"].alias("class_id"),
+    known = classes.join(counted, "id", "left").join(linked, classes["id"] == linked["node"], "left").join(named, "component", "left").select(
+        F.col("label").alias("class_label"), F.col("v").alias("class_v"),
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", classes["id"]).alias("component_id"),
+        F.coalesce("component_id", "least").alias("component_id"),
     )
     known = cut(known)  # all that the result reads
     scratch.drop()

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.llm import workers
@@ -33,6 +33,7 @@ DIMENSIONS = 1 << 13
 CLUSTERS = 3
 ROUNDS = 12
 LEAST_SHARE = 0.1
+MOST_ROWS = 40_000  # that are learned from, of all languages together; each is a few kB on the driver
 MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 _SHIFT = np.uint32(32 - 13)
@@ -139,19 +140,34 @@ def remainder(key: Column, parts_: int) -> Column:
     return F.crc32(F.encode(key.cast("string"), "utf-8")) % parts_
 
 
+def hash_limit(total: int, wanted: int) -> int:
+    """A bound on hashes of 64 bits, under which *wanted* of *total* keys fall with hardly any chance of fewer."""
+    share = (wanted + 8 * wanted**0.5 + 8) / max(total, 1)
+    return (1 << 63) - 1 if share >= 1 else int((2 * share - 1) * 2**63)
+
+
+def least_by_hash(rows: DataFrame, key: Column, salt: str, total: int, wanted: int) -> DataFrame:
+    """The *wanted* rows of *total* whose keys have the least hashes; the bound leaves few more to sort."""
+    place = F.xxhash64(key, F.lit(salt))
+    return rows.where(place <= hash_limit(total, wanted)).orderBy(place, key).limit(wanted)
+
+
 def learn(docs: DataFrame, learnable: Column, fit_per_language: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Classifier | None:
-    """Fits on at most about ``fit_per_language`` of the rows of each language for which *learnable* holds."""
+    """Fits on at most ``fit_per_language`` (with many languages fewer, MOST_ROWS in all) of the rows of each language for
+    which *learnable* holds: those whose keys have the least hashes."""
     prepare(docs.sparkSession)
     rows = docs.where(learnable & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     counted_rows = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(counted_rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     totals = {r["lang"]: r["count"] for r in counted_rows}
-    chance = F.pmod(F.xxhash64(F.col("k"), F.lit("langid")), F.lit(1_000_000))
-    wanted = [(F.col("lang") == F.lit(name)) & (chance < F.lit(int(1e6 * fit_per_language / n) + 1)) for name, n in totals.items()]
-    if not wanted:
+    if not totals:
         return None
-    picked = rows.where(F.reduce(F.array(*wanted), F.lit(False), lambda a, b: a | b)).where(F.col("text").rlike(r"\p{L}"))
+    each = max(1, min(fit_per_language, MOST_ROWS // len(totals)))
+    place = F.xxhash64(F.col("k"), F.lit("langid"))
+    limits = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, hash_limit(n, each))])
+    few = rows.where(place <= limits[F.col("lang")]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "k", "text")))
+    picked = few.where(F.col("place") <= each).where(F.col("text").rlike(r"\p{L}"))
 
     @workers.task
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

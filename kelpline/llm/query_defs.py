@@ -172,19 +172,19 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op6_embedding_dedup",
     """
-    WITH RECURSIVE v AS (
-        SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS n, * FROM embeddings),
+    v AS (
+        SELECT n, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM numbered
         WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
     s AS (SELECT *, sqrt(list_dot_product(e, e)) AS length FROM v),
-    pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
+    pairs AS (SELECT a.n AS a, b.n AS b, b.vec_id AS id FROM s a JOIN s b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
         WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.98),
-    reach AS (SELECT DISTINCT a AS node, a AS least FROM pairs UNION SELECT p.a, r.least FROM reach r JOIN pairs p ON p.b = r.node),
+    reach AS (SELECT n AS node, vec_id AS least FROM s UNION SELECT p.a, r.least FROM reach r JOIN pairs p ON p.b = r.node),
     least AS (SELECT node, min(least) AS least FROM reach GROUP BY node),
-    links AS (SELECT s.n, count(p.a) AS links FROM s JOIN (SELECT a.n, a.vec_id AS a FROM s a JOIN s b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e)
-        WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.98) p ON p.n = s.n GROUP BY s.n)
+    links AS (SELECT a AS node, count(*) AS links FROM pairs GROUP BY a)
     SELECT e.vec_id, coalesce(l.links, 0) AS n_links, coalesce(c.least, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(c.least, e.vec_id), true) AS kept
-    FROM embeddings e LEFT JOIN (SELECT vec_id, max(links) AS links FROM links JOIN s USING (n) GROUP BY vec_id) l ON l.vec_id = e.vec_id LEFT JOIN least c ON c.node = e.vec_id
+    FROM numbered e LEFT JOIN links l ON l.node = e.n LEFT JOIN least c ON c.node = e.n
     """,
 )
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm import workers
-from kelpline.llm.langid import remainder
+from kelpline.llm.langid import least_by_hash, remainder
 from kelpline.llm.textcore import LOWER, SPACE, parts, span_hashes
 from kelpline.session import prepare
 
@@ -204,18 +204,16 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int = 12_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits on at most about ``fit_rows`` labelled rows for which *learnable* (an expression of ``id``) holds."""
+    """Fits on at most ``fit_rows`` labelled ids, the least by a hash, for which *learnable* (an expression of ``id``) holds."""
     prepare(docs.sparkSession)
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & learnable)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
-    total = known.count()
-    share = int(1e6 * fit_rows / max(total, 1)) + 1
-    chance = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1_000_000))
-    picked = F.broadcast(known.where(chance < share))  # bounded by fit_rows
+    sample = least_by_hash(known, F.col("id"), "toxicity", known.count(), fit_rows)
+    picked = F.broadcast(sample)  # fit_rows at most
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(picked, "id").select("id", "text", "y")
     # A quarter of the sample, by a hash of the id, is kept for calibration, unless a part would lack a class.
     kept = F.shiftright(F.crc32(F.encode(F.concat(F.lit("calibration "), F.col("id").cast("string")), "utf-8")), 3) % 4 == 0
-    tally = {(r["fold"], r["y"]): r["count"] for r in known.where(chance < share).groupBy(kept.alias("fold"), "y").count().collect()}  # four at most
+    tally = {(r["fold"], r["y"]): r["count"] for r in sample.groupBy(kept.alias("fold"), "y").count().collect()}  # four at most
     fold = kept if len(tally) == 4 else F.lit(False)
 
     @workers.task
@@ -248,7 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int =
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "fold", "x"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, y int, fold boolean, x array<double>"
-    fitted = rows.withColumn("fold", fold).mapInArrow(dense, schema).collect()  # about fit_rows
+    fitted = rows.withColumn("fold", fold).mapInArrow(dense, schema).collect()  # fit_rows ids
     fitted.sort(key=lambda r: (str(r.id), r.x))
     x, y = np.array([r.x for r in fitted]).reshape(len(fitted), -1), np.array([r.y for r in fitted], float)
     held = np.array([r.fold for r in fitted], bool)
@@ -263,81 +261,6 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int =
     return Model(lexicon, weights, trees, centres, levels)
 
 
-def score(self, column: pa.Array) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(column), self.levels[0])
-        margins = self.trees.margins(features(column, self.lexicon, self.weights))
-        level = np.interp(margins, self.centres, self.levels)
-        # Within a level the margin still orders the texts, by less than the levels differ.
-        return np.clip(0.998 * level + 0.002 / (1 + np.exp(-margins)), 0.0, 1.0)
-
-
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, fit_rows: int = 12_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits on at most about ``fit_rows`` labelled rows for which *learnable* (an expression of ``id``) holds."""
-    prepare(docs.sparkSession)
-    known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & learnable)
-    known = known.groupBy("id").agg(F.max("y").alias("y"))
-    total = known.count()
-    share = int(1e6 * fit_rows / max(total, 1)) + 1
-    chance = F.pmod(F.xxhash64(F.col("id"), F.lit("toxicity")), F.lit(1_000_000))
-    picked = F.broadcast(known.where(chance < share))  # bounded by fit_rows
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(picked, "id").select("id", "text", "y")
-    # A quarter of the sample, by a hash of the id, is kept for calibration, unless a part would lack a class.
-    kept = F.shiftright(F.crc32(F.encode(F.concat(F.lit("calibration "), F.col("id").cast("string")), "utf-8")), 3) % 4 == 0
-    tally = {(r["fold"], r["y"]): r["count"] for r in known.where(chance < share).groupBy(kept.alias("fold"), "y").count().collect()}  # four at most
-    fold = kept if len(tally) == 4 else F.lit(False)
-
-    @workers.task
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in parts(batch.column("text")):
-                starts, ends, bounds = _tokens(data, offsets)
-                hashes = span_hashes(LOWER[data], starts, ends)
-                own = [np.unique(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
-                marks = np.repeat(y[first : first + len(own)], [len(o) for o in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(marks.astype(np.int32))], ["word", "y"])
-
-    counts = rows.where(~fold).mapInArrow(words, "word long, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    learned = {k: n for k, n in tally.items() if len(tally) < 4 or not k[0]}
-    ones, n = sum(c for (_, y), c in learned.items() if y), sum(learned.values())
-    if not ones or ones == n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), None, np.zeros(1), np.array([ones / n if n else 0.0]))
-    rate = ones / n
-    z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    top = counts.where((F.col("n") >= LEAST_DOCS) & (z > LEAST_Z)).select("word", "toxic", "n").orderBy(z.desc(), "word").limit(LEXICON_SIZE).collect()
-    top.sort(key=lambda r: np.int64(r.word).view(np.uint64))
-    lexicon = np.array([r.word for r in top], np.int64).view(np.uint64)
-    weights = np.array([np.log((r.toxic + 0.5) / (r.n - r.toxic + 0.5)) - np.log(rate / (1 - rate)) for r in top])
-
-    @workers.task
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column("text"), lexicon, weights)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("fold"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "fold", "x"])
-
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, y int, fold boolean, x array<double>"
-    fitted = rows.withColumn("fold", fold).mapInArrow(dense, schema).collect()  # about fit_rows
-    fitted.sort(key=lambda r: (str(r.id), r.x))
-    x, y = np.array([r.x for r in fitted]).reshape(len(fitted), -1), np.array([r.y for r in fitted], float)
-    held = np.array([r.fold for r in fitted], bool)
-    if len({*y[held]}) < 2 or len({*y[~held]}) < 2:  # as the labelled texts are, which may be fewer than the labels
-        if len({*y}) < 2:
-            return Model(lexicon, weights, None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
-        held = np.ones(len(y), bool)
-        trees = boost(x, y)
-    else:
-        trees = boost(x[~held], y[~held])
-    centres, levels = isotonic(trees.margins(x[held]), y[held])
-    return Model(lexicon, weights, trees, centres, levels)
-
-
-def hash_of(value) -> int:
-    import zlib
-
-    return zlib.crc32(f"calibration {value}".encode()) >> 3
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row; the model's size is fixed by LEXICON_SIZE and the trees."""
     prepare(docs.sparkSession)

@@ -4,8 +4,8 @@ A URL becomes a host and a path; every suffix of the host is combined with every
 some rule has. Each expression is digested, equi-joined to the rules on a short prefix of the digest, and the
 few rows that meet are confirmed by the full digest. The longest confirmed rule wins.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and matches no rule; urls that
-match none get ``default``; repeated rows give repeated results; an empty table gives none; other columns of
+Defined cases: a null url, or one without ``://``, has an empty host and path and matches no rule; a rule with an
+empty path fits every path of its hosts; urls that match none get ``default``; repeated rows give repeated results; an empty table gives none; other columns of
 the input play no part, whatever their names. Equal rows are counted, not listed, so a hot url costs a count.
 """
 
@@ -45,9 +45,9 @@ def expressions(host: Column, path: Column, lengths: Sequence[int]) -> Column:
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    prefixes = F.array_distinct(
-        F.filter(F.array(*[F.substring(path, 1, n) for n in lengths]), lambda p: F.length(p) > 0)
-    )
+    prefixes = F.array_distinct(F.array(*[F.substring(path, 1, n) for n in lengths]))
+    if 0 not in lengths:
+        prefixes = F.filter(prefixes, lambda p: F.length(p) > 0)
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 

@@ -195,6 +195,17 @@ def test_embedding_dedup_equals_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_one_id_with_two_vectors(spark):
+    def judged(rows):
+        table = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+        return sorted(map(tuple, embedding_dedup.near_duplicates(table).collect()))
+
+    east, north = [1.0, 0.0], [0.0, 1.0]
+    assert judged([(1, "a", east), (1, "b", north), (2, "a", north), (3, "b", east)]) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+    assert judged([(5, "a", east), (5, "a", north), (6, "a", [1.0, 0.001])]) == [(5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False)]
+    assert judged([(4, "a", east), (4, "b", east), (7, "b", east), (3, "a", [2.0, 0.0])]) == [(3, 1, 3, True), (4, 1, 3, False), (4, 1, 4, True), (7, 1, 4, False)]
+
+
 def test_forest_recall(spark):
     """Pairs planted just above the bound, in leaves of the default size and in cells that Spark splits."""
     rng = np.random.default_rng(8)
