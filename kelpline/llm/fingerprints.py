@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm import textcore, workers
-from kelpline.session import cut, prepare
+from kelpline.session import cut, input_bytes, prepare
 
 K, ENTRIES, TUPLE = 8, 64, 2
 PART_BYTES = 32 << 20  # of input, in a stretch of the order
@@ -92,13 +92,13 @@ def likeness(one: np.ndarray, other: np.ndarray) -> float:
     return float((one == other).mean())
 
 
-def _hex(entries: np.ndarray) -> str:
-    return entries.astype(">u4").tobytes().hex()
+def _bytes(entries: np.ndarray) -> bytes:
+    return entries.astype(">u4").tobytes()
 
 
-OUT = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in OUT.split(", ")]
-STORED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("end", pa.string()), ("text", pa.string())])
+STORED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("end", pa.string()), ("text", pa.string())])
 
 
 def _compared(doc_id: int | None, text: str, own: np.ndarray, following: str, theirs: np.ndarray, digests: bool) -> dict:
@@ -106,7 +106,7 @@ def _compared(doc_id: int | None, text: str, own: np.ndarray, following: str, th
     edited = text[: len(text) - half] + following[:half]
     changed = sketch(edited)
     told = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest() if digests else edited
-    return dict(zip(NAMES, (doc_id, len(text), told, _hex(own), _hex(changed), likeness(own, changed), likeness(own, theirs))))
+    return dict(zip(NAMES, (doc_id, len(text), told, _bytes(own), _bytes(changed), likeness(own, changed), likeness(own, theirs))))
 
 
 def _follower(digests: bool):
@@ -151,8 +151,7 @@ def with_next(docs: DataFrame, digests: bool = False, key: str = "doc_id", text:
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    estimate = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, for stored tables
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimate // PART_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(texts) // PART_BYTES)
     order = [F.desc_nulls_last("doc_id"), F.col("tie")]
     ordered = texts.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     stored = cut(ordered.mapInArrow(_follower(digests), f"{OUT}, part int, end string, text string"))
@@ -161,4 +160,5 @@ def with_next(docs: DataFrame, digests: bool = False, key: str = "doc_id", text:
     heads = stored.where(F.col("end") == "first").select(F.col("part").alias("next"), F.col("text").alias("following"))
     ends = stored.where(F.col("end") == "last").select("part", "doc_id", "text").join(after, "part").join(heads, "next")
     matched = ends.select("doc_id", "text", "following").mapInArrow(_matcher(digests), OUT)
-    return stored.where(F.col("end").isNull()).select(*NAMES).unionByName(matched)
+    found = stored.where(F.col("end").isNull()).select(*NAMES).unionByName(matched)
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
