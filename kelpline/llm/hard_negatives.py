@@ -1,9 +1,9 @@
 """Hard-negative mining by exact search over a vector-approximation file.
 
 Each shard of rows is stored as its approximation: every dimension is cut into cells of about equal filling, a row
-keeps its cells (a byte for two dimensions) and the shard keeps the least and the greatest value met in each cell. For
-an anchor, a table per pair of dimensions has the least and the greatest part of the score that each byte can stand
-for, so a row's score is bounded by looking up its bytes. The vectors themselves stay where they are.
+keeps its cells (a byte for each dimension) and the shard keeps a table of the least and the greatest value met in each
+cell. Looked up in that table, a row's bytes bound its score with any anchor from below and from above. The vectors
+themselves stay where they are, eight times larger, and are fetched for candidates only.
 
 Anchors meet shards in blocks. First an anchor's positives are found: rows of its label whose upper bound reaches the
 k-th largest lower bound, of the shard and then of all shards, are scored exactly. Each positive's score then sets a
@@ -32,8 +32,8 @@ from kelpline.llm import workers
 from kelpline.llm.topk_search import _matrix, quantise
 from kelpline.session import Scratch, prepare
 
-SHARD_ROWS, ANCHOR_BLOCK = 4096, 1024
-CELLS = 16  # of a dimension
+SHARD_ROWS, ANCHOR_BLOCK = 16384, 1024
+CELLS = 256  # of a dimension
 ANCHORS = 64  # whose bounds are held at once
 LOWEST = np.iinfo(np.int64).min
 FILE = "shard int, width int, ids array<long>, labels array<long>, low array<long>, high array<long>, cells binary"
@@ -41,32 +41,36 @@ FILE_SCHEMA = pa.schema([("shard", pa.int32()), ("width", pa.int32()), ("ids", p
 
 
 def approximate(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of rows x pairs of dimensions, least and greatest value of dimensions x cells); an even number of dimensions."""
+    """(the cell of each row in each dimension, least and greatest value of each cell in each dimension)."""
     rows, wide = vectors.shape
     cells = np.empty((rows, wide), np.uint8)
     low, high = np.zeros((wide, CELLS), np.int64), np.zeros((wide, CELLS), np.int64)
     for d in range(wide):
-        column = vectors[:, d]
-        sort = np.sort(column)
+        sort = np.sort(vectors[:, d])
         edges = sort[np.arange(1, CELLS) * rows // CELLS]
-        cells[:, d] = np.searchsorted(edges, column, side="right")
+        cells[:, d] = np.searchsorted(edges, vectors[:, d], side="right")
         begin = np.searchsorted(sort, edges, side="left")
         first, last = np.concatenate([[0], begin]), np.concatenate([begin, [rows]])
         filled = last > first
         low[d, filled], high[d, filled] = sort[first[filled]], sort[last[filled] - 1]
-    return cells[:, 0::2] * CELLS + cells[:, 1::2], low, high
+    return cells, low, high
 
 
-def bounds(anchors: np.ndarray, pairs: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the scores, anchors x rows."""
-    out = np.zeros((2, len(anchors), len(pairs)), np.int64)
-    for p in range(pairs.shape[1]):
-        ends = np.stack([anchors[:, 2 * p : 2 * p + 2, None] * side[2 * p : 2 * p + 2] for side in (low, high)])
-        least, most = ends.min(axis=0), ends.max(axis=0)
-        for side, part in zip(out, (least, most)):
-            table = (part[:, 0, :, None] + part[:, 1, None, :]).reshape(len(anchors), CELLS * CELLS)
-            side += np.take(table, pairs[:, p], axis=1)
-    return out[0], out[1]
+class Approximation:
+    """The bounds of rows, looked up from their cells."""
+
+    def __init__(self, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
+        every = np.arange(len(low))
+        self.least, self.most = low[every, cells], high[every, cells]
+        self.reach = int(max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))) * len(low)
+
+    def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores, anchors x rows."""
+        # Sums of doubles are exact below 2^53; beyond, whole numbers of 64 bits are slower.
+        kind = np.float64 if self.reach * int(np.abs(anchors).max(initial=0)) < 2**52 else np.int64
+        up, down = np.maximum(anchors, 0).astype(kind), np.minimum(anchors, 0).astype(kind)
+        least, most = self.least.T.astype(kind), self.most.T.astype(kind)
+        return (up @ least + down @ most).astype(np.int64), (up @ most + down @ least).astype(np.int64)
 
 
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -80,7 +84,6 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
 def _pack(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("id")
     vectors = _matrix(rows.column("v"))
-    vectors = np.pad(vectors, ((0, 0), (0, vectors.shape[1] % 2)))
     cells, low, high = approximate(vectors)
     one = {"shard": rows.column("shard")[0].as_py(), "width": vectors.shape[1], "ids": rows.column("id").to_pylist(), "labels": rows.column("label").to_pylist()}
     return pa.Table.from_pylist([one | {"low": low.ravel().tolist(), "high": high.ravel().tolist(), "cells": cells.tobytes()}], FILE_SCHEMA)
@@ -97,12 +100,12 @@ def build_file(rows: DataFrame, k: int, shards: int) -> DataFrame:
 class _Shard:
     def __init__(self, row: dict):
         self.ids, self.labels, self.width = np.array(row["ids"], np.int64), np.array(row["labels"], np.int64), row["width"]
-        self.low, self.high = (np.array(row[c], np.int64).reshape(self.width, CELLS) for c in ("low", "high"))
-        self.pairs = np.frombuffer(row["cells"], np.uint8).reshape(len(self.ids), self.width // 2)
+        low, high = (np.array(row[c], np.int64).reshape(self.width, CELLS) for c in ("low", "high"))
+        self.held = Approximation(np.frombuffer(row["cells"], np.uint8).reshape(len(self.ids), self.width), low, high)
 
     def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         anchors = anchors[:, : self.width]
-        return bounds(np.pad(anchors, ((0, 0), (0, self.width - anchors.shape[1]))), self.pairs, self.low, self.high)
+        return self.held.bounds(np.pad(anchors, ((0, 0), (0, self.width - anchors.shape[1]))))
 
 
 CANDIDATES = "anchor_id long, positive_id long, positive_score long, vec_id long, lower long, upper long, sure boolean"
