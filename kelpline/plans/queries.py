@@ -11,7 +11,7 @@ from kelpline.functions import text as tx
 from kelpline.operators import bulk, chunking, evaluation, feedback, lookup, metadata, retrieval, state
 from kelpline.operators import models as models_
 from kelpline.operators.models import Models, Offline
-from kelpline.plans import oracle
+from kelpline.plans import oracle, table_functions
 from kelpline.session import Scratch, table
 from kelpline.sources import corpus, markdown, sinks, tables
 
@@ -257,6 +257,14 @@ def bulk_find_forms(spark, sf_dir):
     return bulk.find_forms(_docs(spark, sf_dir).withColumn("url", F.col("dept")), _requests(spark, sf_dir).select("request_id", F.col("words").alias("keyword")), 20)
 
 
+@query("lateral_find_forms", f"SELECT request_id, doc_id, score FROM ({oracle.BULK_FORMS})")
+def lateral_find_forms(spark, sf_dir):
+    """The same through a table function in SQL, called for each request."""
+    table_functions.register(spark, _docs(spark, sf_dir).withColumns({"url": F.col("dept"), "category": F.lit("表單"), "type": F.lit("news")}), "q_")
+    _requests(spark, sf_dir).createOrReplaceTempView("q_requests")
+    return spark.sql("SELECT request_id, f.doc_id, f.score FROM q_requests, LATERAL q_find_forms(words) f")
+
+
 @query("bulk_find_records", oracle.BULK_RECORDS)
 def bulk_find_records(spark, sf_dir):
     return bulk.find_records(_docs(spark, sf_dir), _requests(spark, sf_dir))
