@@ -7,15 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
 from kelpline.operators import inverted
 from kelpline.operators.inverted import Inverted
-from kelpline.session import Scratch, prepare
+from kelpline.operators.neighbours import nearest
+from kelpline.session import Scratch
 
 RANK_BASE = 60
 
@@ -60,59 +59,6 @@ def _top(rows: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     return rows.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, keys: Sequence[str] = (), shard_rows: int = 8192, block: int = 4096) -> DataFrame:
-    """(query_id, rank, doc_id, distance): the k nearest by squared L2, exactly: ranks go by ten decimals, then by id.
-
-    *queries*: (query_id, vector, *keys), *corpus*: (doc_id, vector, *keys). With keys, only rows of equal keys
-    are compared: the filter is exact, whatever the group's size. Queries go in blocks to shards of the corpus;
-    each task keeps k per query. Vectors that are null or hold null or non-finite components take no part, and
-    vectors of different length are not compared.
-    """
-    prepare(corpus.sparkSession)
-    v = F.col("vector")
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    queries, corpus = (rows.where(F.coalesce(fine, F.lit(False)) & F.col(name).isNotNull()).withColumn("_width", F.size(v)) for rows, name in ((queries, "query_id"), (corpus, "doc_id")))
-    keys = [*keys, "_width"]
-    n, m = corpus.count(), queries.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block))
-    lots = lambda c, count, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(count)).cast("int")
-    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    fresh = lambda rows, names: rows.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both may stem from one table
-    corpus, queries = fresh(corpus, ["doc_id", "vector", *keys]), fresh(queries, ["query_id", "vector", *keys])
-    own = corpus.select("doc_id", "vector", *keys, lots("doc_id", shards, "s").alias("shard")).withColumn("block", each(blocks))
-    ask = queries.select("query_id", "vector", *keys, lots("query_id", blocks, "b").alias("block")).withColumn("shard", each(shards))
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64())])
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids, x = left.column("doc_id").to_numpy(), _vectors(left)
-        asks, y = right.column("query_id").to_numpy(), _vectors(right)
-        long = (x * x).sum(1)
-        made = []
-        for a in range(0, len(y), 256):
-            some = y[a : a + 256]
-            far = long[None] - 2 * some @ x.T  # squared distances but for a constant: what may be among the k nearest
-            last = np.partition(far, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            slack = 1e-9 + 1e-9 * (long.max() + (some * some).sum(1))
-            i, j = np.nonzero(far <= (last + slack)[:, None])
-            apart = ((x[j] - some[i]) ** 2).sum(1).round(10)
-            order = np.lexsort((ids[j], apart, i))
-            i, j, apart = i[order], j[order], apart[order]
-            near = np.arange(len(i)) - np.searchsorted(i, i) < k
-            made.append(pa.table([pa.array(asks[a + i[near]]), pa.array(ids[j[near]]), pa.array(apart[near])], schema=schema))
-        return pa.concat_tables(made)
-
-    by = ["shard", "block", *keys]
-    met = own.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(search, "query_id long, doc_id long, distance double")
-    return _top(met, k, [F.asc("distance"), F.asc("doc_id")]).select("query_id", "rank", "doc_id", F.round("distance", 6).alias("distance"))
-
-
-def _vectors(rows: pa.Table) -> np.ndarray:
-    column = rows.column("vector").combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-
-
 def filter_after(found: DataFrame, keep: Column, k: int) -> DataFrame:
     """Re-ranks what is left of a wider ranking after a filter: up to k rows, fewer if the filter bites."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))

@@ -60,6 +60,25 @@ def test_nearest_passes_over_what_is_no_vector(spark):
     assert retrieval.nearest(asked, corpus.limit(0), 5).count() == 0
 
 
+def test_nearest_skips_far_shards(spark):
+    rng = random.Random(6)
+    centres = [[rng.uniform(-9, 9) for _ in range(6)] for _ in range(8)]
+    rows = [(i, [c + rng.gauss(0, 0.3) for c in centres[i % 8]], "a" if i % 3 else "b") for i in range(400)]
+    rows += [(1000 + i, rows[5][1], "a") for i in range(50)] + [(2000, [1.0] * 4, "a"), (2001, [2.0] * 4, "b"), (2002, None, "a"), (2003, [0.0] * 6, None), (7, rows[7][1], "b")]
+    corpus = spark.createDataFrame(rows, "doc_id long, vector array<double>, dept string").repartition(3)
+    asked = corpus.where("doc_id % 40 = 0 or doc_id in (5, 2001)").withColumnRenamed("doc_id", "query_id")
+    for keys, k in (([], 6), (["dept"], 4), ([], 60)):
+        read = {}
+        found = {}
+        for r in retrieval.nearest(asked, corpus, k, keys=keys, shard_rows=25, block=5, read=read).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.doc_id, r.distance))
+        for q, x, dept in rows:
+            if x is not None and (q % 40 == 0 or q in (5, 2001)) and not (keys and dept is None):
+                every = [(round(sum((a - b) ** 2 for a, b in zip(x, y)), 10), i) for i, y, d in rows if y is not None and len(y) == len(x) and (not keys or d == dept)]
+                assert found[q] == [(i, round(d, 6)) for d, i in sorted(every)[:k]]
+        assert k == 60 or read["compared"] < 0.75 * read["rows"]
+
+
 def test_bm25_in_blocks_and_from_an_index(spark):
     docs = spark.createDataFrame([(i, t, "a" if i % 2 else "b") for i, t in DOCS], "doc_id long, text string, dept string")
     asked = spark.createDataFrame([(i, q) for i, q in enumerate(["alpha beta", "beta", "", None, "delta delta"])], "query_id long, query string")
