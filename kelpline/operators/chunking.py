@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,13 @@ def windows(text: Column, width: int = 4500) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * width + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 
 
+def translated(text: Column, translate: Callable[[Column], Column], width: int = 4500) -> Column:
+    """A text translated window by window and joined again by line ends; a window whose translation fails (null) is empty. Null texts
+    stay null, empty ones empty."""
+    parts = F.transform(windows(text, width), lambda w: F.coalesce(translate(w), F.lit("")))
+    return F.when(text.isNotNull(), F.array_join(parts, "\n"))
+
+
 def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
     """Pieces of at most *size* characters where a separator allows, joined with overlap by whole pieces.
 

@@ -97,11 +97,12 @@ def variant_vectors(variants: DataFrame, vectors: DataFrame, k: int, most: int =
     return nearest(asked, vectors, k, keys).select(F.expr(f"(query_id - pmod(query_id, {most})) div {most}").alias("query_id"), "doc_id", "rank", number.alias("list_no"))
 
 
-def retrieve(docs: DataFrame | Inverted, vectors: DataFrame, queries: DataFrame, models, k: int = 8, use_rerank: bool = True, dept: str | None = None, most: int = 5, window: int = 10, bodies: DataFrame | None = None) -> DataFrame:
+def retrieve(docs: DataFrame | Inverted, vectors: DataFrame, queries: DataFrame, models, k: int = 8, use_rerank: bool = True, dept: str | None = None, most: int = 5, window: int = 10, bodies: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(query_id, position, doc_id, rerank_score): the whole retrieval of *queries* (query_id, query, vector or null).
 
     Each query becomes up to *most* variants: itself, its rewrites, a hypothetical passage. The k nearest of each
-    variant and the k best by BM25 for the words of all are fused by their best rank and cut to 3k; the first *window*
+    variant and the k best by BM25 for the words of all are fused by their best rank and cut to *depth* (3k unless
+    told; the evaluation's forms take 2k and k); the first *window*
     of those are ordered by the models' relevance (null scores, or ``use_rerank`` off: the fused order stays) and
     cut to k. With *dept*, an exact filter: both lists hold documents of that department only. Without any vectors
     there is no index and nothing is found. *bodies* (doc_id, text, and dept for a filter) are needed beside an
@@ -118,7 +119,7 @@ def retrieve(docs: DataFrame | Inverted, vectors: DataFrame, queries: DataFrame,
     spoken = spoken.select("query_id", F.array_join(F.transform("said", lambda v: v["words"]), " ").alias("query")).join(queries.select("query_id"), "query_id", "left_semi")
     lexical = bm25(docs, spoken, k, among=None if dept is None else F.col("dept") == dept)
     near = variant_vectors(variants, corpus, k, most)
-    fused = _fuse(near.unionByName(lexical.select("query_id", "doc_id", "rank", F.lit(most).alias("list_no"))), 3 * k).withColumnRenamed("position", "rank")
+    fused = _fuse(near.unionByName(lexical.select("query_id", "doc_id", "rank", F.lit(most).alias("list_no"))), 3 * k if depth is None else depth).withColumnRenamed("position", "rank")
     if not use_rerank:
         return fused.where(F.col("rank") <= k).select("query_id", F.col("rank").alias("position"), "doc_id", F.lit(None).cast("double").alias("rerank_score"))
     met = fused.join(bodies.select("doc_id", "text"), "doc_id", "left").join(queries.select("query_id", "query"), "query_id")

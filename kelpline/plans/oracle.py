@@ -77,6 +77,8 @@ RETRIEVE = f"""{_fused(8, 24)}, scored AS (SELECT p.query_id, p.position AS rank
 RETRIEVE_IN = f"""{_fused(8, 24, "d.vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')", "dept = 'src1'")}
     SELECT query_id, position, doc_id FROM placed WHERE position <= 8"""
 
+RETRIEVE_EVAL = f"{_fused(12, 9)} SELECT query_id, position, doc_id FROM placed"
+
 CONTEXT = bm25(
     """, blocks AS (SELECT query_id, rank, '【文件名稱】' || d.url || chr(10) || '【文件類型】' || d.lang || chr(10) || '【頁碼】' || d.dept || chr(10)
         || '【來源網址】' || chr(10) || '【文件內容】' || chr(10) || substr(d.text, 1, 1200) AS block FROM top JOIN docs d USING (doc_id)),
@@ -99,6 +101,9 @@ ATTRIBUTION = bm25(
 
 CHUNK_FIXED = """WITH cut AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 800) AS BIGINT))) AS i FROM documents)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, CAST(length(substr(text, i * 800 + 1, 800)) AS INTEGER) AS chars, md5(substr(text, i * 800 + 1, 800)) AS digest FROM cut"""
+TRANSLATED = """WITH cut AS (SELECT doc_id, text, list_transform(range(CAST(ceil(length(text) / 300) AS BIGINT)), lambda i: substr(text, i * 300 + 1, 300)) AS w FROM documents),
+told AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[ aeiouAEIOU]') THEN '' ELSE translate(x, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END), chr(10)), '') END AS t FROM cut)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS digest FROM told"""
 _TEXT_TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+'), lambda x: lower(x))"
 TOKEN_COUNTS = f"SELECT doc_id, CAST(len(t) AS INTEGER) AS tokens, CAST(len(list_distinct(t)) AS INTEGER) AS terms FROM (SELECT doc_id, {_TEXT_TOKENS} AS t FROM documents)"
 POSTINGS = f"""SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, CAST(len(t) AS INTEGER) AS dl, unnest(t) AS term FROM

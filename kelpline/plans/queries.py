@@ -136,6 +136,12 @@ def retrieve_in_department(spark, sf_dir):
     return retrieval.retrieve(_index(spark, sf_dir), _vectors(spark, sf_dir), _with_vectors(spark, sf_dir), Offline(), use_rerank=False, dept="src1", bodies=_docs(spark, sf_dir)).drop("rerank_score")
 
 
+@query("retrieve_at_evaluation_depth", oracle.RETRIEVE_EVAL)
+def retrieve_at_evaluation_depth(spark, sf_dir):
+    """The form of the evaluation that fuses as many as it returns, without reranking."""
+    return retrieval.retrieve(_index(spark, sf_dir), _vectors(spark, sf_dir), _with_vectors(spark, sf_dir), Offline(), use_rerank=False, bodies=_docs(spark, sf_dir), k=12, depth=9).drop("rerank_score")
+
+
 @query("context_snippets", oracle.CONTEXT)
 def context_snippets(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -160,6 +166,14 @@ def chunk_fixed(spark, sf_dir):
     return rows.select("doc_id", "chunk_id", F.length("chunk").alias("chars"), F.md5(F.encode("chunk", "utf-8")).alias("digest"))
 
 
+@query("translate_windows", oracle.TRANSLATED)
+def translate_windows(spark, sf_dir):
+    """Texts translated by windows, with capitals for a translation that fails for windows beginning with a blank or a vowel."""
+    spoken = lambda w: F.when(~w.rlike("^[ aeiouAEIOU]"), F.translate(w, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", chunking.translated(F.col("text"), spoken, 300).alias("t"))
+    return rows.select("doc_id", F.length("t").alias("chars"), F.md5(F.encode("t", "utf-8")).alias("digest"))
+
+
 @query("chunk_recursive")
 def chunk_recursive(spark, sf_dir):
     """Null texts have no chunks."""
