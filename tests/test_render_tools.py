@@ -46,6 +46,7 @@ def test_tools(spark):
 def test_tool_arguments_and_corrections(spark, tmp_path):
     assert tools.schema_of("record_correction")["required"] == ["original_query", "correction_info"] and tools.schema_of("get_schedule")["properties"] == {"year": {"type": "integer"}}
     assert tools.parse("get_schedule", '{"year": 2024, "other": 1}') == {"year": 2024} and tools.parse("get_schedule", '{"year": "x"}') == {}
+    assert tools.parse("get_schedule", '{"year": " 2024 "}') == {"year": 2024} and tools.parse("get_schedule", '{"year": true}') == {} and tools.parse("get_competition_records", '{"year": 2024}') == {"year": "2024"}
     assert [tools.parse("find_forms", a) for a in ("broken", None, "[1]", '{"keyword": "k"}')] == [{}, {}, {}, {"keyword": "k"}]
     docs = rows(spark)
     vectors = spark.createDataFrame([(3, [0.0, 1.0])], "doc_id long, vector array<double>")
