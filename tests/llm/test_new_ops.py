@@ -225,3 +225,28 @@ def test_periodic_runs_query(spark, tmp_path):
     got = query_defs.op13_periodic_runs(spark, str(tmp_path)).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert sum(w[1] > 0 for w in want) > 10
+
+
+# --- rules, samples and schedules of earlier operators
+
+
+def test_url_rules_with_an_empty_path(spark):
+    from kelpline.llm.url_filter import judge_urls
+
+    rules = (("block", "a.org", ""), ("allow", "a.org", "/ok/"), ("block", "net", "/x"))
+    urls = ["http://a.org", "http://a.org/", "http://b.a.org/x?y", "http://a.org/ok/1", "http://ba.org/x", "http://c.net/x", "http://c.net", None, "http://a.org/" + "p/" * 20_000]
+    pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, k string")
+    got = {r.page_id: (r.rule, r.verdict) for r in judge_urls(pages, rules).collect()}
+    none, own = (None, "allow"), ("a.org", "block")
+    assert got == {0: own, 1: own, 2: own, 3: ("a.org/ok/", "allow"), 4: none, 5: ("net/x", "block"), 6: none, 7: none, 8: own}
+
+
+def test_samples_are_bounded(spark):
+    from kelpline.llm.langid import hash_limit, least_by_hash
+
+    rows = spark.range(20_000).withColumnRenamed("id", "k")
+    for wanted in (1, 50, 3000, 30_000):
+        assert least_by_hash(rows, F.col("k"), "s", 20_000, wanted).count() == min(wanted, 20_000)
+    few = rows.where(F.xxhash64("k", F.lit("s")) <= hash_limit(20_000, 400)).count()
+    assert 400 <= few < 900  # not many more than wanted are ever sorted
+    assert hash_limit(10**13, 400) < -(2**63) + 2**40

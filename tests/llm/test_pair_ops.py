@@ -260,3 +260,21 @@ def test_max_score_equals_sorting_in_every_block(scale):
         score = vectors @ asked[q]
         want = sorted(((-int(s), int(i)) for s, i in zip(score, ids) if i != query_ids[q]))[:5]
         assert [(-int(m), int(w)) for w, m in zip(what[who == q], much[who == q])] == want
+
+
+def test_one_of_each_keeps_all_columns_by_rule(spark):
+    text = "a b c d e f g"
+    rows = [(1, text, "z", "keep"), (1, text, "b", "x"), (1, text, "b", "w"), (2, text, "a", "y"), (3, "other words", None, "own"), (None, text, "q", "p"), (3, "other words", "n", "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, _own_text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.one_of_each(docs).collect()), key=str)
+    assert jaccard_join.one_of_each(docs).columns == docs.columns
+    assert got == sorted([(1, text, "b", "w"), (3, "other words", "n", "own"), (None, text, "q", "p")], key=str)
+
+
+def test_pairs_of_repeated_long_rows(spark):
+    """A row stored many times is one partner, and one pivot, in the verification."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words))] * 40 + [(2, " ".join([*words[:-1], "x"]))] * 40 + [(3, " ".join(words[:-9] + ["y"] * 9))] + [(4, "z " * 20)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.similar_documents(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
