@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
+from kelpline.session import cut, input_bytes
+
+PART_BYTES = 64 << 20  # of values that one task sorts
 
 #: Reasons that a rating may carry.
 REASONS = ("wrong_info", "outdated", "off_topic", "too_vague", "bad_source", "other")
@@ -59,9 +62,9 @@ def nearest_rank(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
     *by* may be empty: one group of all rows. Values are counted and range-sorted, so that a group is ranked over
     as many partitions as it fills: counts of a partition's groups, summed in order, tell how many rows lie before it.
+    Runs at once: the counts are stored in order.
     """
-    from kelpline.session import cut
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(rows) // PART_BYTES)
     keys = [f"_by_{i}" for i in range(len(by))]
     held = rows.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_value"))
     steps = held.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_times"))  # equal values are one row

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpline.functions import text as tx
+from kelpline.session import cut, input_bytes
+
+PART_BYTES = 64 << 20  # of rows that one task sorts
 
 
 def with_metadata(docs: DataFrame, meta: DataFrame, key: str, defaults: dict) -> DataFrame:
@@ -25,9 +28,9 @@ def unmatched(docs: DataFrame, meta: DataFrame, key: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
-    """*rows* with *name* 0, 1, ... in *order*: partitions are numbered by offsets of their counts, without one global sort task."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from kelpline.session import cut
+    """*rows* with *name* 0, 1, ... in *order*: partitions are numbered by offsets of their counts, without one global sort task.
+    Runs at once: rows are stored in order."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(rows) // PART_BYTES)
 
     placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()))
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mono").alias("_first"))

@@ -12,6 +12,8 @@ LINK = r"\[[^\]]+?\]\(https?://[^\s)]+\)"
 REGULATION_MARK = " [法規文件]"
 TITLE_PATTERNS = (r"Title:\s*(.*?)(?=\n)", r"【標題】：\s*(.*?)(?=\n)", r"-\s*\*\*(.*?)\*\*", r"賽事名稱：(.*?)(?=，)")
 NO_TOOL = "無呼叫檢索工具"
+NEWS_DATE, NEWS_UNDATED, NEWS_TITLE, NEWS_BODY = "【日期】：", "未註明日期", "\n【標題】：", "\n【公告內容摘要】：\n"
+LISTED, LISTED_KIND, LISTED_END, LISTED_URL, LISTED_BODY = "- **", "**（", "）", "\n  - 連結：", "\n  - 摘要："
 
 
 def _joined(rows: DataFrame, by: str, line: Column, between: str) -> DataFrame:
@@ -30,7 +32,7 @@ def bullet_list(rows: DataFrame, by: str = "query_id") -> DataFrame:
 def news_list(rows: DataFrame, by: str = "query_id", most: int = 800) -> DataFrame:
     """Date, title and the beginning of the text; only a missing date, not an empty one, is named so."""
     preview = tx.decode_url(F.substring(F.coalesce("text", F.lit("")), 1, most))
-    line = F.concat(F.lit("【日期】："), F.coalesce("date", F.lit("未註明日期")), F.lit("\n【標題】："), F.coalesce("title", F.lit("")), F.lit("\n【公告內容摘要】：\n"), preview, F.lit("\n"))
+    line = F.concat(F.lit(NEWS_DATE), F.coalesce("date", F.lit(NEWS_UNDATED)), F.lit(NEWS_TITLE), F.coalesce("title", F.lit("")), F.lit(NEWS_BODY), preview, F.lit("\n"))
     return _joined(rows, by, line, "\n---\n")
 
 
@@ -42,8 +44,8 @@ def fallback_list(rows: DataFrame, by: str = "query_id", most: int = 120) -> Dat
     firsts = rows.withColumn("_place", place).where(F.col("_place") == 1)
     flat = F.replace(tx.strip(F.coalesce("text", F.lit(""))), F.lit("\n"), F.lit(" "))
     preview = F.concat(F.substring(flat, 1, most), F.when(F.length(flat) > most, F.lit("...")).otherwise(F.lit("")))
-    link = F.when(F.col("url") != "", F.concat(F.lit("\n  - 連結："), F.col("url"))).otherwise(F.lit(""))
-    line = F.concat(F.lit("- **"), F.col("title"), F.lit("**（"), F.coalesce("category", F.col("type"), F.lit("")), F.lit("）"), link, F.lit("\n  - 摘要："), preview)
+    link = F.when(F.col("url") != "", F.concat(F.lit(LISTED_URL), F.col("url"))).otherwise(F.lit(""))
+    line = F.concat(F.lit(LISTED), F.col("title"), F.lit(LISTED_KIND), F.coalesce("category", F.col("type"), F.lit("")), F.lit(LISTED_END), link, F.lit(LISTED_BODY), preview)
     return _joined(firsts, by, line, "\n")
 
 

@@ -5,6 +5,8 @@ Patterns and marks that parsed results depend on are fixed values.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from kelpline.functions import text as tx
 from kelpline.operators import chunking
 from kelpline.session import prepare
 
+#: Names, marks, patterns and separators that results depend on.
 DEPTS = ("ope", "ge", "lc", "oaa", "osa")
 NEWS_TITLE = "最新消息"
 BANNER = "（無法擷取內文）"
@@ -20,9 +23,12 @@ CORRECTION_MARK = "## 修正紀錄"
 CORRECTION_DEPT = r"(?m)^-\s*\*\*所屬處室\*\*：\s*([A-Za-z]+)"
 GRADE_HEADERS = ("學年度", "賽事名稱")
 GRADE_FIELDS = ("學年度", "賽事名稱", "競賽項目", "名次", "參賽學生/隊伍")
+GRADE_PAGE, GRADE_HEAD, GRADE_TITLE = "競賽成績", "【競賽成績紀錄】", "成績紀錄："
 OVERVIEW = "總覽"
 UNKNOWN = "未知"
 REGULATION = "法規"
+HEADER_FIELDS = {"title": r"(?m)^##\s+📄\s*(.+?)\s*$", "category": r"(?m)^文件類型：\s*(.+?)\s*$", "url": r"(?m)^來源網址：\s*(https?://\S+)\s*$", "ext": r"(?m)^原始格式：\s*(.+?)\s*$"}
+REGULATIONS_HEADING = "# 相關法規"
 BOLD_LINK = r"\*\*\s*\[([^\]]+?)\]\(([^)]+?)\)\s*\*\*"
 NEWS_DATE = r"##\s*(\d{4}\s*/\s*\d{1,2}\s*/\s*\d{1,2})"
 NEWS_SEPARATORS = ("\n#### ", "\n### ", "\n\n", "\n", " ")
@@ -118,10 +124,10 @@ def grades(page: DataFrame, body: str = "body") -> DataFrame:
     cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), tx.strip)
     rows = lines.where(table).withColumn("cells", cells).where(F.size("cells") >= 5)
     cell = lambda i: F.element_at("cells", i)
-    sentence = F.concat(F.lit("【競賽成績紀錄】"), F.concat_ws("，", *[F.concat(F.lit(f"{name}："), cell(i + 1)) for i, name in enumerate(GRADE_FIELDS)]))
+    sentence = F.concat(F.lit(GRADE_HEAD), F.concat_ws("，", *[F.concat(F.lit(f"{name}："), cell(i + 1)) for i, name in enumerate(GRADE_FIELDS)]))
     return rows.select(
-        *[c for c in page.columns if c != body], "seq", F.lit("競賽成績").alias("page"), F.lit("grade").alias("type"),
-        F.concat(F.lit("成績紀錄："), cell(5), F.lit(" "), cell(2)).alias("title"), sentence.alias("text"),
+        *[c for c in page.columns if c != body], "seq", F.lit(GRADE_PAGE).alias("page"), F.lit("grade").alias("type"),
+        F.concat(F.lit(GRADE_TITLE), cell(5), F.lit(" "), cell(2)).alias("title"), sentence.alias("text"),
     )
 
 
@@ -133,12 +139,7 @@ def regulations_and_forms(files: DataFrame) -> DataFrame:
     """Chunks (title, page, chunk_id, chunk, type, category, url, ext) of sections between rules of exactly three dashes."""
     sections = files.select("path", F.posexplode(F.transform(F.split("md", r"\n---\n", -1), tx.strip)).alias("section_no", "section"))
     s = F.col("section")
-    fields = {
-        "title": (r"(?m)^##\s+📄\s*(.+?)\s*$", ""),
-        "category": (r"(?m)^文件類型：\s*(.+?)\s*$", UNKNOWN),
-        "url": (r"(?m)^來源網址：\s*(https?://\S+)\s*$", ""),
-        "ext": (r"(?m)^原始格式：\s*(.+?)\s*$", ""),
-    }
+    fields = {name: (pattern, UNKNOWN if name == "category" else "") for name, pattern in HEADER_FIELDS.items()}
     rows = sections.where(s.rlike(fields["title"][0]))
     rows = rows.withColumns({c: F.coalesce(tx.blank_to_null(_field(s, p)), F.lit(d)) for c, (p, d) in fields.items()})
     body = s
@@ -192,18 +193,8 @@ def faq_pairs(files: DataFrame, phrases: list[str]) -> DataFrame:
     return rows.where(label != "").select("path", "seq", label.alias("label"), question.alias("question"), F.col("body").alias("answer")).where(~vague(F.col("answer"), phrases))
 
 
-#: Regulations that questions are made from, and the heading below which they stand.
-QUESTION_REGULATIONS = (
-    "國立臺北大學通識教育中心學生抵免學分辦法",
-    "國立臺北大學通識教育課程實施辦法",
-    "國立臺北大學通識微型及自主學習課程實施原則",
-)
-REGULATIONS_HEADING = "# 相關法規"
-SCHOOL = "國立臺北大學"
-
-
-def regulation_passages(files: DataFrame, titles: tuple[str, ...] = QUESTION_REGULATIONS, least: int = 200) -> DataFrame:
-    """(path, seq, label, passage): the whole text of each listed regulation, from its heading to the next one of
+def regulation_passages(files: DataFrame, titles: Sequence[str], school: str = "", least: int = 200) -> DataFrame:
+    """(path, seq, label, passage): the whole text of each listed regulation, labelled by its title without the *school*'s name, from its heading to the next one of
     level one or two, without page marks; the first occurrence below the regulations' heading, if longer than *least*."""
     below = files.select("path", F.when(F.contains("md", F.lit(REGULATIONS_HEADING)), F.substring(F.col("md"), F.instr("md", REGULATIONS_HEADING), F.length("md"))).alias("md"))
     listed = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(t).alias("title")) for i, t in enumerate(titles)])
@@ -212,7 +203,7 @@ def regulation_passages(files: DataFrame, titles: tuple[str, ...] = QUESTION_REG
     rest = F.substring(F.col("md"), F.position(F.col("marker"), F.col("md")) + F.length("marker"), F.length("md"))
     text = F.concat("marker", F.element_at(F.split(rest, r"\n## |\n# ", 2), 1))
     passage = F.regexp_replace(tx.strip(text), r"### Page [0-9]+\n?", "")
-    return rows.select("path", "seq", F.replace("title", F.lit(SCHOOL), F.lit("")).alias("label"), passage.alias("passage")).where(F.length("passage") > least)
+    return rows.select("path", "seq", (F.replace("title", F.lit(school), F.lit("")) if school else F.col("title")).alias("label"), passage.alias("passage")).where(F.length("passage") > least)
 
 
 def regulation_lines(files: DataFrame) -> DataFrame:
