@@ -250,3 +250,47 @@ def test_samples_are_bounded(spark):
     few = rows.where(F.xxhash64("k", F.lit("s")) <= hash_limit(20_000, 400)).count()
     assert 400 <= few < 900  # not many more than wanted are ever sorted
     assert hash_limit(10**13, 400) < -(2**63) + 2**40
+
+
+def plain_boost(x, y, trees, depth, rate, bins, ridge=2.0):
+    """The margins of boosted trees, every split tried row by row."""
+    edges = [sorted({float(np.quantile(x[:, j], q)) for q in np.linspace(0, 1, bins)[1:-1]}) for j in range(x.shape[1])]
+    one = min(max(sum(y) / len(y), 1e-4), 1 - 1e-4)
+    margins = [math.log(one / (1 - one))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-m)) for m in margins]
+        grad, hess = [t - q for t, q in zip(y, p)], [max(q * (1 - q), 1e-6) for q in p]
+        groups = [list(range(len(y)))]
+        for _ in range(depth):
+            split = []
+            for own in groups:
+                value = lambda rows: sum(grad[r] for r in rows) ** 2 / (sum(hess[r] for r in rows) + ridge)
+                best, sides = 1e-6, (own, [])
+                for j, cuts in enumerate(edges):
+                    for cut in cuts:
+                        low, high = [r for r in own if x[r, j] <= cut], [r for r in own if x[r, j] > cut]
+                        if own and value(low) + value(high) - value(own) > best + 1e-12:
+                            best, sides = value(low) + value(high) - value(own), (low, high)
+                split += sides
+            groups = split
+        for own in groups:
+            step = rate * sum(grad[r] for r in own) / (sum(hess[r] for r in own) + ridge)
+            for r in own:
+                margins[r] += step
+    return margins
+
+
+def test_boosting_and_calibration_equal_plain_versions():
+    from kelpline.llm import toxicity
+
+    rng = np.random.default_rng(12)
+    x = np.column_stack([rng.normal(size=90), rng.normal(size=90).round(1), rng.integers(0, 3, 90).astype(float)])
+    y = (x[:, 0] + x[:, 2] + rng.normal(size=90) > 1).astype(float)
+    trees = toxicity.boost(x, y, trees=6, depth=3, rate=0.2, bins=12)
+    assert np.allclose(trees.margins(x), plain_boost(x, y.tolist(), 6, 3, 0.2, 12))
+    margins = trees.margins(x)
+    centres, levels = toxicity.isotonic(margins, y)
+    order = np.argsort(margins, kind="stable")
+    t = y[order]
+    least = [max(min(t[i : j + 1].mean() for j in range(k, len(t))) for i in range(k + 1)) for k in range(len(t))]  # the min-max form
+    assert (np.diff(centres) > 0).all() and sorted({round(v, 9) for v in least}) == sorted({round(v, 9) for v in levels})
