@@ -195,25 +195,32 @@ def verify(texts: DataFrame, pairs: DataFrame, scratch: Scratch, k: int, num: in
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], ["id", "own"])
 
     sets = texts.select("id", "text", *_bloom_hashes("id")).mapInArrow(fetched, "id long, own binary")
-    # A pivot's partners are dealt over salts of about 64, its own set going to each.
+    # A pivot's partners are dealt over salts of about 64, its own set going to each, ahead of theirs.
     salts = scratch.cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("salts")))
     salted = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.explode(F.array("a", "b")).alias("id"))
-    dealt = salted.distinct().join(sets, "id").select("a", "salt", "id", "own")
+    dealt = salted.distinct().join(sets, "id").select("a", "salt", (F.col("id") != F.col("a")).alias("partner"), "id", "own")
+    ordered = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "partner", "id")
 
-    @workers.group
-    def checked(rows: pa.Table) -> pa.Table:
-        ids, held = rows.column("id").to_pylist(), rows.column("own")
-        a = rows.column("a")[0].as_py()
-        pivot = np.frombuffer(held[ids.index(a)].as_py(), np.uint64)
-        out = []
-        for i, own in zip(ids, held):
-            own = np.frombuffer(own.as_py(), np.uint64)
-            both = len(np.intersect1d(pivot, own, assume_unique=True))
-            if i != a and den * both >= num * (len(pivot) + len(own) - both):
-                out.append(i)
-        return pa.table([pa.array([a] * len(out), pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
+    @workers.task
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, of, last = None, None, None  # one set is held, whatever the number of its partners and of rows of one id
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, salt, partner, i, own in zip(*(batch.column(c) for c in ("a", "salt", "partner", "id", "own"))):
+                a, group, i = a.as_py(), (a.as_py(), salt.as_py()), i.as_py()
+                if not partner.as_py():
+                    if group != of:
+                        pivot, of, last = np.frombuffer(own.as_py(), np.uint64), group, None
+                    continue
+                if i == last:  # a row of an id that is stored again
+                    continue
+                last, own = i, np.frombuffer(own.as_py(), np.uint64)
+                both = len(np.intersect1d(pivot, own, assume_unique=True))
+                if den * both >= num * (len(pivot) + len(own) - both):
+                    out.append((a, i))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.groupBy("a", "salt").applyInArrow(checked, "a long, b long")
+    return ordered.mapInArrow(checked, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,7 +253,7 @@ def _joined(texts: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> D
     groups = keep(classes.groupBy("n", "head").agg(F.min("class").alias("group"), F.count(F.lit(1)).alias("classes")))
     grouped = keep(classes.join(groups, ["n", "head"]).select("class", "least", "n", "signature", "group", "classes"))
     units = keep(_group_units(grouped))
-    lists = keep(_lists(worded, units))
+    lists = keep(_lists(worded, units, scratch))
     links = keep(verify(named, _tied(lists, units, grouped, scratch, num, den), scratch, k, num, den))
     parts = _components(grouped, links, scratch)
     checked = None
@@ -276,11 +283,12 @@ def _group_units(grouped: DataFrame) -> DataFrame:
     return first.join(several, F.col("unit") == F.col("of"), "left").drop("of")
 
 
-def _lists(worded: DataFrame, units: DataFrame) -> DataFrame:
+def _lists(worded: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
     """(list, unit): the groups that hold a shingle in their prefix, for shingles of two groups and more."""
     one_each = worded.join(units.select(F.col("unit").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    met = one_each.select(F.explode("prefix").alias("list"), F.col("id").alias("unit"))
-    return met.withColumn("units", F.count(F.lit(1)).over(Window.partitionBy("list"))).where(F.col("units") > 1).select("list", "unit")
+    met = scratch.cut(one_each.select(F.explode("prefix").alias("list"), F.col("id").alias("unit")))
+    several = met.groupBy("list").agg(F.count(F.lit(1)).alias("units")).where(F.col("units") > 1)  # counted apart, as one shingle may be in most
+    return met.join(several.select("list"), "list", "left_semi")
 
 
 def _filtered(pairs: DataFrame, units: DataFrame, num: int, den: int) -> DataFrame:
@@ -457,8 +465,17 @@ def _components(grouped: DataFrame, links: DataFrame, scratch: Scratch) -> DataF
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of *docs* whose id is the least of its component, one row for each text of an id; rows without an id stay."""
-    kept = _similar(docs, k, num, den, key, text).where(F.col("real") == F.col("component_id")).select(F.col("real").alias("_kept_id"), F.col("other").alias("_kept_text")).distinct()
-    name, own = docs[key].cast("long"), F.xxhash64(docs[key].cast("long"), docs[text].cast("string"))
-    rows = docs.join(kept, (name == kept["_kept_id"]) & (own == kept["_kept_text"]), "left_semi").withColumn("_own_text", F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")))
-    return rows.dropDuplicates([key, "_own_text"]).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    """The rows of *docs* whose id is the least of its component, one row for each text of an id; rows without an id stay. Of
+    several rows of an id and a text the one whose other columns, as JSON, are least is kept. All columns stay, whatever their names."""
+    marked = _similar(docs, k, num, den, key, text).where(F.col("real") == F.col("component_id")).groupBy("real", "other").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")).alias("mark"))
+    marked = cut(marked)
+    met = lambda kept: rows.join(kept, (F.col("id") == F.col("real")) & (F.col("mark") == F.col("other")), "left_semi")
+    kept = met(marked.where(~F.col("repeated")))
+    again = marked.where("repeated")
+    if not again.isEmpty():
+        told = F.to_json(F.struct(*[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c not in (key, text)], F.lit(0).alias("c")))
+        place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("told"))
+        kept = kept.unionByName(met(again).withColumn("told", told).withColumn("place", place).where(F.col("place") == 1).drop("told", "place"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names]).unionByName(docs.where(F.col(key).isNull()))
