@@ -14,6 +14,7 @@ statistics but are not ranked; rows of a repeated id are ranked each. Ranks go b
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 from collections import Counter
@@ -111,7 +112,7 @@ def _cells(docs: DataFrame, keep: Sequence[str], doc: str, text: str, cell_docs:
         for batch in batches:
             for *key, doc_id, body in zip(*(batch.column(n).to_pylist() for n in (*kept, "doc_id", "text"))):
                 counts = Counter(index_tokens(body))
-                alike = tuple(sorted(counts, key=lambda t: (-counts[t], t))[:ALIKE]) if len(counts) < 50 else tuple(t for t, _ in counts.most_common(ALIKE))
+                alike = tuple(heapq.nsmallest(ALIKE, counts, key=lambda t: (-counts[t], t)))
                 held.append((tuple(key), alike, doc_id, counts.total(), counts))
                 size += counts.total()
                 if len(held) >= max(HELD_DOCS, cell_docs) or size > HELD_TOKENS:
