@@ -234,3 +234,13 @@ def test_dense_ids_and_fingerprint(spark):
     same = metadata.fingerprint(docs.orderBy(F.desc("text")), "source").first()[0]
     assert metadata.fingerprint(docs, "source").first()[0] == same
     assert metadata.fingerprint(docs.limit(2), "source").first()[0] != same
+
+
+def test_dense_ids_of_a_join_are_parted_by_bytes(spark, monkeypatch):
+    few = lambda name: spark.range(1_000_000).where("id < 3").withColumnRenamed("id", name)
+    rows, asked = few("a").crossJoin(few("b")), []  # nine rows, which the planner takes for 64 TB
+    real = type(rows).repartitionByRange
+    monkeypatch.setattr(type(rows), "repartitionByRange", lambda self, n, *cols: (asked.append(n), real(self, min(n, 100), *cols))[1])
+    got = metadata.dense_ids(rows, ["a", "b"]).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.a, r.b) for r in got] == [(3 * a + b, a, b) for a in range(3) for b in range(3)]
+    assert max(asked) <= 4  # the session's partitions
