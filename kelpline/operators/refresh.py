@@ -72,7 +72,7 @@ class Refreshed:
         own = docs(files.where(group_of(F.col("path"), self.groups).isin(listed))).withColumn("group", group_of(F.col("path"), self.groups))
 
         def store(name: str, df: DataFrame, by: Sequence[str]) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{place}/{name}", partitionBy=list(by) or None)
+            df.write.mode("overwrite").options(**inverted.WRITTEN).parquet(f"{place}/{name}", partitionBy=list(by) or None)
             return self.spark.read.schema(df.schema).parquet(f"{place}/{name}")
 
         built = inverted.build(own, store, keep=[*self.keep, "group"], cell_docs=self.cell_docs)

@@ -188,3 +188,21 @@ def test_variants_reach_both_lists(spark, tmp_path):
     found = {name: {r.doc_id for r in queries.retrieve_and_rerank(spark, str(tmp_path), models).collect()} for name, models in (("plain", Offline()), ("rewritten", Rewriting()))}
     assert -7 in found["plain"] and not {60, 61} & found["plain"]
     assert {-7, 60, 61} <= found["rewritten"]
+
+
+def test_cells_are_stored_in_small_row_groups(spark, monkeypatch):
+    """A reader decodes a row group of cells at once, so its size bounds what a task holds."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(inverted, "SMALL", 0)  # one task writes all
+    word = F.concat(F.lit("w"), F.conv(F.substring(F.md5(F.concat_ws("/", "id", "i")), 1, 10), 16, 36))
+    docs = spark.range(1500).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(1000)))).groupBy("id").agg(F.concat_ws(" ", F.collect_list(word)).alias("text"))
+    index = retrieval.build_index(docs.coalesce(1).withColumnRenamed("id", "doc_id"))
+    sizes = []
+    for path in index.cells.inputFiles():
+        told = pq.ParquetFile(urlparse(path).path).metadata
+        sizes += [told.row_group(i).total_byte_size for i in range(told.num_row_groups)]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 12 << 20, sizes
+    assert index.sizes()[1:] == (1500, 1_500_000)
