@@ -1,7 +1,8 @@
 """The lookups as table functions in SQL, for use alone or in LATERAL joins over a table of arguments.
 
 The lookups are SQL functions that the planner inlines, so a lateral call becomes one distributed join, not a job for
-each row. Chunking and tokens, which need Python, are Python table functions; ``chunks`` tells its columns by ``analyze``.
+each row. What does not depend on a request, like texts in lower case, is made below that join, once for each document.
+Chunking and tokens, which need Python, are Python table functions; ``chunks`` tells its columns by ``analyze``.
 Arguments that are null count as absent. Ties go to the smaller document id, as everywhere.
 """
 
@@ -24,8 +25,8 @@ FORMS = """CREATE OR REPLACE TEMPORARY FUNCTION {p}find_forms(keyword STRING DEF
 RETURNS TABLE (doc_id BIGINT, title STRING, url STRING, score INT)
 RETURN SELECT doc_id, title, url, score FROM (
     SELECT doc_id, title, url, score, row_number() OVER (PARTITION BY title, url ORDER BY doc_id) AS place FROM (
-        SELECT doc_id, title, url, IF(word = '', 0, 3 * INT(contains(lower(coalesce(title, '')), word)) + INT(contains(lower(coalesce(text, '')), word))) AS score, word, nth
-        FROM (SELECT doc_id, title, url, text, nth_form AS nth, lower(trim(coalesce(find_forms.keyword, ''))) AS word FROM {p}docs WHERE category = '表單'))
+        SELECT doc_id, title, url, IF(word = '', 0, 3 * INT(contains(low_title, word)) + INT(contains(low_text, word))) AS score, word, nth
+        FROM (SELECT doc_id, title, url, low_title, low_text, nth_form AS nth, lower(trim(coalesce(find_forms.keyword, ''))) AS word FROM {p}docs WHERE category = '表單'))
     WHERE score > 0 OR (word = '' AND nth <= 20))
 WHERE place = 1 ORDER BY score DESC, doc_id LIMIT 20"""
 
@@ -89,7 +90,7 @@ def register(spark: SparkSession, docs, prefix: str = "kb_") -> list[str]:
     title, body = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
     first = docs.where(F.col("category") == "表單").orderBy("doc_id").limit(20).select("doc_id", F.lit(1).alias("nth_form"))  # 20 rows
     view = docs.join(F.broadcast(first), "doc_id", "left").withColumns({
-        "scored": F.lower(F.concat(title, F.lit(" "), body)), "gated": F.lower(F.concat(body, title)), "both": F.concat_ws(" ", title, body), "schedule": tx.is_schedule(F.col("title"), F.col("text")),
+        "low_title": F.lower(title), "low_text": F.lower(body), "scored": F.lower(F.concat(title, F.lit(" "), body)), "gated": F.lower(F.concat(body, title)), "both": F.concat_ws(" ", title, body), "schedule": tx.is_schedule(F.col("title"), F.col("text")),
     })
     view.createOrReplaceTempView(f"{prefix}docs")
     aliases = ", ".join(f"'{a}', '{b}'" for a, b in ALIASES.items())

@@ -46,6 +46,13 @@ def test_lateral_joins(spark, docs):
     assert {(r.id, r.doc_id) for r in got} == {(1, 1), (2, 2), (3, None), (4, 2), (4, 3)}
 
 
+def test_lateral_join_lowers_each_document_once(spark, docs):
+    spark.createDataFrame([(1, "alpha"), (2, "beta")], "id int, word string").createOrReplaceTempView("asked")
+    plan = spark.sql("SELECT id, f.doc_id FROM asked, LATERAL t_find_forms(word) f")._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.splitlines() if "Contains(" in line]
+    assert met and not any("lower(coalesce(title" in line or "lower(coalesce(text" in line for line in met)
+
+
 def test_python_table_functions(spark, docs):
     long = ("word " * 30 + "\n\n") * 20
     spark.createDataFrame([(1, long), (2, None), (3, "short")], "id int, text string").createOrReplaceTempView("texts")
