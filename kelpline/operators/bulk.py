@@ -2,7 +2,7 @@
 
 The words of all requests make one Aho-Corasick automaton, which each task runs over its texts; the hits of a
 document are added up for every request at once, and each task hands on only what can still be among the first rows
-of a request. Results equal those of the single lookups in ``lookup``, request by request. Requests go in blocks of
+of a request, or may hide a copy that could, and holds HELD rows and as many new ones at most beside those of its requests. Results equal those of the single lookups in ``lookup``, request by request. Requests go in blocks of
 REQUESTS, each a pass of its own whose rows are stored, so neither the driver nor a task holds more than a block.
 
 Null requests count as empty ones; requests without an id and documents without an id take no part; repeated ids of
@@ -71,20 +71,31 @@ class _Held:
     """Rows that a task keeps; *best* drops those that cannot come first, and is called when many have come."""
 
     def __init__(self, names: list[str], best: Callable[[pd.DataFrame], pd.DataFrame]):
-        self.names, self.best, self.parts, self.size = names, best, [], 0
+        self.names, self.best = names, best
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.parts, self.size = pd.DataFrame({n: [] for n in self.names}), [], 0
 
     def add(self, **columns) -> bool:
-        """Whether rows were dropped just now."""
-        part = pd.DataFrame(columns)
-        self.parts.append(part)
-        self.size += len(part)
+        """Whether rows were dropped just now. A column is an array, or one value for all rows of the array of requests."""
+        self.parts.append(columns)
+        self.size += len(columns["request"])
         return self.size > HELD and self.drop() is not None
 
     def drop(self) -> pd.DataFrame:
-        rows = pd.concat(self.parts, ignore_index=True) if self.parts else pd.DataFrame({n: [] for n in self.names})
-        rows = self.best(rows)
-        self.parts, self.size = [rows], 0 if len(rows) > HELD // 2 else len(rows)
-        return rows
+        if self.parts:
+            counts = [len(p["request"]) for p in self.parts]
+
+            def whole(values: list) -> np.ndarray:
+                if isinstance(values[0], np.ndarray):
+                    return np.concatenate(values)
+                return np.repeat(np.array(values, np.int64 if isinstance(values[0], int) else object), counts)
+
+            new = pd.DataFrame({n: whole([p[n] for p in self.parts]) for n in self.names})
+            self.rows = self.best(pd.concat([self.rows, new], ignore_index=True) if len(self.rows) else new)
+        self.parts, self.size = [], 0 if len(self.rows) > HELD // 2 else len(self.rows)
+        return self.rows
 
 
 def _in_blocks(requests: DataFrame, columns: list[str], one_pass: Callable[[list], DataFrame], schema: str) -> tuple[DataFrame, Scratch]:
@@ -137,7 +148,7 @@ def keyword_news(docs: DataFrame, requests: DataFrame, n: int = 6) -> DataFrame:
                     score = np.bincount(known.who[entry], much, len(ids)).astype(np.int64)[told]
                     keep = score >= floors[told]
                     if keep.any() and held.add(request=told[keep], doc_id=doc_id, title=title, date=date, score=score[keep]):
-                        last = held.parts[0].groupby("request")["score"].agg(["size", "min"])
+                        last = held.rows.groupby("request")["score"].agg(["size", "min"])
                         full = last[last["size"] == n]
                         floors[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
             rows = held.drop()
@@ -168,23 +179,37 @@ def find_forms(forms: DataFrame, requests: DataFrame, n: int = 20) -> DataFrame:
         words = [(w, i, 1) for i, w in enumerate(said) if w]
         always = np.array([not w for w in said], bool)  # white space is in every text
 
+        # Forms of one title and url are all found by it or none is. If none is, or white space is asked for, they score the same, so
+        # where n others come before the first of them in this task, n others do in all. If all are, texts decide between 3 and 4.
         def first(rows: pd.DataFrame) -> pd.DataFrame:
-            return rows.sort_values(["request", "doc_id"], kind="stable").drop_duplicates(["request", "title", "url"])
+            rows = rows.sort_values(["request", "doc_id"], kind="stable").drop_duplicates(["request", "title", "url"])
+            rows = rows.assign(late=rows["score"] < 3).sort_values(["request", "late", "doc_id"], kind="stable")
+            same = rows["late"].to_numpy(bool) | always[rows["request"].to_numpy(np.int64)]
+            return rows[~same | (rows.groupby("request").cumcount().to_numpy() < n)].drop(columns="late")
+
+        def told(rows: pd.DataFrame) -> pa.RecordBatch:
+            arrays = [pa.array(ids[rows["request"].to_numpy(np.int64)]), pa.array(rows["doc_id"].to_numpy(np.int64)), pa.array(list(rows["title"]), pa.string()), pa.array(list(rows["url"]), pa.string()), pa.array(rows["score"].to_numpy(np.int32))]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, held = Words(words), _Held(["request", "doc_id", "title", "url", "score"], first)
+            least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+            floors = np.full(len(ids), most)  # the last id with which a form that scores like all of its title and url can come first
             for batch in batches:
                 for doc_id, title, url, *texts in zip(*(c.to_pylist() for c in batch.columns)):
                     score = np.where(always, 4, 0)
                     for weight, text in zip((3, 1), texts):
                         entry, _ = known.entries(known.found(text))
                         score[known.who[entry]] += weight
-                    hit = np.flatnonzero(score)
-                    if len(hit):
-                        held.add(request=hit, doc_id=doc_id, title=title, url=url, score=score[hit])
-            rows = held.drop()
-            arrays = [pa.array(ids[rows["request"].to_numpy(np.int64)]), pa.array(rows["doc_id"].to_numpy(np.int64)), pa.array(list(rows["title"]), pa.string()), pa.array(list(rows["url"]), pa.string()), pa.array(rows["score"].to_numpy(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+                    hit = np.flatnonzero((score > 0) & ((doc_id <= floors) | (score >= 3) & ~always))
+                    if len(hit) and held.add(request=hit, doc_id=doc_id, title=title, url=url, score=score[hit]):
+                        nth = held.rows.groupby("request").nth(n - 1)
+                        at = nth["request"].to_numpy(np.int64)
+                        floors[at] = np.minimum(floors[at], np.where((nth["score"].to_numpy() < 3) | always[at], nth["doc_id"].to_numpy(np.int64), least))
+                        if len(held.rows) > HELD // 2:  # titles that are found: handed on, so that a task holds no more of them
+                            yield told(held.rows)
+                            held.clear()
+            yield told(held.drop())
 
         return rows.mapInArrow(scan, schema)
 

@@ -56,3 +56,29 @@ def test_bulk_of_nothing(spark, docs):
     one = spark.createDataFrame([(1, "alpha", None, "alpha", "", "")], none.schema)
     for found in (bulk.keyword_news(docs.limit(0), one), bulk.find_forms(docs.limit(0), one), bulk.find_records(docs.limit(0), one)):
         assert found.count() == 0
+
+
+def test_forms_that_a_task_holds_are_bounded(spark, monkeypatch):
+    """The task's own function over forms of as many titles: late ones are dropped, those found by title handed on in parts."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bulk, "HELD", 100)
+    frame = spark.createDataFrame([(0, "", "", "")], "doc_id long, title string, url string, text string")
+    scans, real = [], type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, *a: (scans.append(f), real(self, f, *a))[1])
+    bulk.find_forms(frame, spark.createDataFrame([(7, "body"), (8, "title"), (9, " ")], "request_id long, keyword string"), 5)
+    made = [(i, f"title {i % 700}" if i % 2 else f"t{i % 800}", None if i % 3 else "u", "x", "body" if i % 5 else "") for i in range(3000)]
+    batch = pa.table({"doc_id": [m[0] for m in made], "title": [m[1] for m in made], "url": [m[2] for m in made], "low_title": [m[1] for m in made], "low_text": [m[4] for m in made]}).to_batches()
+    out = [b.to_pylist() for b in scans[0](iter(batch))]
+    assert max(map(len, out)) <= 3 * 100
+    want = {7: 5, 8: None, 9: 5}
+    for request, rows in want.items():
+        met, every = {}, {}
+        for r in sorted((r for part in out for r in part if r["request_id"] == request), key=lambda r: r["doc_id"]):
+            met.setdefault((r["title"], r["url"]), (-r["score"], r["doc_id"]))
+        for i, title, url, _, text in made:
+            score = {7: text == "body", 8: 3 * title.startswith("title"), 9: 4}[request]
+            if score:
+                every.setdefault((title, url), (-score, i))
+        assert sorted(met.values())[:5] == sorted(every.values())[:5]
+        assert rows is None or len([r for part in out for r in part if r["request_id"] == request]) < len(every) // 3
