@@ -46,3 +46,14 @@ def test_markup_and_answers(spark):
     assert one(spark, "a b a", tx.total_occurrences(F.col("x"), ["a", "a"])) == 4
     assert one(spark, "Cannot Answer.", tx.mentions_any(F.col("x"), ["cannot answer."])) is True
     assert one(spark, "x", tx.bar(F.lit(1), F.lit(2))) == "█" * 14 + "░" * 14
+
+
+def test_batches_of_long_texts_stay_small(spark):
+    import pyarrow as pa
+
+    from kelpline.session import prepare
+
+    prepare(spark)
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 20000) AS text")
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in sizes) > 400 * 20000 and max(r.n for r in sizes) < 2 << 20
