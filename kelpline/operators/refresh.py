@@ -130,5 +130,5 @@ def _root(found: dict[str, str]) -> str:
 def _frequencies(cells: DataFrame) -> DataFrame:
     """(term, df) of some cells."""
     counts = F.transform("ends", lambda e, i: e - F.when(i > 0, F.get("ends", i - 1)).otherwise(F.lit(0)))
-    listed = cells.select(F.explode(F.arrays_zip(F.col("terms").alias("term"), counts.alias("n"))).alias("t"))
+    listed = cells.where(F.col("terms") != "").select(F.explode(F.arrays_zip(F.split("terms", " ").alias("term"), counts.alias("n"))).alias("t"))
     return listed.groupBy(F.col("t.term").alias("term")).agg(F.sum("t.n").cast("long").alias("df"))

@@ -206,3 +206,34 @@ def test_cells_are_stored_in_small_row_groups(spark, monkeypatch):
         sizes += [told.row_group(i).total_byte_size for i in range(told.num_row_groups)]
     assert sum(sizes) > 16 << 20 and max(sizes) < 12 << 20, sizes
     assert index.sizes()[1:] == (1500, 1_500_000)
+
+
+def test_a_read_of_cells_holds_about_what_is_stored(spark):
+    """Lists cost a reader eight bytes of levels for each value, so postings and terms are no lists."""
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id", "i"), F.lit(3000)).cast("string"))
+    docs = spark.range(600).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(500)))).groupBy("id").agg(F.concat_ws(" ", F.collect_list(word)).alias("text"))
+    index = retrieval.build_index(docs.withColumnRenamed("id", "doc_id"))
+    values = tokens = terms = 0
+    for path in index.cells.inputFiles():
+        told = pq.ParquetFile(urlparse(path).path).metadata
+        values += sum(told.row_group(i).column(c).num_values for i in range(told.num_row_groups) for c in range(told.num_columns))
+    for r in index.cells.collect():
+        tokens, terms = tokens + r.n_tokens, terms + len(r.ends)
+        assert len(r.terms.split(" ")) == len(r.ends) and len(r.places) == len(r.tfs) == r.ends[-1]  # a byte each
+    assert tokens == 600 * 500 and values < terms + 10 * 600, (values, terms)
+
+
+def test_cells_of_many_documents_and_repeats(spark):
+    """Numbers over 255 take more bytes; documents without a word have none."""
+    texts = [(i, "far " * (i % 3) + "near " * (300 if i == 7 else 1)) for i in range(400)] + [(400, ""), (401, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = retrieval.build_index(docs.coalesce(1), cell_docs=1000)
+    asked = spark.createDataFrame([(1, "near"), (2, "far near")], "query_id long, query string")
+    found = [(r.query_id, r.doc_id, r.score) for r in inverted.search(index, asked, 402).orderBy("query_id", "rank").collect()]
+    for q, words in ((1, ["near"]), (2, ["far", "near"])):
+        want = sorted(okapi([(i, t or "") for i, t in texts], words), key=lambda p: (-p[1], p[0]))
+        assert [(i, s) for n, i, s in found if n == q] == want
