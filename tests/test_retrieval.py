@@ -237,3 +237,21 @@ def test_cells_of_many_documents_and_repeats(spark):
     for q, words in ((1, ["near"]), (2, ["far", "near"])):
         want = sorted(okapi([(i, t or "") for i, t in texts], words), key=lambda p: (-p[1], p[0]))
         assert [(i, s) for n, i, s in found if n == q] == want
+
+
+def test_equal_vectors_are_compared_in_parts():
+    """Among equal vectors every pair is near, and the differences of all would be held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from kelpline.operators.neighbours import _near
+
+    vectors = pa.array([[float(c) for c in range(64)]] * 4096, pa.list_(pa.float64()))
+    left, right = pa.table({"doc_id": range(4096), "vector": vectors}), pa.table({"query_id": range(128), "vector": vectors.slice(0, 128)})
+    tracemalloc.start()
+    found = _near(3)(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.column("doc_id").to_pylist() == [0, 1, 2] * 128 and set(found.column("distance").to_pylist()) == {0.0}
+    assert most < 200 << 20, most
