@@ -255,3 +255,39 @@ def test_equal_vectors_are_compared_in_parts():
     tracemalloc.stop()
     assert found.column("doc_id").to_pylist() == [0, 1, 2] * 128 and set(found.column("distance").to_pylist()) == {0.0}
     assert most < 200 << 20, most
+
+
+def _shuffled(spark):
+    """Bytes that the application has shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def _held(spark, folder):
+    """Documents of 20 kB that do not compress, an index of their first words, and questions. Each document is a cell."""
+    noise = lambda i: F.concat(*[F.sha2(F.concat_ws(" ", "id", F.lit(j)), 512) for j in range(i)])
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("common w"), F.col("id") % 30, F.lit(" "), noise(160)).alias("text"))
+    docs.write.parquet(str(folder / "docs"))
+    docs = spark.read.parquet(str(folder / "docs"))
+    index = retrieval.build_index(docs.select("doc_id", F.substring("text", 1, 11).alias("text")), cell_docs=1)
+    return docs, index, spark.range(40).select((F.col("id") % 40).alias("query_id"), F.concat(F.lit("common w"), F.col("id") % 30).alias("query"))
+
+
+def _without_broadcast_of(spark, size, job):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    try:
+        before = _shuffled(spark)
+        rows = job()
+        return rows, _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_retrieval_shuffles_texts_that_were_found(spark, tmp_path):
+    docs, index, asked = _held(spark, tmp_path)
+    vectors = spark.range(1).select(F.col("id").alias("doc_id"), F.array(F.lit(0.0)).alias("vector"))
+    one = asked.where("query_id = 7").withColumn("vector", F.lit(None).cast("array<double>"))
+    found, size = _without_broadcast_of(spark, "12k", lambda: retrieval.retrieve(index, vectors, one, Offline(), k=2, bodies=docs).collect())
+    assert len(found) == 2 and size < 2_000_000
