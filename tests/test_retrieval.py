@@ -285,6 +285,14 @@ def _without_broadcast_of(spark, size, job):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_texts_that_were_not_found_are_not_shuffled(spark, tmp_path):
+    docs, index, _ = _held(spark, tmp_path)
+    asked = spark.range(200).select(F.col("id").alias("query_id"), F.concat(F.lit("common w"), F.col("id") % 30).alias("query"))
+    found, size = _without_broadcast_of(spark, "4k", lambda: retrieval.bm25(index, asked, 2).join(docs, "doc_id").select("query_id", F.length("text").alias("n")).collect())
+    assert len(found) == 400 and min(r.n for r in found) > 20_000
+    assert size < 2_000_000  # the texts have 6 MB
+
+
 def test_retrieval_shuffles_texts_that_were_found(spark, tmp_path):
     docs, index, asked = _held(spark, tmp_path)
     vectors = spark.range(1).select(F.col("id").alias("doc_id"), F.array(F.lit(0.0)).alias("vector"))
